@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm.decontaminate import find_contamination
+from veilframe.llm.jaccard_join import jaccard_classes
 from veilframe.llm.packing import pack
 from veilframe.llm.quality_rules import quality_cascade
 from veilframe.llm.secret_scan import find_secrets, listed
@@ -30,6 +31,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed([*base, "entropy"]).alias("spans"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     found = quality_cascade(read_table(spark, sf_dir, "documents"), report=names)
@@ -46,6 +51,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
     "op6_secret_scan": op6_secret_scan,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
 }
