@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.llm import language_id, quality_classifier
 from veilframe.llm.decontaminate import find_contamination
 from veilframe.llm.jaccard_join import jaccard_classes
 from veilframe.llm.packing import pack
 from veilframe.llm.quality_rules import quality_cascade
 from veilframe.llm.secret_scan import find_secrets, listed
-from veilframe.llm.textio import read_table
+from veilframe.llm.textio import id_crc32, read_table
 from veilframe.llm.tokens import token_counts
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read_table(spark, sf_dir, "documents"), id_crc32() % 4 == 2
+    found = language_id.identify(docs, language_id.train(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -47,12 +54,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels, held_out = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), id_crc32() % 3 == 1
+    found = quality_classifier.classify(docs, quality_classifier.train(docs, labels, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
     "op6_secret_scan": op6_secret_scan,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {}
