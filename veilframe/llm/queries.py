@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.llm import language_id, quality_classifier
 from veilframe.llm.decontaminate import find_contamination
 from veilframe.llm.jaccard_join import jaccard_classes
+from veilframe.llm.license_scan import license_matches
 from veilframe.llm.packing import pack
 from veilframe.llm.quality_rules import quality_cascade
 from veilframe.llm.secret_scan import find_secrets, listed
@@ -21,6 +22,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(read_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_license_scan": op2_license_scan,
     "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
     "op6_secret_scan": op6_secret_scan,

@@ -44,12 +44,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of the texts that begin at `starts` in data, and the number of the text it is in.
+def word_hashes(data: np.ndarray, starts: np.ndarray, blank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of the texts that begin at `starts` in data, and the number of the text it is in."""
+    hashes, owner, _, _ = placed_word_hashes(data, starts, blank)
+    return hashes, owner
+
+
+def placed_word_hashes(data: np.ndarray, starts: np.ndarray, blank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes(), and where each word begins and ends in data. blank: which bytes part words, the six ASCII blanks by default.
 
     A word's hash is a polynomial with random byte values, from prefix sums modulo 2**64.
     """
-    number, blank = _byte_tables()
+    number, blanks = _byte_tables()
+    blank = blanks if blank is None else blank
     word = ~blank[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -64,7 +71,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(number[data] * up[: len(data)], out=sums[1:])
     hashes = (sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * _STEP
-    return mix64(hashes), np.searchsorted(starts, begin, "right") - 1
+    return mix64(hashes), np.searchsorted(starts, begin, "right") - 1, begin, end
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
