@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.components import components, saved
+from veilframe.llm.components import components, saved, written
 from veilframe.llm.shingles import digest, mix64, shingle_sets
 from veilframe.llm.textio import id_and_text
 
@@ -28,7 +28,8 @@ class JaccardSettings:
     The rest decides cost, never results. max_heavy: so many frequent shingles at most are put last in the order of
     shingles (12 bytes each, broadcast). heavy_count: occurrences, as counted, that make one frequent. block: so
     many entries of one inverted list at most meet in one group. seeds: shingles per set that the first, linear
-    round looks at. posting_cost: cost of an inverted-list entry in subsets.
+    round looks at. posting_cost: cost of an inverted-list entry in subsets. bucket: about so many inverted-list
+    entries (29 bytes each) are held by a task.
     """
 
     percent: int = 85
@@ -38,6 +39,7 @@ class JaccardSettings:
     block: int = 4096
     seeds: int = 3
     posting_cost: float = 4.0
+    bucket: int = 1 << 20
 
     def least_overlap(self, n: int, m: int) -> int:
         return -(-self.percent * (n + m) // (100 + self.percent))
@@ -132,38 +134,57 @@ def _subset_keys(tokens: np.ndarray, sizes: list[int]) -> tuple[list[int], list[
     return [int(x) for x in mix64(np.array(keys, np.uint64)).view(np.int64)], lengths
 
 
+def _batch(names: list[str], rows: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+
 def _signatures(source: DataFrame, settings: JaccardSettings, boundary: int, order) -> DataFrame:
-    """doc_id, n, d1, d2 and, for the first row of a set in a stretch of a task: posts (key, count) and parts (key, o)."""
+    """doc_id, n, d1, d2 and, for the first row of a set in a stretch of a task: seeds, its first shingles, and parts (key, o), its subsets."""
     lists_from = settings.least_size(boundary + 1)
-    post = pa.list_(pa.struct([("key", pa.int64()), ("count", pa.int64())]))
     part = pa.list_(pa.struct([("key", pa.int64()), ("o", pa.int32())]))
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), part]
+    names = ["doc_id", "n", "d1", "d2", "seeds", "parts"]
 
     def sign(batches):
         known = _Order(*order.value)
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            n, d1, d2, posts, parts = [], [], [], [], []
-            for _, tokens in shingle_sets(batch.column(1), settings.k):
-                size = len(tokens)
-                a, b = digest(tokens)
-                n.append(size)
-                d1.append(a)
-                d2.append(b)
-                if not size or (a, b) in seen:
-                    posts.append(None)
-                    parts.append(None)
-                    continue
-                if len(seen) < 1 << 20:
-                    seen.add((a, b))
-                if size >= lists_from:
-                    first, counts = known.first(tokens, settings.prefix(size))
-                    posts.append([{"key": x, "count": c} for x, c in zip(first.view(np.int64).tolist(), counts.tolist(), strict=True)])
-                else:
-                    posts.append(None)
-                parts.append([{"key": x, "o": o} for x, o in zip(*_subset_keys(tokens, settings.subset_sizes(size, boundary)), strict=True)] if size <= boundary else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(posts, post), pa.array(parts, part)], ["doc_id", "n", "d1", "d2", "posts", "parts"])
+            ids, rows = batch.column(0).to_pylist(), []
+            for row, tokens in shingle_sets(batch.column(1), settings.k):
+                size, own = len(tokens), digest(tokens)
+                seeds = parts = None
+                if size and own not in seen:
+                    if len(seen) < 1 << 18:
+                        seen.add(own)
+                    if size >= lists_from:
+                        seeds = known.first(tokens, min(settings.seeds, settings.prefix(size)))[0].view(np.int64).tolist()
+                    if size <= boundary:
+                        parts = [{"key": x, "o": o} for x, o in zip(*_subset_keys(tokens, settings.subset_sizes(size, boundary)), strict=True)]
+                rows.append((ids[row], size, *own, seeds, parts))
+            yield _batch(names, rows, types)
+
+    return source.mapInArrow(sign, "doc_id long, n int, d1 long, d2 long, seeds array<long>, parts array<struct<key:long,o:int>>")
+
+
+def _prefixes(source: DataFrame, settings: JaccardSettings, boundary: int, order) -> DataFrame:
+    """id and posts (int64 keys as bytes), the whole prefix of every set that goes into inverted lists."""
+    lists_from = settings.least_size(boundary + 1)
+
+    def post(batches):
+        known = _Order(*order.value)
+        for batch in batches:
+            ids, rows, held = batch.column(0).to_pylist(), [], 0
+            for row, tokens in shingle_sets(batch.column(1), settings.k):
+                if len(tokens) >= lists_from:
+                    rows.append((ids[row], known.first(tokens, settings.prefix(len(tokens)))[0].tobytes()))
+                    held += len(rows[-1][1])
+                    if held > 4 << 20:
+                        yield _batch(["id", "posts"], rows, [pa.int64(), pa.binary()])
+                        rows, held = [], 0
+            yield _batch(["id", "posts"], rows, [pa.int64(), pa.binary()])
 
-    return source.mapInArrow(sign, "doc_id long, n int, d1 long, d2 long, posts array<struct<key:long,count:long>>, parts array<struct<key:long,o:int>>")
+    return source.mapInArrow(post, "id long, posts binary")
 
 
 def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -198,56 +219,86 @@ def _runs(entries: DataFrame, fits) -> DataFrame:
     return entries.repartition("key").sortWithinPartitions("key", "o", "n", "id").select("key", "o", "n", "id").mapInArrow(link, "u long, v long").distinct()
 
 
-def _list_pairs(entries: DataFrame, settings: JaccardSettings, boundary: int) -> DataFrame:
-    """Candidate pairs of entries of one inverted list (key, cell) that are in different classes so far: all of them.
+def _dealt(rows: DataFrame, settings: JaccardSettings, buckets: int, order) -> DataFrame:
+    """bucket and entries: the inverted-list entries of rows (id, n, class, posts) that fall into a bucket of keys, as
+    the bytes of five columns: key, id, class - id, n, side.
 
-    A list of more than `block` entries, as counted, has been dealt over cells; in a cell of two blocks only pairs
-    across the blocks are looked at, so that no group holds much more than 2 * block entries.
+    A list counted at more than `block` entries is dealt over cells, one for each pair of blocks, by the hash of its
+    ids; side then tells the two blocks of a cell apart (1, 2) and is 0 elsewhere.
     """
 
-    def fits(n, m):
-        return (100 * n >= settings.percent * m) & (m > boundary)
-
-    def pairs_of(n, ids, side, classes, mixed):
-        out_u, out_v = [], []
-        for k in range(1, len(ids)):
-            low = np.searchsorted(n[:k], settings.least_size(int(n[k])))
-            ok = (classes[low:k] != classes[k]) & fits(n[low:k], n[k])
-            if mixed:
-                ok &= side[low:k] != side[k]
-            hit = ids[low:k][ok]
-            if len(hit):
-                out_u.append(hit)
-                out_v.append(np.full(len(hit), ids[k]))
-        return out_u, out_v
+    def deal(batches):
+        known = _Order(*order.value)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 2048):
+                some = batch.slice(low, 2048)
+                if not some.num_rows:
+                    continue
+                lengths = np.array([len(x.as_buffer()) // 8 for x in some.column(3)])
+                keys = np.frombuffer(b"".join(x.as_buffer() for x in some.column(3)), np.uint64)
+                ids, n, classes = (np.repeat(some.column(k).to_numpy(), lengths) for k in (0, 1, 2))
+                blocks = -(-known.counts_of(keys) // settings.block)
+                side = np.zeros(len(keys), np.int8)
+                big = np.flatnonzero(blocks > 1)
+                if len(big):
+                    own = (mix64(ids[big].astype(np.uint64)) % blocks[big].astype(np.uint64)).astype(np.int64)
+                    again = np.repeat(np.arange(len(big)), blocks[big])
+                    other = np.concatenate([np.arange(b) for b in blocks[big]])
+                    i, j = np.minimum(own[again], other), np.maximum(own[again], other)
+                    cells = mix64(keys[big][again] ^ mix64((i * (1 << 31) + j + 1).astype(np.uint64)))
+                    sides = np.where(i == j, 0, np.where(own[again] == i, 1, 2)).astype(np.int8)
+                    rest = np.flatnonzero(blocks <= 1)
+                    take = np.concatenate([rest, big[again]])
+                    keys, side = np.concatenate([keys[rest], cells]), np.concatenate([side[rest], sides])
+                    ids, n, classes = ids[take], n[take], classes[take]
+                bucket = (mix64(keys) % np.uint64(buckets)).astype(np.int64)
+                by = np.argsort(bucket, kind="stable")
+                cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
+                full = np.flatnonzero(np.diff(cut))
+                blobs = []
+                for b in full:
+                    at = by[cut[b] : cut[b + 1]]
+                    blobs.append(b"".join([keys[at].tobytes(), ids[at].tobytes(), (classes[at] - ids[at]).tobytes(), n[at].astype(np.int32).tobytes(), side[at].tobytes()]))
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "entries"])
+
+    return rows.select("id", "n", "class", "posts").mapInArrow(deal, "bucket int, entries binary")
+
+
+def _list_pairs(dealt: DataFrame, settings: JaccardSettings, boundary: int) -> DataFrame:
+    """All pairs of entries of one inverted list that are in different classes so far and may link by their sizes."""
+
+    def unpack(blobs) -> list[np.ndarray]:
+        parts: list[list[np.ndarray]] = [[], [], [], [], []]
+        for x in blobs:
+            data, at = x.as_buffer(), 0
+            n = data.size // 29
+            for part, kind, width in zip(parts, (np.uint64, np.int64, np.int64, np.int32, np.int8), (8, 8, 8, 4, 1), strict=True):
+                part.append(np.frombuffer(data, kind, n, at))
+                at += n * width
+        return [np.concatenate(x) for x in parts]
+
+    def link(table: pa.Table) -> pa.Table:
+        key, ids, shift, n, side = unpack(table.column("entries"))
+        by = np.lexsort((ids, n, key))
+        key, ids, classes, n, side = key[by], ids[by], (ids + shift)[by], n[by], side[by]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        mixed = np.flatnonzero(np.minimum.reduceat(classes, start) != np.maximum.reduceat(classes, start))
+        end = np.append(start[1:], len(key))
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for r in mixed:
+            a, b = start[r], end[r]
+            for k in range(a + 1, b):
+                if n[k] <= boundary:
+                    continue
+                low = a + np.searchsorted(n[a:k], settings.least_size(int(n[k])))
+                ok = (classes[low:k] != classes[k]) & ((side[k] == 0) | (side[low:k] != side[k]))
+                hit = ids[low:k][ok]
+                if len(hit):
+                    us.append(hit)
+                    vs.append(np.full(len(hit), ids[k]))
+        return pa.Table.from_batches([_pairs(np.concatenate(us), np.concatenate(vs))])
 
-    def link(batches):
-        rest = None
-        for batch in itertools.chain(batches, [None]):
-            cols = None if batch is None else [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if rest is not None:
-                cols = rest if cols is None else [np.concatenate([a, b]) for a, b in zip(rest, cols, strict=True)]
-            if cols is None or not len(cols[0]):
-                continue
-            key, i, j, n, ids, classes, side = cols
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            bounds = [0, *cut.tolist(), len(key)]
-            if batch is not None:  # the last list may go on
-                rest = [c[bounds[-2] :] for c in cols]
-                bounds.pop()
-            us, vs = [], []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a > 1 and (classes[a:b] != classes[a]).any():
-                    u, v = pairs_of(n[a:b], ids[a:b], side[a:b], classes[a:b], i[a] != j[a])
-                    us += u
-                    vs += v
-            if us:
-                yield _pairs(np.concatenate(us), np.concatenate(vs))
-            else:
-                yield _pairs(np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    dealt = entries.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "id").select("key", "i", "j", "n", "id", "class", "side")
-    return dealt.mapInArrow(link, "u long, v long").distinct()
+    return dealt.groupBy("bucket").applyInArrow(link, "u long, v long").distinct()
 
 
 def _filter_words(ids: DataFrame, bits: int = 24) -> np.ndarray:
@@ -274,12 +325,18 @@ def _verified(pairs: DataFrame, source: DataFrame, settings: JaccardSettings, bi
             for c in (2, 3):
                 b = batch.column(c).to_numpy()
                 ok &= (words[b >> 6] >> (b & 63)) & 1 == 1
-            few = batch.filter(pa.array(ok))
-            sets = [tokens.tobytes() for _, tokens in shingle_sets(few.column(1).combine_chunks() if isinstance(few.column(1), pa.ChunkedArray) else few.column(1), settings.k)]
-            yield pa.RecordBatch.from_arrays([few.column(0), pa.array(sets, pa.binary())], ["id", "content"])
+            few, rows, held = batch.filter(pa.array(ok)), [], 0
+            ids = few.column(0).to_pylist()
+            for row, tokens in shingle_sets(few.column(1), settings.k):
+                rows.append((ids[row], tokens.tobytes()))
+                held += len(rows[-1][1])
+                if held > 4 << 20:
+                    yield _batch(["id", "content"], rows, [pa.int64(), pa.binary()])
+                    rows, held = [], 0
+            yield _batch(["id", "content"], rows, [pa.int64(), pa.binary()])
 
     sets = source.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *spots).mapInArrow(content, "id long, content binary")
-    sets = saved(sets.join(wanted, "id", "left_semi"))
+    sets = written(sets)  # the few that the filter lets through by chance meet no pair
 
     def check(batches):
         for batch in batches:
@@ -307,17 +364,19 @@ def jaccard_classes(docs: DataFrame, settings: JaccardSettings = JaccardSettings
     spark = docs.sparkSession
     source = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     counted = saved(_frequent(source, settings))
+    lists = counted.filter("kind = 1").agg(F.sum(F.col("n") * (F.col("key") - F.ceil(F.col("key") * settings.percent / 100) + 1))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(lists) // settings.bucket + 1)
     sizes = {int(r["key"]): int(r["n"]) for r in counted.filter("kind = 1 and key <= 64").collect()}
     sizes[64] = sizes.get(64, 0) + 1  # sets of any larger size cost the same under every boundary
     boundary = settings.boundary(sizes)
     heavy = counted.filter(f"kind = 0 and n >= {settings.heavy_count}").orderBy(F.desc("n"), "key").limit(settings.max_heavy).select("key", "n").toPandas()
     order = spark.sparkContext.broadcast((heavy["key"].to_numpy(np.int64).view(np.uint64), heavy["n"].to_numpy(np.int64)))
 
-    signed = saved(_signatures(source, settings, boundary, order))
-    nodes = saved(signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.first("posts", True).alias("posts"), F.first("parts", True).alias("parts")))
+    signed = written(_signatures(source, settings, boundary, order))
+    nodes = written(signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.first("seeds", True).alias("seeds"), F.first("parts", True).alias("parts")))
 
     # round 1, linear: neighbours in the lists of each set's first shingles, and all links by subsets
-    seeds = nodes.select("id", "n", F.explode(F.slice("posts", 1, settings.seeds)).alias("p")).select("p.key", F.lit(0).alias("o"), "n", "id")
+    seeds = nodes.select("id", "n", F.explode("seeds").alias("key")).select("key", F.lit(0).alias("o"), "n", "id")
     near = _runs(seeds, lambda n, m, o: 100 * n >= settings.percent * m)
     parts = nodes.select("id", "n", F.explode("parts").alias("p")).select("p.key", "p.o", "n", "id")
     # in a group of sets with a common subset of size o the smallest set links with every one that has a link there
@@ -326,14 +385,11 @@ def jaccard_classes(docs: DataFrame, settings: JaccardSettings = JaccardSettings
     first = components(links)
 
     # round 2, complete: what the inverted lists of whole prefixes hold across those classes
-    classed = nodes.filter("posts is not null").select("id", "n", "posts").join(first, "id", "left").select("id", "n", "posts", F.coalesce("component", "id").alias("class"))
-    posts = classed.select("id", "n", "class", F.explode("posts").alias("p")).select("id", "n", "class", "p.key", F.expr(f"cast(ceil(p.count / {settings.block}) as int)").alias("blocks"))
-    light = posts.filter("blocks <= 1").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "n", "id", "class", F.lit(0).alias("side"))
-    block = posts.filter("blocks > 1").withColumn("side", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).withColumn("k", F.explode(F.expr("sequence(0, blocks - 1)")))
-    heavy_cells = block.select("key", F.least("k", "side").alias("i"), F.greatest("k", "side").alias("j"), "n", "id", "class", "side")
-    across = saved(_list_pairs(light.unionAll(heavy_cells), settings, boundary))
-    more = _verified(across, source, settings)
-    final = components(links.unionAll(more))
+    classed = nodes.filter("seeds is not null").select("id", "n").join(first, "id", "left").select("id", "n", F.coalesce("component", "id").alias("class"))
+    posts = _prefixes(source, settings, boundary, order).join(classed, "id")
+    across = saved(_list_pairs(_dealt(posts, settings, buckets, order), settings, boundary))
+    more = saved(_verified(across, source, settings)) if not across.isEmpty() else across
+    final = components(links.unionAll(more)) if not more.isEmpty() else first
 
     labels = nodes.select("d1", "d2", "id").join(final, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("class"))
     linked = signed.select("doc_id", "n", "d1", "d2").join(labels, ["d1", "d2"], "left")

@@ -10,7 +10,7 @@ import pyarrow as pa
 
 from veilframe.llm.textio import slices_by_bytes, text_buffer, text_offsets
 
-_STEP, _RANGE_BYTES = np.uint64(0x9E3779B97F4A7C15), 4 << 20
+_STEP, _RANGE_BYTES = np.uint64(0x9E3779B97F4A7C15), 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
