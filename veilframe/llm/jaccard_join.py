@@ -265,7 +265,12 @@ def _dealt(rows: DataFrame, settings: JaccardSettings, buckets: int, order) -> D
 
 
 def _list_pairs(dealt: DataFrame, settings: JaccardSettings, boundary: int) -> DataFrame:
-    """All pairs of entries of one inverted list that are in different classes so far and may link by their sizes."""
+    """u, v: pairs of entries of one inverted list that are in different classes so far and may link.
+
+    Two bounds decide, both exact: by sizes, and by the number c of shingles that the two prefixes share. The prefix
+    that ends first in the common order, say of n shingles, shares all that it shares with the other set within the
+    other's prefix, so that the overlap is c + n - prefix(n) at most.
+    """
 
     def unpack(blobs) -> list[np.ndarray]:
         parts: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -292,13 +297,24 @@ def _list_pairs(dealt: DataFrame, settings: JaccardSettings, boundary: int) -> D
                     continue
                 low = a + np.searchsorted(n[a:k], settings.least_size(int(n[k])))
                 ok = (classes[low:k] != classes[k]) & ((side[k] == 0) | (side[low:k] != side[k]))
-                hit = ids[low:k][ok]
+                hit = low + np.flatnonzero(ok)
                 if len(hit):
                     us.append(hit)
-                    vs.append(np.full(len(hit), ids[k]))
-        return pa.Table.from_batches([_pairs(np.concatenate(us), np.concatenate(vs))])
-
-    return dealt.groupBy("bucket").applyInArrow(link, "u long, v long").distinct()
+                    vs.append(np.full(len(hit), k))
+        u, v = np.concatenate(us), np.concatenate(vs)
+        swap = ids[u] > ids[v]
+        u, v = np.where(swap, v, u), np.where(swap, u, v)
+        by = np.lexsort((ids[v], ids[u]))
+        u, v = u[by], v[by]
+        head = np.flatnonzero(np.concatenate([[True], (ids[u][1:] != ids[u][:-1]) | (ids[v][1:] != ids[v][:-1])])) if len(u) else u
+        c = np.diff(np.append(head, len(u)))
+        u, v = u[head], v[head]
+        return pa.table({"u": ids[u], "v": ids[v], "nu": n[u].astype(np.int64), "nv": n[v].astype(np.int64), "c": c.astype(np.int64)})
+
+    found = dealt.groupBy("bucket").applyInArrow(link, "u long, v long, nu long, nv long, c long").groupBy("u", "v").agg(F.max("nu").alias("nu"), F.max("nv").alias("nv"), F.sum("c").alias("c"))
+    least = F.ceil((F.col("nu") + F.col("nv")) * F.lit(settings.percent) / F.lit(100 + settings.percent))
+    rest = lambda n: F.col(n) - (F.col(n) - F.ceil(F.col(n) * F.lit(settings.percent) / F.lit(100)) + 1)  # noqa: E731  shingles behind the prefix
+    return found.filter(F.col("c") + F.greatest(rest("nu"), rest("nv")) >= least).select("u", "v")
 
 
 def _filter_words(ids: DataFrame, bits: int = 24) -> np.ndarray:
