@@ -38,8 +38,8 @@ class RepeatSettings:
 
     length: int = 50
     k: int = 16
-    bucket: int = 1 << 20
-    unit: int = 16 << 20
+    bucket: int = 1 << 19
+    unit: int = 8 << 20
     stretch: int = 1 << 20
 
 
@@ -139,18 +139,52 @@ def multikey_order(words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """data[start[i]:start[i] + size[i]] one behind the other."""
+    out = [data[:0]]
+    for a, b in _portions(size):
+        total = np.cumsum(size[a:b])
+        out.append(data[np.arange(total[-1]) + np.repeat(start[a:b] - (total - size[a:b]), size[a:b])])
+    return np.concatenate(out)
+
+
+def _portions(size: np.ndarray, most: int = 1 << 20):
+    """Ranges of rows of about `most` bytes in all, so that what is worked out for each byte stays small."""
     total = np.cumsum(size)
-    index = np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - size), size)
-    return data[index]
+    a = 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
 
 
-def string_hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the `length` bytes from each place on."""
-    up, down = _powers(1 << max(16, int(len(data)).bit_length()))
+def _prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of a polynomial over the bytes, and the inverse powers that shift a part of it to the start."""
+    up, down = _powers(1 << max(21, int(len(data)).bit_length()))
     number = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(number[data] * up[: len(data)], out=sums[1:])
-    return mix64((sums[length:] - sums[:-length]) * down[: len(data) - length + 1])
+    return sums, down
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each data[start[i]:start[i] + size[i]]."""
+    out = np.zeros(len(start), np.uint64)
+    for a, b in _portions(size):
+        sums, down = _prefix_sums(_gather(data, start[a:b], size[a:b]))
+        end = np.cumsum(size[a:b])
+        begin = end - size[a:b]
+        out[a:b] = mix64((sums[end] - sums[begin]) * down[begin] + size[a:b].astype(np.uint64))
+    return out
+
+
+def string_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all strings of `length` bytes of each data[start[i]:start[i] + size[i]], run by run."""
+    out = [np.zeros(0, np.uint64)]
+    for a, b in _portions(size):
+        sums, down = _prefix_sums(_gather(data, start[a:b], size[a:b]))
+        n = size[a:b] - length + 1
+        begin = np.repeat(np.cumsum(size[a:b]) - size[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out.append(mix64((sums[begin + length] - sums[begin]) * down[begin]))
+    return np.concatenate(out)
 
 
 def _unit_of(ids: np.ndarray, units: int) -> np.ndarray:
@@ -346,12 +380,7 @@ def _send_runs(docs: DataFrame, shared: DataFrame, settings: RepeatSettings, spl
 
     def finish(data: np.ndarray) -> list[tuple[int, int, bytes]]:
         ids, first, size, inner, start, lead = (np.concatenate(x) for x in zip(*held, strict=True))
-        body = _gather(data, start, size)
-        up, down = _powers(1 << max(16, int(len(body)).bit_length()))
-        ends = np.cumsum(size)
-        sums = np.zeros(len(body) + 1, np.uint64)
-        np.cumsum(mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))[body] * up[: len(body)], out=sums[1:])
-        whole = mix64((sums[ends] - sums[ends - size]) * down[ends - size] + size.astype(np.uint64))
+        whole = run_hashes(data, start, size)
         order = np.lexsort((ids, whole))
         same = np.concatenate([[False], whole[order][1:] == whole[order][:-1]])
         head = np.flatnonzero(~same)
@@ -362,7 +391,7 @@ def _send_runs(docs: DataFrame, shared: DataFrame, settings: RepeatSettings, spl
         send = np.sort(order[ids[order] == least])
         bucket = np.searchsorted(splitters, lead[send], "right")
         for to, (rows,) in _by_bucket(bucket, send):
-            text = _gather(body, ends[rows] - size[rows], size[rows]).tobytes()
+            text = _gather(data, start[rows], size[rows]).tobytes()
             heads = _HEAD.put(ids[rows], first[rows], size[rows], inner[rows])
             out.append((to, _RUNS, len(rows).to_bytes(8, "little") + heads + text))
         return out
@@ -417,7 +446,7 @@ def _sorted_buckets(sent: DataFrame, settings: RepeatSettings, units: int) -> Da
             n = size[rows] - length + 1
             run = np.repeat(np.arange(len(rows)), n)
             step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-            value = string_hashes(body, length)[start[rows][run] + step]
+            value = string_hashes(body, start[rows], size[rows], length)
             doc = ids[rows][run]
             by = np.lexsort((doc, value))
             fresh = np.concatenate([[True], value[by][1:] != value[by][:-1]])
