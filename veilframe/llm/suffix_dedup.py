@@ -20,10 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.components import written
+from veilframe.llm.idfilter import holds, id_filter, in_filter
 from veilframe.llm.shingles import _powers, mix64
 from veilframe.llm.textio import id_and_text, text_buffer, text_offsets
 
@@ -309,45 +311,49 @@ def _meet(sent: DataFrame, units: int) -> DataFrame:
     return sent.groupBy("key").applyInArrow(meet, "unit long, body binary")
 
 
-def _filter_of(rows: DataFrame, blobs: _Blobs, bits: int = 24) -> np.ndarray:
-    """A Bloom filter of fixed size (2 MB) of the documents in column body."""
+def _filter_of(rows: DataFrame, blobs: _Blobs) -> np.ndarray:
+    """A filter of the documents named in column body."""
+    return id_filter(rows.select("body"), lambda batch: blobs.get(x.as_buffer() for x in batch.column(0))[0])
 
-    def spots(batches):
-        for batch in batches:
-            ids = np.unique(blobs.get(x.as_buffer() for x in batch.column(0))[0])
-            spot = np.concatenate(_filter_spots(ids, bits))
-            yield pa.RecordBatch.from_arrays([pa.array(spot >> 6, pa.int64()), pa.array(np.int64(1) << (spot & 63), pa.int64())], ["w", "x"])
 
-    words = rows.select("body").mapInArrow(spots, "w long, x long").groupBy("w").agg(F.bit_or("x").alias("x")).toPandas()  # 2**18 rows at most, whatever the input
-    table = np.zeros(1 << (bits - 6), np.int64)
-    table[words["w"].to_numpy()] = words["x"].to_numpy()
-    return table
+def _squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
 
-def _filter_spots(ids: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(mix64(ids.astype(np.uint64) * np.uint64(2) + np.uint64(s)) >> np.uint64(64 - bits)).astype(np.int64) for s in (0, 1)]
+def _unsqueezed(blob) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
 
 
-def _chosen(source: DataFrame, table, units: int, inside: bool, bits: int = 24) -> DataFrame:
-    """unit, doc_id, text of the rows that the filter holds (inside), or doc_id, text of those that it doesn't."""
+def _in_units(source: DataFrame, table, units: int) -> DataFrame:
+    """unit, body: the documents that the filter holds, those of a batch and a unit together and compressed: count, ids, lengths, bytes."""
 
     def choose(batches):
-        words = table.value
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            a, b = _filter_spots(ids, bits)
-            hit = ((words[a >> 6] >> (a & 63)) & (words[b >> 6] >> (b & 63)) & 1) == 1
-            part = batch.filter(pa.array(hit == inside))
-            cols = [pa.array(_unit_of(part.column(0).to_numpy(), units)), *part.columns] if inside else part.columns
-            yield pa.RecordBatch.from_arrays(cols, ["unit", "doc_id", "text"] if inside else ["doc_id", "text"])
+            part = batch.filter(pa.array(holds(batch.column(0).to_numpy(), table.value)))
+            unit = _unit_of(part.column(0).to_numpy(), units)
+            part = part.take(pa.array(np.argsort(unit, kind="stable")))
+            unit.sort()
+            ids, offsets, data = part.column(0).to_numpy(), text_offsets(part.column(1)), text_buffer(part.column(1))
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(unit)) + 1, [len(unit)]]) if len(unit) else [0]
+            bodies = []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                lengths = np.diff(offsets[a : b + 1])
+                bodies.append(_squeezed(int(b - a).to_bytes(8, "little") + ids[a:b].astype("<i8").tobytes() + lengths.astype("<i8").tobytes() + data[offsets[a] : offsets[b]].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(unit[cut[:-1]] if len(unit) else unit, pa.int64()), pa.array(bodies, pa.binary())], ["unit", "body"])
 
-    return source.mapInArrow(choose, ("unit long, " if inside else "") + "doc_id long, text string")
+    return source.mapInArrow(choose, "unit long, body binary")
 
 
 def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    texts = table.column("text").combine_chunks()
-    texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) and texts.num_chunks else texts
-    return table.column("doc_id").to_numpy(), text_offsets(texts), text_buffer(texts)
+    """Ids, offsets and bytes of a unit's documents."""
+    ids, lengths, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+    for x in table.column("body"):
+        blob = _unsqueezed(x.as_buffer())
+        n = int.from_bytes(blob[:8], "little")
+        ids.append(np.frombuffer(blob, "<i8", n, 8))
+        lengths.append(np.frombuffer(blob, "<i8", n, 8 + 8 * n))
+        parts.append(np.frombuffer(blob, np.uint8, -1, 8 + 16 * n))
+    return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(lengths))]), np.concatenate(parts)
 
 
 _HEAD = _Blobs("<i8", "<i8", "u1", "u1")  # document, first start, bytes covered, place of the anchor among them
@@ -393,7 +399,7 @@ def _send_runs(docs: DataFrame, shared: DataFrame, settings: RepeatSettings, spl
         for to, (rows,) in _by_bucket(bucket, send):
             text = _gather(data, start[rows], size[rows]).tobytes()
             heads = _HEAD.put(ids[rows], first[rows], size[rows], inner[rows])
-            out.append((to, _RUNS, len(rows).to_bytes(8, "little") + heads + text))
+            out.append((to, _RUNS, _squeezed(len(rows).to_bytes(8, "little") + heads + text)))
         return out
 
     return docs.groupBy("unit").cogroup(shared.groupBy("unit")).applyInArrow(send, _ROW)
@@ -409,10 +415,10 @@ def _sorted_buckets(sent: DataFrame, settings: RepeatSettings, units: int) -> Da
             return pa.table({"unit": pa.array([-1 - key[0].as_py()] * table.num_rows, pa.int64()), "body": table.column("body")})
         heads, texts = [], []
         for x in table.column("body"):
-            blob = x.as_buffer()
-            n = int.from_bytes(blob[:8].to_pybytes(), "little")
+            blob = _unsqueezed(x.as_buffer())
+            n = int.from_bytes(blob[:8], "little")
             heads.append(blob[8 : 8 + n * _HEAD.width])
-            texts.append(np.frombuffer(blob[8 + n * _HEAD.width :], np.uint8))
+            texts.append(np.frombuffer(blob, np.uint8, -1, 8 + n * _HEAD.width))
         ids, first, size, inner = _HEAD.get(heads)
         size, inner = size.astype(np.int64), inner.astype(np.int64)
         body = np.concatenate([*texts, np.zeros(1, np.uint8)])
@@ -477,7 +483,7 @@ def _cut(docs: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(left, right):
-        ids, offsets, data = _texts(left) if left.num_rows else (np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint8))
+        ids, offsets, data = _texts(left)
         doc, low, high = _SPANS.get(x.as_buffer() for x in right.column("body"))
         order = np.lexsort((high, low, doc))
         doc, low, high = doc[order], low[order], high[order]
@@ -513,11 +519,12 @@ def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings(),
     A byte of a text goes if it lies in a string of settings.length bytes that also starts in a document with a
     smaller id, as the input stands. Ids are integers. Null texts count as empty; texts shorter than a string
     stay; repeats inside one document stay; repeated rows under one id stay and each lose what other documents
-    hold; different texts under one id are cut at the union of their spans. An empty table gives an empty result;
+    hold; different texts under one id are cut at the union of their spans; rows without an id stay whole and cut no other. An empty table gives an empty result;
     other columns are ignored. The text is scanned four times and only documents with shared anchors move.
     """
     spark = docs.sparkSession
-    source = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    source, nameless = rows.filter("doc_id is not null"), rows.filter("doc_id is null")
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchors = 2 * total // (settings.length - settings.k + 2)
@@ -534,11 +541,11 @@ def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings(),
     splitters = np.unique(sample[np.linspace(0, len(sample) - 1, buckets + 1).astype(np.int64)[1:-1]]) if len(sample) else sample
     told = shared.filter("unit >= 0")
     context = spark.sparkContext
-    near = _chosen(source, context.broadcast(_filter_of(told, _SHARED)), units, True)
+    near = _in_units(source, context.broadcast(_filter_of(told, _SHARED)), units)
     spans = written(_sorted_buckets(_send_runs(near, told, settings, splitters, units), settings, units))
     table = context.broadcast(_filter_of(spans, _SPANS))
-    changed = _cut(_chosen(source, table, units, True), spans, with_text)
-    plain = _chosen(source, table, units, False)
+    changed = _cut(_in_units(source, table, units), spans, with_text)
+    plain = in_filter(source, table, False).unionAll(nameless)
     text = F.coalesce(F.col("text"), F.lit(""))
     same = plain.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"), *([text.cast("binary").alias("kept")] if with_text else []))
     return changed.unionByName(same)
