@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.components import components, saved, written
+from veilframe.llm.idfilter import first_column, id_filter, in_filter
 from veilframe.llm.shingles import digest, mix64, shingle_sets
 from veilframe.llm.textio import id_and_text
 
@@ -28,7 +29,7 @@ class JaccardSettings:
     The rest decides cost, never results. max_heavy: so many frequent shingles at most are put last in the order of
     shingles (12 bytes each, broadcast). heavy_count: occurrences, as counted, that make one frequent. block: so
     many entries of one inverted list at most meet in one group. seeds: shingles per set that the first, linear
-    round looks at. posting_cost: cost of an inverted-list entry in subsets. bucket: about so many inverted-list
+    round looks at, those of the least hashes. posting_cost: cost of an inverted-list entry in subsets. bucket: about so many inverted-list
     entries (29 bytes each) are held by a task.
     """
 
@@ -139,15 +140,14 @@ def _batch(names: list[str], rows: list[tuple], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
 
-def _signatures(source: DataFrame, settings: JaccardSettings, boundary: int, order) -> DataFrame:
-    """doc_id, n, d1, d2 and, for the first row of a set in a stretch of a task: seeds, its first shingles, and parts (key, o), its subsets."""
+def _signatures(source: DataFrame, settings: JaccardSettings, boundary: int) -> DataFrame:
+    """doc_id, n, d1, d2 and, for the first row of a set in a stretch of a task: seeds, its shingles of the least hashes, and parts (key, o), its subsets."""
     lists_from = settings.least_size(boundary + 1)
     part = pa.list_(pa.struct([("key", pa.int64()), ("o", pa.int32())]))
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), part]
     names = ["doc_id", "n", "d1", "d2", "seeds", "parts"]
 
     def sign(batches):
-        known = _Order(*order.value)
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
@@ -158,7 +158,7 @@ def _signatures(source: DataFrame, settings: JaccardSettings, boundary: int, ord
                     if len(seen) < 1 << 18:
                         seen.add(own)
                     if size >= lists_from:
-                        seeds = known.first(tokens, min(settings.seeds, settings.prefix(size)))[0].view(np.int64).tolist()
+                        seeds = tokens[: settings.seeds].view(np.int64).tolist()
                     if size <= boundary:
                         parts = [{"key": x, "o": o} for x, o in zip(*_subset_keys(tokens, settings.subset_sizes(size, boundary)), strict=True)]
                 rows.append((ids[row], size, *own, seeds, parts))
@@ -194,7 +194,7 @@ def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
 
 
 def _runs(entries: DataFrame, fits) -> DataFrame:
-    """Candidate pairs of each key's entries in order of (n, id): every entry with the one before it and with the
+    """Candidate pairs of each key's entries in order of (rank, id): every entry with the one before it and with the
     first of its key, where fits(smaller n, larger n, o) holds. Rows stream by; only one entry is carried over.
     """
 
@@ -211,12 +211,12 @@ def _runs(entries: DataFrame, fits) -> DataFrame:
             at = np.maximum.accumulate(at)
             head_n, head_id = np.where(at >= 0, n[at], head[2] if head else 0), np.where(at >= 0, ids[at], head[3] if head else 0)
             prev_n, prev_id = np.concatenate([[last[2] if last else 0], n[:-1]]), np.concatenate([[last[3] if last else 0], ids[:-1]])
-            near, star = same & fits(prev_n, n, o), same & fits(head_n, n, o)
+            near, star = (same & fits(np.minimum(x, n), np.maximum(x, n), o) for x in (prev_n, head_n))
             yield _pairs(np.concatenate([prev_id[near], head_id[star]]), np.concatenate([ids[near], ids[star]]))
             last = (key[-1], o[-1], n[-1], ids[-1])
             head = last if not same[-1] else (key[-1], o[-1], head_n[-1], head_id[-1])
 
-    return entries.repartition("key").sortWithinPartitions("key", "o", "n", "id").select("key", "o", "n", "id").mapInArrow(link, "u long, v long").distinct()
+    return entries.repartition("key").sortWithinPartitions("key", "o", "rank", "id").select("key", "o", "n", "id").mapInArrow(link, "u long, v long").distinct()
 
 
 def _dealt(rows: DataFrame, settings: JaccardSettings, buckets: int, order) -> DataFrame:
@@ -317,33 +317,17 @@ def _list_pairs(dealt: DataFrame, settings: JaccardSettings, boundary: int) -> D
     return found.filter(F.col("c") + F.greatest(rest("nu"), rest("nv")) >= least).select("u", "v")
 
 
-def _filter_words(ids: DataFrame, bits: int = 24) -> np.ndarray:
-    """A Bloom filter of fixed size (2 MB) of the ids in column id, two bits each."""
-    spot = [F.pmod(F.xxhash64("id", F.lit(s)), F.lit(1 << bits)) for s in (1, 2)]
-    words = ids.select(F.explode(F.array(*spot)).alias("b")).groupBy(F.expr("cast(b div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("x"))
-    table = np.zeros(1 << (bits - 6), np.int64)
-    got = words.toPandas()  # 2**18 rows at most, whatever the input
-    table[got["w"].to_numpy()] = got["x"].to_numpy()
-    return table
-
-
-def _verified(pairs: DataFrame, source: DataFrame, settings: JaccardSettings, bits: int = 24) -> DataFrame:
+def _verified(pairs: DataFrame, source: DataFrame, settings: JaccardSettings) -> DataFrame:
     """The pairs u, v whose sets link, by exact intersection."""
     context = source.sparkSession.sparkContext
     wanted = pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))).distinct()
-    table = context.broadcast(_filter_words(wanted, bits))
-    spots = [F.pmod(F.xxhash64("doc_id", F.lit(s)), F.lit(1 << bits)).alias(f"b{s}") for s in (1, 2)]
+    table = context.broadcast(id_filter(wanted, first_column))
 
     def content(batches):
-        words = table.value
         for batch in batches:
-            ok = np.ones(batch.num_rows, bool)
-            for c in (2, 3):
-                b = batch.column(c).to_numpy()
-                ok &= (words[b >> 6] >> (b & 63)) & 1 == 1
-            few, rows, held = batch.filter(pa.array(ok)), [], 0
-            ids = few.column(0).to_pylist()
-            for row, tokens in shingle_sets(few.column(1), settings.k):
+            rows, held = [], 0
+            ids = batch.column(0).to_pylist()
+            for row, tokens in shingle_sets(batch.column(1), settings.k):
                 rows.append((ids[row], tokens.tobytes()))
                 held += len(rows[-1][1])
                 if held > 4 << 20:
@@ -351,7 +335,7 @@ def _verified(pairs: DataFrame, source: DataFrame, settings: JaccardSettings, bi
                     rows, held = [], 0
             yield _batch(["id", "content"], rows, [pa.int64(), pa.binary()])
 
-    sets = source.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *spots).mapInArrow(content, "id long, content binary")
+    sets = in_filter(source, table, True).mapInArrow(content, "id long, content binary")
     sets = written(sets)  # the few that the filter lets through by chance meet no pair
 
     def check(batches):
@@ -369,11 +353,27 @@ def _verified(pairs: DataFrame, source: DataFrame, settings: JaccardSettings, bi
     return full.mapInArrow(check, "u long, v long")
 
 
+def keep_one_each(docs: DataFrame, settings: JaccardSettings = JaccardSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns kept, with the document of the smallest id of each class; of rows under one id one stays, and all rows without an id.
+
+    Texts of documents that may have to go, and of repeated ids, meet the list of those that do in a join; the
+    others pass by it.
+    """
+    classes = written(jaccard_classes(docs, settings, id_col, text_col).filter("doc_id is not null"))
+    losers = classes.filter("doc_id != component_id").select(F.col("doc_id").alias("_loser")).distinct()
+    repeated = classes.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    table = docs.sparkSession.sparkContext.broadcast(id_filter(losers.unionAll(repeated), first_column))
+    doubtful = in_filter(docs, table, True, id_col)
+    kept = doubtful.join(losers, doubtful[id_col] == losers["_loser"], "left_anti").dropDuplicates([id_col])
+    return in_filter(docs, table, False, id_col).unionByName(kept)
+
+
 def jaccard_classes(docs: DataFrame, settings: JaccardSettings = JaccardSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every whole text: the smallest doc_id reachable over links, itself included.
 
     Ids are integers. Null texts and texts without words have no shingles and no links. Repeated rows and copies
-    are one node from the start. Rows under one id with different texts count as one document with several sets.
+    are one node from the start. Rows under one id with different texts count as one document with several sets; rows
+    without an id link with nothing and have no component.
     An empty table gives an empty result; other columns are ignored. Every link between different sets is either
     verified or lies inside a class that verified links already join; no list, group or partner is cut off.
     """
@@ -388,13 +388,14 @@ def jaccard_classes(docs: DataFrame, settings: JaccardSettings = JaccardSettings
     heavy = counted.filter(f"kind = 0 and n >= {settings.heavy_count}").orderBy(F.desc("n"), "key").limit(settings.max_heavy).select("key", "n").toPandas()
     order = spark.sparkContext.broadcast((heavy["key"].to_numpy(np.int64).view(np.uint64), heavy["n"].to_numpy(np.int64)))
 
-    signed = written(_signatures(source, settings, boundary, order))
-    nodes = written(signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.first("seeds", True).alias("seeds"), F.first("parts", True).alias("parts")))
+    signed = written(_signatures(source, settings, boundary))
+    nodes = written(signed.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.count("*").alias("copies"), F.first("seeds", True).alias("seeds"), F.first("parts", True).alias("parts")))
 
-    # round 1, linear: neighbours in the lists of each set's first shingles, and all links by subsets
-    seeds = nodes.select("id", "n", F.explode("seeds").alias("key")).select("key", F.lit(0).alias("o"), "n", "id")
+    # round 1, linear: in the lists of each set's least shingles by hash, neighbours and the set of the most copies, from
+    # which near copies are most likely made, with all others; and all links by subsets
+    seeds = nodes.select("id", "n", (-F.col("copies")).alias("rank"), F.explode("seeds").alias("key")).select("key", F.lit(0).alias("o"), "rank", "n", "id")
     near = _runs(seeds, lambda n, m, o: 100 * n >= settings.percent * m)
-    parts = nodes.select("id", "n", F.explode("parts").alias("p")).select("p.key", "p.o", "n", "id")
+    parts = nodes.select("id", "n", F.explode("parts").alias("p")).select("p.key", "p.o", F.col("n").cast("long").alias("rank"), "n", "id")
     # in a group of sets with a common subset of size o the smallest set links with every one that has a link there
     small = _runs(parts, lambda n, m, o: (100 + settings.percent) * o >= settings.percent * (n + m))
     links = saved(_verified(saved(near.unionAll(small).distinct()), source, settings))
@@ -409,4 +410,4 @@ def jaccard_classes(docs: DataFrame, settings: JaccardSettings = JaccardSettings
 
     labels = nodes.select("d1", "d2", "id").join(final, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("class"))
     linked = signed.select("doc_id", "n", "d1", "d2").join(labels, ["d1", "d2"], "left")
-    return linked.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("doc_id")).alias("component_id"))
+    return linked.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("class"))).otherwise(F.col("doc_id")).alias("component_id"))
