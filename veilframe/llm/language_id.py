@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilframe.llm.textio import has_letter, text_buffer, text_offsets
 
@@ -139,3 +140,21 @@ def identify(docs: DataFrame, model: LanguageModel | None, settings: LanguageSet
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
 
     return source.mapInArrow(run, f"{out}, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: LanguageModel | None, min_score: float = 0.3, settings: LanguageSettings = LanguageSettings(), text_col: str = "text") -> DataFrame:
+    """docs, all columns kept, without the rows whose language is `und` or scores less than min_score. Without a model nothing is rejected but texts without letters."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place, width, sharpness = docs.columns.index(text_col), settings.width, settings.sharpness
+
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            texts, keep = batch.column(place), np.ones(batch.num_rows, bool)
+            for low in range(0, batch.num_rows if known else 0, 256):
+                rows = range(low, min(low + 256, batch.num_rows))
+                keep[rows.start : rows.stop] = known.scores(presence_matrix(texts, rows, width), sharpness).max(1) >= min_score
+            keep &= np.array([has_letter(t.as_py()) for t in texts], bool)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
