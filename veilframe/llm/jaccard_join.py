@@ -30,7 +30,7 @@ class JaccardSettings:
     shingles (12 bytes each, broadcast). heavy_count: occurrences, as counted, that make one frequent. block: so
     many entries of one inverted list at most meet in one group. seeds: shingles per set that the first, linear
     round looks at, those of the least hashes. posting_cost: cost of an inverted-list entry in subsets. bucket: about so many inverted-list
-    entries (29 bytes each) are held by a task.
+    entries (33 bytes each) are held by a task.
     """
 
     percent: int = 85
@@ -220,8 +220,8 @@ def _runs(entries: DataFrame, fits) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, settings: JaccardSettings, buckets: int, order) -> DataFrame:
-    """bucket and entries: the inverted-list entries of rows (id, n, class, posts) that fall into a bucket of keys, as
-    the bytes of five columns: key, id, class - id, n, side.
+    """bucket and entries: the inverted-list entries of rows (id, n, class, met, posts) that fall into a bucket of keys,
+    as the bytes of six columns: key, id, class - id, n, met, side.
 
     A list counted at more than `block` entries is dealt over cells, one for each pair of blocks, by the hash of its
     ids; side then tells the two blocks of a cell apart (1, 2) and is 0 elsewhere.
@@ -234,9 +234,9 @@ def _dealt(rows: DataFrame, settings: JaccardSettings, buckets: int, order) -> D
                 some = batch.slice(low, 2048)
                 if not some.num_rows:
                     continue
-                lengths = np.array([len(x.as_buffer()) // 8 for x in some.column(3)])
-                keys = np.frombuffer(b"".join(x.as_buffer() for x in some.column(3)), np.uint64)
-                ids, n, classes = (np.repeat(some.column(k).to_numpy(), lengths) for k in (0, 1, 2))
+                lengths = np.array([len(x.as_buffer()) // 8 for x in some.column(4)])
+                keys = np.frombuffer(b"".join(x.as_buffer() for x in some.column(4)), np.uint64)
+                ids, n, classes, met = (np.repeat(some.column(k).to_numpy(), lengths) for k in (0, 1, 2, 3))
                 blocks = -(-known.counts_of(keys) // settings.block)
                 side = np.zeros(len(keys), np.int8)
                 big = np.flatnonzero(blocks > 1)
@@ -250,7 +250,7 @@ def _dealt(rows: DataFrame, settings: JaccardSettings, buckets: int, order) -> D
                     rest = np.flatnonzero(blocks <= 1)
                     take = np.concatenate([rest, big[again]])
                     keys, side = np.concatenate([keys[rest], cells]), np.concatenate([side[rest], sides])
-                    ids, n, classes = ids[take], n[take], classes[take]
+                    ids, n, classes, met = ids[take], n[take], classes[take], met[take]
                 bucket = (mix64(keys) % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
@@ -258,10 +258,41 @@ def _dealt(rows: DataFrame, settings: JaccardSettings, buckets: int, order) -> D
                 blobs = []
                 for b in full:
                     at = by[cut[b] : cut[b + 1]]
-                    blobs.append(b"".join([keys[at].tobytes(), ids[at].tobytes(), (classes[at] - ids[at]).tobytes(), n[at].astype(np.int32).tobytes(), side[at].tobytes()]))
+                    blobs.append(b"".join([keys[at].tobytes(), ids[at].tobytes(), (classes[at] - ids[at]).tobytes(), n[at].astype(np.int32).tobytes(), met[at].astype(np.int32).tobytes(), side[at].tobytes()]))
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "entries"])
 
-    return rows.select("id", "n", "class", "posts").mapInArrow(deal, "bucket int, entries binary")
+    return rows.select("id", "n", "class", "met", "posts").mapInArrow(deal, "bucket int, entries binary")
+
+
+def _lists(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """A bucket's entries in order of (key, n, id): ids, classes, n, met, side; and the first and the end of each list with several classes."""
+    kinds = ((np.uint64, 8), (np.int64, 8), (np.int64, 8), (np.int32, 4), (np.int32, 4), (np.int8, 1))
+    parts: list[list[np.ndarray]] = [[] for _ in kinds]
+    for x in table.column("entries"):
+        data, at = x.as_buffer(), 0
+        n = data.size // 33
+        for part, (kind, width) in zip(parts, kinds, strict=True):
+            part.append(np.frombuffer(data, kind, n, at))
+            at += n * width
+    key, ids, shift, n, met, side = (np.concatenate(x) for x in parts)
+    by = np.lexsort((ids, n, key))
+    key, ids, classes, n, met, side = key[by], ids[by], (ids + shift)[by], n[by], met[by], side[by]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    end = np.append(start[1:], len(key))
+    mixed = np.minimum.reduceat(classes, start) != np.maximum.reduceat(classes, start)
+    return ids, classes, n, met, side, start[mixed], end[mixed]
+
+
+def _meetings(dealt: DataFrame) -> DataFrame:
+    """id and met: how many shingles of its prefix a set has in lists with sets of other classes (of lists dealt over cells, maybe more)."""
+
+    def count(table: pa.Table) -> pa.Table:
+        ids, _, _, _, _, start, end = _lists(table)
+        some = np.concatenate([np.zeros(0, np.int64), *[ids[a:b] for a, b in zip(start, end, strict=True)]])
+        own, times = np.unique(some, return_counts=True)
+        return pa.table({"id": own, "met": times})
+
+    return dealt.groupBy("bucket").applyInArrow(count, "id long, met long").groupBy("id").agg(F.sum("met").cast("int").alias("met"))
 
 
 def _list_pairs(dealt: DataFrame, settings: JaccardSettings, boundary: int) -> DataFrame:
@@ -269,34 +300,25 @@ def _list_pairs(dealt: DataFrame, settings: JaccardSettings, boundary: int) -> D
 
     Two bounds decide, both exact: by sizes, and by the number c of shingles that the two prefixes share. The prefix
     that ends first in the common order, say of n shingles, shares all that it shares with the other set within the
-    other's prefix, so that the overlap is c + n - prefix(n) at most.
+    other's prefix, so that the overlap is c + n - prefix(n) at most. And c is `met` of either set at most, which
+    spares sets whose prefixes are nearly all their own, like copies with many changes, from being paired at all.
     """
+    percent = settings.percent
 
-    def unpack(blobs) -> list[np.ndarray]:
-        parts: list[list[np.ndarray]] = [[], [], [], [], []]
-        for x in blobs:
-            data, at = x.as_buffer(), 0
-            n = data.size // 29
-            for part, kind, width in zip(parts, (np.uint64, np.int64, np.int64, np.int32, np.int8), (8, 8, 8, 4, 1), strict=True):
-                part.append(np.frombuffer(data, kind, n, at))
-                at += n * width
-        return [np.concatenate(x) for x in parts]
+    def least_common(n, m):
+        overlap = -(-percent * (n + m) // (100 + percent))
+        return overlap - np.maximum(-(-percent * n // 100), -(-percent * m // 100)) + 1
 
     def link(table: pa.Table) -> pa.Table:
-        key, ids, shift, n, side = unpack(table.column("entries"))
-        by = np.lexsort((ids, n, key))
-        key, ids, classes, n, side = key[by], ids[by], (ids + shift)[by], n[by], side[by]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        mixed = np.flatnonzero(np.minimum.reduceat(classes, start) != np.maximum.reduceat(classes, start))
-        end = np.append(start[1:], len(key))
+        ids, classes, n, met, side, start, end = _lists(table)
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for r in mixed:
-            a, b = start[r], end[r]
+        for a, b in zip(start, end, strict=True):
             for k in range(a + 1, b):
                 if n[k] <= boundary:
                     continue
                 low = a + np.searchsorted(n[a:k], settings.least_size(int(n[k])))
                 ok = (classes[low:k] != classes[k]) & ((side[k] == 0) | (side[low:k] != side[k]))
+                ok &= np.minimum(met[low:k], met[k]) >= least_common(n[low:k].astype(np.int64), int(n[k]))
                 hit = low + np.flatnonzero(ok)
                 if len(hit):
                     us.append(hit)
@@ -309,12 +331,10 @@ def _list_pairs(dealt: DataFrame, settings: JaccardSettings, boundary: int) -> D
         head = np.flatnonzero(np.concatenate([[True], (ids[u][1:] != ids[u][:-1]) | (ids[v][1:] != ids[v][:-1])])) if len(u) else u
         c = np.diff(np.append(head, len(u)))
         u, v = u[head], v[head]
-        return pa.table({"u": ids[u], "v": ids[v], "nu": n[u].astype(np.int64), "nv": n[v].astype(np.int64), "c": c.astype(np.int64)})
+        return pa.table({"u": ids[u], "v": ids[v], "least": least_common(n[u].astype(np.int64), n[v].astype(np.int64)), "c": c.astype(np.int64)})
 
-    found = dealt.groupBy("bucket").applyInArrow(link, "u long, v long, nu long, nv long, c long").groupBy("u", "v").agg(F.max("nu").alias("nu"), F.max("nv").alias("nv"), F.sum("c").alias("c"))
-    least = F.ceil((F.col("nu") + F.col("nv")) * F.lit(settings.percent) / F.lit(100 + settings.percent))
-    rest = lambda n: F.col(n) - (F.col(n) - F.ceil(F.col(n) * F.lit(settings.percent) / F.lit(100)) + 1)  # noqa: E731  shingles behind the prefix
-    return found.filter(F.col("c") + F.greatest(rest("nu"), rest("nv")) >= least).select("u", "v")
+    found = dealt.groupBy("bucket").applyInArrow(link, "u long, v long, least long, c long").groupBy("u", "v").agg(F.max("least").alias("least"), F.sum("c").alias("c"))
+    return found.filter("c >= least").select("u", "v")
 
 
 def _verified(pairs: DataFrame, source: DataFrame, settings: JaccardSettings) -> DataFrame:
@@ -403,7 +423,10 @@ def jaccard_classes(docs: DataFrame, settings: JaccardSettings = JaccardSettings
 
     # round 2, complete: what the inverted lists of whole prefixes hold across those classes
     classed = nodes.filter("seeds is not null").select("id", "n").join(first, "id", "left").select("id", "n", F.coalesce("component", "id").alias("class"))
-    posts = _prefixes(source, settings, boundary, order).join(classed, "id")
+    posts = _prefixes(source, settings, boundary, order).join(classed.withColumn("met", F.lit(0)), "id")
+    met = saved(_meetings(_dealt(posts, settings, buckets, order)))
+    some = in_filter(source, spark.sparkContext.broadcast(id_filter(met, first_column)), True)
+    posts = _prefixes(some, settings, boundary, order).join(classed.join(met, "id"), "id")
     across = saved(_list_pairs(_dealt(posts, settings, buckets, order), settings, boundary))
     more = saved(_verified(across, source, settings)) if not across.isEmpty() else across
     final = components(links.unionAll(more)) if not more.isEmpty() else first
