@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from veilframe.llm.textio import id_and_text, text_buffer, text_offsets
+from veilframe.llm.textio import bound_batches, id_and_text, text_buffer, text_offsets
 
 #: Upper to lower case for A-Z; every other byte outside 0-9, a-z and 0x80-0xFF becomes a blank.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -154,6 +154,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
 
 def _scanner(docs: DataFrame, benchmark: DataFrame, window: int, item_col: str, item_text_col: str, block_bytes: int):
     """A function of a text's UTF-8 bytes, to be used in tasks: (words, runs, items, longest match)."""
+    bound_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     parts = [context.broadcast(x) for x in _blocks(benchmark, item_col, item_text_col, block_bytes)]
 

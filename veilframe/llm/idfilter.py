@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from veilframe.llm.shingles import mix64
+from veilframe.llm.textio import bound_batches
 
 _BITS = 24
 
@@ -60,6 +61,7 @@ def first_column(batch: pa.RecordBatch) -> np.ndarray:
 
 def in_filter(docs: DataFrame, table, inside: bool, id_col: str = "doc_id") -> DataFrame:
     """docs, all columns kept, with the rows that the broadcast filter holds (inside) or doesn't hold. Rows without an id are outside."""
+    bound_batches(docs.sparkSession)
     place = docs.columns.index(id_col)
 
     def choose(batches):

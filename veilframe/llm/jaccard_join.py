@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.components import components, saved, written
-from veilframe.llm.idfilter import first_column, id_filter, in_filter
+from veilframe.llm.idfilter import first_column, holds, id_filter, in_filter
 from veilframe.llm.shingles import digest, mix64, shingle_sets
 from veilframe.llm.textio import id_and_text
 
@@ -72,7 +72,7 @@ class JaccardSettings:
 
 def _frequent(source: DataFrame, settings: JaccardSettings) -> DataFrame:
     """kind 0: shingles found in three or more of the different sets of one stretch of a task, with how many; kind 1: set sizes, with how many sets."""
-    limit = 1 << 22
+    limit = 1 << 21
 
     def count(batches):
         def flush():
@@ -167,13 +167,23 @@ def _signatures(source: DataFrame, settings: JaccardSettings, boundary: int) ->
     return source.mapInArrow(sign, "doc_id long, n int, d1 long, d2 long, seeds array<long>, parts array<struct<key:long,o:int>>")
 
 
-def _prefixes(source: DataFrame, settings: JaccardSettings, boundary: int, order) -> DataFrame:
-    """id and posts (int64 keys as bytes), the whole prefix of every set that goes into inverted lists."""
+def _few(batch: pa.RecordBatch, table) -> pa.RecordBatch:
+    """The rows of a batch (doc_id, text) that the broadcast filter holds; all without a filter. Rows without an id go."""
+    ids = batch.column(0)
+    keep = np.asarray(ids.is_valid())
+    if table is not None:
+        keep &= holds(ids.fill_null(0).to_numpy(), table.value)
+    return batch if keep.all() else batch.filter(pa.array(keep))
+
+
+def _prefixes(source: DataFrame, settings: JaccardSettings, boundary: int, order, table=None) -> DataFrame:
+    """id and posts (int64 keys as bytes), the whole prefix of every set that goes into inverted lists, of ids in the filter `table`."""
     lists_from = settings.least_size(boundary + 1)
 
     def post(batches):
         known = _Order(*order.value)
         for batch in batches:
+            batch = _few(batch, table)
             ids, rows, held = batch.column(0).to_pylist(), [], 0
             for row, tokens in shingle_sets(batch.column(1), settings.k):
                 if len(tokens) >= lists_from:
@@ -345,7 +355,7 @@ def _verified(pairs: DataFrame, source: DataFrame, settings: JaccardSettings) ->
 
     def content(batches):
         for batch in batches:
-            rows, held = [], 0
+            batch, rows, held = _few(batch, table), [], 0
             ids = batch.column(0).to_pylist()
             for row, tokens in shingle_sets(batch.column(1), settings.k):
                 rows.append((ids[row], tokens.tobytes()))
@@ -355,7 +365,7 @@ def _verified(pairs: DataFrame, source: DataFrame, settings: JaccardSettings) ->
                     rows, held = [], 0
             yield _batch(["id", "content"], rows, [pa.int64(), pa.binary()])
 
-    sets = in_filter(source, table, True).mapInArrow(content, "id long, content binary")
+    sets = source.mapInArrow(content, "id long, content binary")
     sets = written(sets)  # the few that the filter lets through by chance meet no pair
 
     def check(batches):
@@ -425,9 +435,12 @@ def jaccard_classes(docs: DataFrame, settings: JaccardSettings = JaccardSettings
     classed = nodes.filter("seeds is not null").select("id", "n").join(first, "id", "left").select("id", "n", F.coalesce("component", "id").alias("class"))
     posts = _prefixes(source, settings, boundary, order).join(classed.withColumn("met", F.lit(0)), "id")
     met = saved(_meetings(_dealt(posts, settings, buckets, order)))
-    some = in_filter(source, spark.sparkContext.broadcast(id_filter(met, first_column)), True)
-    posts = _prefixes(some, settings, boundary, order).join(classed.join(met, "id"), "id")
-    across = saved(_list_pairs(_dealt(posts, settings, buckets, order), settings, boundary))
+    table = spark.sparkContext.broadcast(id_filter(met, first_column))
+    meeting = classed.join(met, "id")
+    # few of all entries are left: they go to as many buckets as they fill, so that a pair's shingles are counted in few places
+    left = meeting.agg(F.sum(F.col("n") * F.lit(100 - settings.percent) / 100 + 2)).first()[0] or 0
+    posts = _prefixes(source, settings, boundary, order, table).join(meeting, "id")
+    across = saved(_list_pairs(_dealt(posts, settings, int(left) // settings.bucket + 1, order), settings, boundary))
     more = saved(_verified(across, source, settings)) if not across.isEmpty() else across
     final = components(links.unionAll(more)) if not more.isEmpty() else first
 

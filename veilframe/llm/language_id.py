@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.llm.textio import has_letter, text_buffer, text_offsets
+from veilframe.llm.textio import bound_batches, has_letter, text_buffer, text_offsets
 
 #: A-Z as a-z; digits, signs and blanks as one blank; bytes of other scripts as they are.
 _PLAIN = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint32)
@@ -120,6 +120,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, settings: LanguageSet
     scored one by one, an empty table gives an empty result, columns that are not asked for are ignored. One narrow
     pass; the model that is broadcast has landmarks * width floats (8 MB).
     """
+    bound_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(model)
     width, sharpness = settings.width, settings.sharpness
@@ -144,6 +145,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, settings: LanguageSet
 
 def keep_known(docs: DataFrame, model: LanguageModel | None, min_score: float = 0.3, settings: LanguageSettings = LanguageSettings(), text_col: str = "text") -> DataFrame:
     """docs, all columns kept, without the rows whose language is `und` or scores less than min_score. Without a model nothing is rejected but texts without letters."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place, width, sharpness = docs.columns.index(text_col), settings.width, settings.sharpness
 

@@ -15,8 +15,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lowers the session's limit on the bytes of an Arrow batch, so that what a Python worker gets at once does not grow with the length of texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(key))
+    if not now or not 0 < int(now[1]) <= most:
+        spark.conf.set(key, str(most))
+
+
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator works on, under the names doc_id and text; all others are left behind, so none can clash."""
+    bound_batches(df.sparkSession)
     return df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"))
 
 
