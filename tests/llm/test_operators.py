@@ -1,0 +1,418 @@
+"""Each operator against a plain version, over small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import collections
+import hashlib
+import math
+import os
+import random
+import re
+import sys
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.dirname(__file__))
+from edge import frame, texts, words  # noqa: E402
+
+from veilframe.llm import language_id, quality_classifier  # noqa: E402
+from veilframe.llm.components import components  # noqa: E402
+from veilframe.llm.decontaminate import SuffixAutomaton, decontaminate, find_contamination  # noqa: E402
+from veilframe.llm.jaccard_join import JaccardSettings, jaccard_classes, keep_one_each  # noqa: E402
+from veilframe.llm.license_scan import LICENSES, license_matches  # noqa: E402
+from veilframe.llm.packing import SumOfSquaresPacker, pack  # noqa: E402
+from veilframe.llm.quality_rules import measures, quality_cascade  # noqa: E402
+from veilframe.llm.secret_scan import find_secrets, listed, redact_secrets  # noqa: E402
+from veilframe.llm.suffix_dedup import RepeatSettings, multikey_order, remove_repeats  # noqa: E402
+from veilframe.llm.tokens import Encoder, split_safely, token_counts, tokenizer_path  # noqa: E402
+
+BLANK = re.compile(rb"[^\x20\x09-\x0D]+")
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
+def by_id(df, *columns):
+    return {r["doc_id"]: tuple(r[c] for c in columns) for r in df.collect()}
+
+
+@pytest.fixture(scope="module")
+def slow_ids():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    return lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_token_counts(spark, slow_ids):
+    got = by_id(token_counts(frame(spark)), "n_bytes", "n_tokens", "over_limit")
+    for i, t in texts():
+        n = len(slow_ids(t or ""))
+        assert got[i] == (len((t or "").encode()), n, n > 512)
+    assert token_counts(frame(spark, [])).count() == 0
+
+
+def test_both_encoders_agree(slow_ids):
+    encoder, rng = Encoder(tokenizer_path("byte_bpe_50k.json")), random.Random(3)
+    assert encoder.fast is not None
+    for _ in range(400):
+        t = "".join(rng.choice(["a", "Z", " ", "  ", "\n", "'s", "7", "ñ", "é", "Ж", "!", " ", " "[:0], "<|endoftext|>", "the ", "\t", "ß"]) for _ in range(rng.randrange(60)))
+        assert encoder.ids(t, True).tolist() == slow_ids(t)
+        assert [k for x in split_safely(t, 7) for k in slow_ids(x)] == slow_ids(t)
+    for name in ("word_bpe_49k.json", "piece_bpe_32k.model"):
+        other = Encoder(tokenizer_path(name))
+        assert len(other.ids("Some words, and more.", True)) > 3 and not other.byte_level
+
+
+def test_packing(spark, slow_ids):
+    rows = texts() + [(100 + k, t) for k, (_, t) in enumerate(texts(9))]
+    pieces = pack(frame(spark, rows)).collect()
+    want = {i: slow_ids(t or "") + [1] for i, t in rows}
+    parts, windows = collections.defaultdict(list), collections.defaultdict(list)
+    for p in pieces:
+        ids = np.frombuffer(p["ids"], "<u4").tolist()
+        assert len(ids) == p["length"] and zlib.crc32(p["ids"]) == zlib.crc32(np.array(ids, "<u4").tobytes())
+        parts[p["doc_id"]].append((p["start"], ids))
+        assert p["doc_tokens"] == len(want[p["doc_id"]])
+        windows[p["sequence_id"]].append((p["offset"], p["length"]))
+    for i, ids in want.items():
+        assert [x for _, own in sorted(parts[i]) for x in own] == ids
+        at = 0
+        for start, own in sorted(parts[i]):
+            assert start == at
+            at += len(own)
+    partly = 0
+    for own in windows.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+        partly += at < 2048
+    assert partly <= frame(spark, rows).rdd.getNumPartitions()
+    assert pack(frame(spark, [])).count() == 0
+
+
+def test_sum_of_squares_choice():
+    rng, packer = random.Random(4), SumOfSquaresPacker(20)
+    for _ in range(500):
+        size, count = rng.randrange(1, 21), packer.count.copy()
+
+        def cost(level, size=size, count=count):
+            c = count.copy()
+            if level:
+                c[level] -= 1
+            if level + size < 20:
+                c[level + size] += 1
+            return int((c[1:20] ** 2).sum())
+
+        open_levels = [h for h in range(0, 21 - size) if not h or count[h]]
+        _, level = packer.place(size)
+        assert cost(level) == min(map(cost, open_levels))
+
+
+def items():
+    rng = random.Random(8)
+    return [(k, words(rng, n, 60)) for k, n in enumerate([30, 12, 10, 9, 4, 1, 25])] + [(50, None), (51, "..."), (52, "Same, words twice same words TWICE")]
+
+
+def plain_contamination(text, bench, window=10):
+    cut = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    own = cut(text)
+    hit, found = [False] * len(own), set()
+    for item, t in bench:
+        w = cut(t)
+        parts = [w[k : k + window] for k in range(len(w) - window + 1)] if len(w) >= window else [w] if w else []
+        for p in parts:
+            for k in range(len(own) - len(p) + 1):
+                if own[k : k + len(p)] == p:
+                    found.add(str(item))
+                    hit[k : k + len(p)] = [True] * len(p)
+    return len(own), sum(hit), sorted(found)
+
+
+def contaminated_rows():
+    rng, out = random.Random(12), list(texts())
+    bench = [t for _, t in items() if t]
+    for k in range(60):
+        t = rng.choice(bench).split()
+        a = rng.randrange(len(t))
+        out.append((200 + k, words(rng, rng.randrange(12), 60) + "; " + " ".join(t[a : a + rng.randrange(20)]).upper() + " é " + words(rng, 5, 60)))
+    return out
+
+
+@pytest.mark.parametrize("block", [2 << 20, 40])
+def test_contamination(spark, block):
+    bench = spark.createDataFrame(items(), "item_id int, text string")
+    got = by_id(find_contamination(frame(spark, contaminated_rows()), bench, block_bytes=block), "n_words", "n_hit", "items")
+    for i, t in contaminated_rows():
+        assert got[i] == plain_contamination(t, items()), t
+    assert find_contamination(frame(spark), bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+
+
+def test_decontaminated_texts_are_clean(spark):
+    bench = spark.createDataFrame(items(), "item_id int, text string").filter("item_id < 3")
+    own = [x for x in items() if x[0] < 3]
+    out = by_id(decontaminate(frame(spark, contaminated_rows()), bench), "text", "source")
+    for i, t in contaminated_rows():
+        n, hit, _ = plain_contamination(t, own)
+        if i in out:
+            assert hit <= 0.8 * n
+            if hit:
+                assert plain_contamination(out[i][0], own)[0] == n - hit
+            else:
+                assert out[i][0] == t
+        else:
+            assert hit > 0.8 * n
+
+
+def test_automaton_longest_match():
+    automaton = SuffixAutomaton([("a", [b"x", b"y", b"z", b"x", b"y"]), ("b", [b"z", b"x"])], 3)
+    runs, found, longest = automaton.scan([b"q", b"z", b"x", b"y", b"q", b"y", b"z"])
+    assert (runs, found, longest) == ([[1, 4]], {"a", "b"}, 3)
+
+
+ASSIGN = re.compile("(?P<a>[pP][aA][sS][sS][wW][oO][rR][dD]|(?i:passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
+
+
+def plain_secrets(t):
+    t = t or ""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def secret_rows():
+    rng, out = random.Random(6), list(texts())
+    part = ["password", "TOKEN", "api_key", "apikey", "secret", "=", ":", " ", "'", '"', "AKIA", "abcdef", "0123456789ABCDEF", "deadbeef" * 3, "é", "😀", "zz", ".", "x9Kq2LmP0vBt7RwY4sNd", "token:short", "ABCDEFGHIJKLMNOPQRST"]
+    return out + [(300 + k, "".join(rng.choice(part) for _ in range(rng.randrange(1, 14)))) for k in range(400)]
+
+
+def test_secrets(spark):
+    found = find_secrets(frame(spark, secret_rows()))
+    got = by_id(found.select("doc_id", listed(["assign", "access", "hex"]).alias("base"), "entropy"), "base", "entropy")
+    for i, t in secret_rows():
+        assert got[i][0] == plain_secrets(t), t
+        for s in got[i][1]:
+            part, best = t[s["start"] : s["end"]], 0.0
+            for k in range(len(part) - 19):
+                c = collections.Counter(part[k : k + 20])
+                best = max(best, -sum(v / 20 * math.log2(v / 20) for v in c.values()))
+            assert re.fullmatch("[A-Za-z0-9+/_=-]{20,}", part) and best >= 2.9
+    clean = by_id(redact_secrets(frame(spark, secret_rows())), "text", "lang")
+    assert len(clean) == len(secret_rows()) and clean[1][0] is None
+    for i, t in secret_rows():
+        if not got[i][0] and not got[i][1]:
+            assert clean[i][0] == t
+        else:
+            assert "[SECRET]" in clean[i][0] and "hex:" not in plain_secrets(clean[i][0]) and "access:" not in plain_secrets(clean[i][0])
+
+
+def test_entropy_finds_keys_and_spares_words(spark):
+    rows = [(1, "key x9Kq2LmP0vBt7RwY4sNdHh end"), (2, "internationalisierungsbeauftragter"), (3, "123e4567-e89b-12d3-a456-426614174000"), (4, "some-long-hyphenated-name-of-things"), (5, "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"), (6, "12345678901234567890123")]
+    got = by_id(find_secrets(frame(spark, rows)), "entropy")
+    assert [len(got[i][0]) for i in range(1, 7)] == [1, 0, 0, 0, 1, 0]
+    assert (got[1][0][0]["start"], got[1][0][0]["end"]) == (4, 26)
+
+
+def plain_measures(t):
+    t = t or ""
+    own = re.findall("[^\x20\x09-\x0d]+", t)
+    grams = collections.Counter(tuple(own[k : k + 3]) for k in range(len(own) - 2))
+    covered = {j for k in range(len(own) - 2) if grams[tuple(own[k : k + 3])] > 1 for j in (k, k + 1, k + 2)}
+    lines = [x for x in t.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    return len(own), sum(map(len, own)), len(re.findall("[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_rules(spark):
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    got = by_id(quality_cascade(frame(spark), report=names), *names, "kept", "failed_rule")
+    for i, t in texts():
+        want = plain_measures(t)
+        assert got[i][:5] == want, t
+        failed = want[0] < 50 or 100 * want[4] > 50 * want[0]
+        assert not (failed and got[i][5]) and (got[i][6] is None) == got[i][5]
+    assert got[14][5] and got[20][5]
+    assert quality_cascade(frame(spark, [])).count() == 0
+    assert measures(frame(spark), ["n_lines"]).count() == len(texts())
+
+
+def plain_classes(rows, percent=85, k=4):
+    sets = {}
+    for i, t in rows:
+        w = BLANK.findall((t or "").encode().translate(LOWER))
+        sets[i] = {tuple(w)} if 0 < len(w) < k else {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b]:
+                n = len(sets[a] & sets[b])
+                if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n) and root(a) != root(b):
+                    x, y = sorted((root(a), root(b)))
+                    parent[y] = x
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def family_rows():
+    """Copies and near copies of many sizes, and families whose members are just below and above the limit."""
+    rng, out = random.Random(21), list(texts())
+    for n in (5, 6, 7, 8, 9, 10, 13, 14, 16, 20, 27, 40, 90, 200):
+        base = words(rng, n, 5000).split()
+        for _ in range(9):
+            own = list(base)
+            for _ in range(rng.randrange(0, 1 + n // 25 + 1)):
+                own[rng.randrange(len(own))] = f"v{rng.randrange(10**6)}"
+            if rng.random() < 0.4:
+                own += words(rng, rng.randrange(1, 3), 5000).split()
+            out.append((1000 + len(out), " ".join(own)))
+    return out
+
+
+@pytest.mark.parametrize("settings", [JaccardSettings(), JaccardSettings(block=2, heavy_count=1, seeds=1, bucket=50)])
+def test_jaccard_classes(spark, settings):
+    rows = family_rows()
+    want = plain_classes(rows)
+    assert len(set(x for _, x in want.values())) < len(rows) - 30
+    assert by_id(jaccard_classes(frame(spark, rows), settings), "n_shingles", "component_id") == want
+
+
+def test_jaccard_edges(spark):
+    assert jaccard_classes(frame(spark, [])).count() == 0
+    rows = texts() + [(6, texts()[5][1]), (None, "no id here at all"), (None, None)]
+    kept = [r["doc_id"] for r in keep_one_each(frame(spark, rows)).collect()]
+    want = {i for i, (_, c) in plain_classes(texts()).items() if i == c}
+    assert sorted(x for x in kept if x is not None) == sorted(want) and kept.count(None) == 2
+
+
+def test_size_boundary():
+    s = JaccardSettings()
+    for n in range(1, 30):
+        for m in range(1, 30):
+            o = s.least_overlap(n, m)
+            assert 100 * o >= 85 * (n + m - o) and not 100 * (o - 1) >= 85 * (n + m - o + 1)
+            if m <= 12 and n <= 12 and s.least_size(max(n, m)) <= min(n, m) and o <= min(n, m):
+                assert o in s.subset_sizes(n, 12) and o in s.subset_sizes(m, 12)
+    assert 4 <= s.boundary({k: 100 for k in range(1, 200)}) <= 40
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1200)] + [(5, 5), (None, 3)]
+    parent = {}
+    for u, v in edges:
+        if u is not None and u != v:
+            group = parent.setdefault(u, {u}) | parent.setdefault(v, {v})
+            for x in group:
+                parent[x] = group
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()}
+    assert got == {x: min(g) for x, g in parent.items()}
+
+
+def plain_repeats(rows, length=50):
+    seen, out = {}, {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for k in range(len(b) - length + 1):
+            s = b[k : k + length]
+            seen[s] = min(seen.get(s, i), i)
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if seen[b[k : k + length]] < i:
+                gone[k : k + length] = b"\1" * length
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        spans = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
+        out[i] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("settings", [RepeatSettings(), RepeatSettings(stretch=200, bucket=64, unit=4096), RepeatSettings(k=24)])
+def test_repeats(spark, settings):
+    rng, rows = random.Random(31), [(i, t) for i, t in family_rows() if len(t or "") < 5000]
+    shared = [words(rng, 12, 9000)[:n] for n in (49, 50, 51, 60, 64, 80)] * 2
+    for k, s in enumerate(shared):
+        rows.append((5000 - k, words(rng, 6, 9000) + s + words(rng, 6, 9000)))
+    rows += [(6000, "ab" * 300), (6001, "b" + "ab" * 200), (6002, "é" * 80), (6003, "é" * 60)]
+    got = by_id(remove_repeats(frame(spark, rows), settings), "n_bytes", "spans", "kept_sha256")
+    got = {i: (n, sum(x["end"] - x["start"] for x in s), len(s), h) for i, (n, s, h) in got.items()}
+    assert got == plain_repeats(rows)
+
+
+def test_repeats_edges(spark):
+    assert remove_repeats(frame(spark, [])).count() == 0
+    long = "".join(random.Random(1).choice("abcdefgh ") for _ in range(1_300_000))
+    rows = [(1, long), (2, "head " + long[700_000:700_400] + " tail"), (None, long[:100]), (2, "head " + long[700_000:700_400] + " tail")]
+    out = [(r["doc_id"], [(x["start"], x["end"]) for x in r["spans"]], r["kept"]) for r in remove_repeats(frame(spark, rows), with_text=True).collect()]
+    assert sorted(map(repr, out)) == sorted(map(repr, [(1, [], long.encode()), (2, [(5, 405)], b"head  tail"), (2, [(5, 405)], b"head  tail"), (None, [], long[:100].encode())]))
+
+
+def test_multikey_order():
+    rng = np.random.default_rng(1)
+    grid = rng.integers(0, 3, (500, 6)).astype(np.uint64)
+    order, groups = multikey_order(grid)
+    assert (grid[order] == grid[np.lexsort(grid.T[::-1])]).all()
+    for c in range(6):
+        same = (grid[order][1:, : c + 1] == grid[order][:-1, : c + 1]).all(1)
+        assert (same == (groups[c][1:] == groups[c][:-1])).all()
+
+
+def test_licenses(spark):
+    rng = random.Random(3)
+    mit, gone = LICENSES["mit"], LICENSES["apache-2.0"].split()
+    del gone[20:26]
+    rows = texts() + [(100, "É " + words(rng, 200) + "\n" + mit.upper() + "\n" + words(rng, 90)), (101, "Released under the MIT License."), (102, " ".join(gone)), (103, " ".join(mit.split()[:40])), (104, words(rng, 20) + " licensed, under CC BY-NC 4.0! " + words(rng, 9)), (105, (mit + " ") * 2)]
+    found = license_matches(frame(spark, rows)).collect()
+    got = collections.defaultdict(list)
+    for r in found:
+        got[r["doc_id"]].append(r["license"])
+        text = dict(rows)[r["doc_id"]][r["start"] : r["end"]]
+        grams = lambda t: {tuple(w[k : k + 5]) for w in [re.findall("[0-9a-z\x80-\U0010ffff]+", t.lower())] for k in range(len(w) - 4)}
+        want = grams(LICENSES[r["license"]])
+        assert len(grams(text) & want) / len(want) == pytest.approx(r["containment"]) and r["containment"] >= 0.8
+    assert set(got) == {100, 101, 102, 104, 105}
+    assert got[100] == ["mit"] and got[101] == ["mit-notice"] and "apache-2.0" in got[102] and got[104] == ["cc-by-nc-4.0-notice"] and set(got[105]) == {"mit"}
+    assert license_matches(frame(spark, [])).count() == 0
+
+
+def test_language(spark):
+    rng = random.Random(7)
+    kinds = {"xx": "the of and to in is was", "yy": "der die das und ist nicht ein", "zz": "один два три слово"}
+    rows = [(k, " ".join(rng.choice(kinds[lang].split()) for _ in range(rng.randrange(5, 60))), lang) for k, lang in enumerate(rng.choices(list(kinds), k=300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    model = language_id.train(df, F.col("doc_id") % 3 != 0)
+    got = by_id(language_id.identify(df, model), "lang_pred", "score")
+    right = [got[k][0] == lang for k, _, lang in rows if k % 3 == 0]
+    assert sum(right) >= 0.98 * len(right) and all(0 <= s <= 1 for _, s in got.values())
+    odd = language_id.identify(frame(spark, [(1, None), (2, ""), (3, "123 ..."), (4, "und der " * 50_000)]), model)
+    assert {i: p for i, (p,) in by_id(odd, "lang_pred").items()} == {1: "und", 2: "und", 3: "und", 4: "yy"}
+    kept = language_id.keep_known(frame(spark, [(1, None), (3, "123"), (4, "und der ist")]), model)
+    assert [r["doc_id"] for r in kept.collect()] == [4] and kept.columns == frame(spark, []).columns
+    none = language_id.train(df.filter("false"), F.lit(True))
+    assert none is None and by_id(language_id.identify(df, none), "lang_pred")[0] == ("und",)
+
+
+def test_classifier(spark):
+    rng = random.Random(9)
+    rows, marks = [], []
+    for k in range(900):
+        good = rng.random() < 0.8
+        t = words(rng, rng.randrange(40, 200), 3000) if good else " ".join(rng.choice(["BUY!!", "NOW$$$", "###", "x|y"]) for _ in range(rng.randrange(30, 90)))
+        rows.append((k, t))
+        if rng.random() < 0.5:
+            marks.append((k, int(good)))
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    model = quality_classifier.train(frame(spark, rows), labels, F.col("doc_id") % 3 != 1)
+    got = by_id(quality_classifier.classify(frame(spark, rows), model), "score", "predicted")
+    right = [got[k][1] == q for k, q in marks if k % 3 == 1]
+    assert sum(right) >= 0.95 * len(right)
+    odd = by_id(quality_classifier.classify(frame(spark), model), "score", "predicted")
+    assert len(odd) == len(texts()) and all(0 <= s <= 1 and p == int(s >= 0.5) for s, p in odd.values())
+    assert quality_classifier.train(frame(spark, rows), labels.filter("quality = 0"), F.lit(True)) is None
+    assert by_id(quality_classifier.classify(frame(spark), None), "score")[1] == (0.5,)
