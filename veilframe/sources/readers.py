@@ -169,7 +169,7 @@ OFFICE = {
 }
 
 
-def part_texts(data: bytes, tag: str, groups: tuple[str, ...]) -> list[list[ElementTree.Element]]:
+def part_texts(root: ElementTree.Element, tag: str, groups: tuple[str, ...]) -> list[list[ElementTree.Element]]:
     """Text nodes of a part, those of one paragraph (or cell) together, empty ones left out."""
     out: list[list[ElementTree.Element]] = []
 
@@ -186,7 +186,7 @@ def part_texts(data: bytes, tag: str, groups: tuple[str, ...]) -> list[list[Elem
             else:
                 walk(child, group)
 
-    walk(ElementTree.fromstring(data), None)
+    walk(root, None)
     return [g for g in out if g]
 
 
@@ -204,7 +204,7 @@ def _office(suffix: str, data: bytes) -> list[tuple]:
                         rows.append((text, f"{part}:{cell.get('r')}", {"part": part, "cell": cell.get("r") or ""}))
         else:
             for part in parts:
-                for n, nodes in enumerate(part_texts(box.read(part), tag, groups)):
+                for n, nodes in enumerate(part_texts(ElementTree.fromstring(box.read(part)), tag, groups)):
                     rows.append(("".join(x.text for x in nodes), f"{part}:{n}", {"part": part, "text_nodes": str(len(nodes))}))
     return rows
 
