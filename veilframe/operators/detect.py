@@ -123,10 +123,15 @@ LAYERS: dict[str, Callable[[Column], Column]] = {"schema": schema_layer, "regex"
 _PRIORITY: dict[str, int] = {"schema": 100, "regex": 90}
 
 
-def register(name: str, layer: Callable[[Column], Column], priority: int = 50) -> None:
-    """Adds a layer, for instance a pandas UDF around a model that returns array<span>."""
+#: Names of the layers that hybrid detection takes between regex and names.
+MODELS: set[str] = set()
+
+
+def register(name: str, layer: Callable[[Column], Column], priority: int = 50, hybrid: bool = False) -> None:
+    """Adds a layer, for instance a pandas UDF around a model that returns array<span>; hybrid: it takes part in hybrid detection."""
     LAYERS[name] = layer
     _PRIORITY[name] = priority
+    (MODELS.add if hybrid else MODELS.discard)(name)
 
 
 def registered() -> list[str]:
@@ -145,7 +150,7 @@ def detected(text: Column, engine: str = "hybrid", names: bool = True) -> Column
     text = F.coalesce(text, F.lit(""))
     none = empty(SPAN)
     if engine == "hybrid":
-        parts = [schema_layer(text), regex_layer(text), *[LAYERS[n](text) for n in registered() if n not in ("schema", "regex")]]
+        parts = [schema_layer(text), regex_layer(text), *[LAYERS[n](text) for n in registered() if n in MODELS]]
         parts += [F.when(has_cjk(text), name_layer(text)).otherwise(none)] if names else []
         return numbered(F.concat(*parts))
     if engine not in LAYERS:

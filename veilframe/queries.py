@@ -14,7 +14,9 @@ from veilframe.operators import detect as layers
 from veilframe.operators import vault as vaults
 from veilframe.operators.merge import recognised
 from veilframe.operators.names import name_layer
-from veilframe.operators.splice import potential, replaced
+from veilframe.operators.recognisers import anonymised, counted_entities, pattern_layer
+from veilframe.operators.recognisers import first_types as layers_by_model
+from veilframe.operators.splice import potential, replaced, spliced
 from veilframe.operators.tokens import bioes_spans, line_chunks, mapped_back, model_type, reply_entities, row_context
 from veilframe.plans import engine
 from veilframe.sources.readers import combined, format_of, leaves, markdown_segments, with_offsets
@@ -404,6 +406,32 @@ def mapped_values(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(mapped_back(spans, values)).alias("s")).select("doc_id", "s.start", "s.end", "s.text")
 
 
+@query(f"select doc_id, '联系人：<人名>，电话：*****' || substring(text, 16, 6) || '，邮箱：' || substring(text, 26) as text from ({CARDS_DUCK})")
+def anonymised_cards(spark, sf_dir):
+    """Cards with names and phones masked for good, by the pattern recognisers."""
+    text = F.col("text")
+    found = F.filter(recognised(pattern_layer(text), "highest_score"), lambda x: x["type"].isin("PHONE_NUMBER", "PERSON") & (x["start"] >= 4))
+    return _cards(spark, sf_dir).select("doc_id", spliced(text, anonymised(found)).alias("text"))
+
+
+@query("select item_id as doc_id, text as original, 'A' as type from benchmark")
+def first_types(spark, sf_dir):
+    """Of the types that pieces of a document give a text, the first counts."""
+    rows = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("original"), F.explode(F.array(*[F.struct(F.lit(k).alias("chunk"), F.lit(t).alias("type")) for k, t in ((2, "B"), (1, "A"))])).alias("c"))
+    return layers_by_model(rows.select("doc_id", "original", "c.chunk", "c.type"))
+
+
+@query("select 'PHONE' as type, sum(cast((length(text) - length(replace(text, 'e', ''))) as bigint)) as n from documents")
+def model_entity_counts(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return counted_entities(docs, docs.select("doc_id", F.lit("e").alias("original"), F.lit("phone_number").alias("type")))
+
+
+@query(f"select text as original, min(type) as type, count(*) as n from ({_CARD_SPANS}) group by text order by min(doc_id * 100 + \"start\") limit 20")
+def analysis_preview(spark, sf_dir):
+    return engine.preview(engine.analysis(engine.detect(_cards(spark, sf_dir)))).select("original", "type", "n")
+
+
 @query("select count(*) as n from (select c_nationkey from customer union select s_nationkey from supplier except select n_nationkey from nation where n_nationkey < 5)")
 def changed_files(spark, sf_dir):
     """Changed and staged files together, less those that were there before."""
