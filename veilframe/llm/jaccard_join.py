@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,8 @@ class JaccardSettings:
     The rest decides cost, never results. max_heavy: so many frequent shingles at most are put last in the order of
     shingles (12 bytes each, broadcast). heavy_count: occurrences, as counted, that make one frequent. block: so
     many entries of one inverted list at most meet in one group. seeds: shingles per set that the first, linear
-    round looks at, those of the least hashes. posting_cost: cost of an inverted-list entry in subsets. bucket: about so many inverted-list
+    round looks at, those of the least hashes; agree: so many of them must
+    bring a pair together there. posting_cost: cost of an inverted-list entry in subsets. bucket: about so many inverted-list
     entries (33 bytes each) are held by a task.
     """
 
@@ -38,7 +40,8 @@ class JaccardSettings:
     max_heavy: int = 400_000
     heavy_count: int = 9
     block: int = 4096
-    seeds: int = 3
+    seeds: int = 4
+    agree: int = 2
     posting_cost: float = 4.0
     bucket: int = 1 << 20
 
@@ -199,13 +202,14 @@ def _prefixes(source: DataFrame, settings: JaccardSettings, boundary: int, order
 
 def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     both = np.stack([np.minimum(u, v), np.maximum(u, v)], 1) if len(u) else np.zeros((0, 2), np.int64)
-    both = np.unique(both[both[:, 0] != both[:, 1]], axis=0)
+    both = both[both[:, 0] != both[:, 1]]
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
 
 
 def _runs(entries: DataFrame, fits) -> DataFrame:
     """Candidate pairs of each key's entries in order of (rank, id): every entry with the one before it and with the
-    first of its key, where fits(smaller n, larger n, o) holds. Rows stream by; only one entry is carried over.
+    first of its key, where fits(smaller n, larger n, o) holds, and with how many keys a pair is found. Rows stream by;
+    only one entry is carried over.
     """
 
     def link(batches):
@@ -222,23 +226,24 @@ def _runs(entries: DataFrame, fits) -> DataFrame:
             head_n, head_id = np.where(at >= 0, n[at], head[2] if head else 0), np.where(at >= 0, ids[at], head[3] if head else 0)
             prev_n, prev_id = np.concatenate([[last[2] if last else 0], n[:-1]]), np.concatenate([[last[3] if last else 0], ids[:-1]])
             near, star = (same & fits(np.minimum(x, n), np.maximum(x, n), o) for x in (prev_n, head_n))
+            near &= prev_id != head_id
             yield _pairs(np.concatenate([prev_id[near], head_id[star]]), np.concatenate([ids[near], ids[star]]))
             last = (key[-1], o[-1], n[-1], ids[-1])
             head = last if not same[-1] else (key[-1], o[-1], head_n[-1], head_id[-1])
 
-    return entries.repartition("key").sortWithinPartitions("key", "o", "rank", "id").select("key", "o", "n", "id").mapInArrow(link, "u long, v long").distinct()
+    return entries.repartition("key").sortWithinPartitions("key", "o", "rank", "id").select("key", "o", "n", "id").mapInArrow(link, "u long, v long").groupBy("u", "v").agg(F.count("*").alias("keys"))
 
 
 def _dealt(rows: DataFrame, settings: JaccardSettings, buckets: int, order) -> DataFrame:
     """bucket and entries: the inverted-list entries of rows (id, n, class, met, posts) that fall into a bucket of keys,
-    as the bytes of six columns: key, id, class - id, n, met, side.
+    as the compressed bytes of six columns: key, id, class - id, n, met, side.
 
     A list counted at more than `block` entries is dealt over cells, one for each pair of blocks, by the hash of its
     ids; side then tells the two blocks of a cell apart (1, 2) and is 0 elsewhere.
     """
 
     def deal(batches):
-        known = _Order(*order.value)
+        known, squeeze = _Order(*order.value), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for low in range(0, batch.num_rows, 2048):
                 some = batch.slice(low, 2048)
@@ -268,7 +273,7 @@ def _dealt(rows: DataFrame, settings: JaccardSettings, buckets: int, order) -> D
                 blobs = []
                 for b in full:
                     at = by[cut[b] : cut[b + 1]]
-                    blobs.append(b"".join([keys[at].tobytes(), ids[at].tobytes(), (classes[at] - ids[at]).tobytes(), n[at].astype(np.int32).tobytes(), met[at].astype(np.int32).tobytes(), side[at].tobytes()]))
+                    blobs.append(squeeze(b"".join([keys[at].tobytes(), ids[at].tobytes(), (classes[at] - ids[at]).tobytes(), n[at].astype(np.int32).tobytes(), met[at].astype(np.int32).tobytes(), side[at].tobytes()])))
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "entries"])
 
     return rows.select("id", "n", "class", "met", "posts").mapInArrow(deal, "bucket int, entries binary")
@@ -279,8 +284,8 @@ def _lists(table: pa.Table) -> tuple[np.ndarray, ...]:
     kinds = ((np.uint64, 8), (np.int64, 8), (np.int64, 8), (np.int32, 4), (np.int32, 4), (np.int8, 1))
     parts: list[list[np.ndarray]] = [[] for _ in kinds]
     for x in table.column("entries"):
-        data, at = x.as_buffer(), 0
-        n = data.size // 33
+        data, at = zstandard.ZstdDecompressor().decompress(x.as_buffer()), 0
+        n = len(data) // 33
         for part, (kind, width) in zip(parts, kinds, strict=True):
             part.append(np.frombuffer(data, kind, n, at))
             at += n * width
@@ -347,6 +352,16 @@ def _list_pairs(dealt: DataFrame, settings: JaccardSettings, boundary: int) -> D
     return found.filter("c >= least").select("u", "v")
 
 
+def _short(tokens: np.ndarray) -> bytes:
+    """A set as the upper 48 bits of its hashes, which is what travels to be compared."""
+    return (tokens >> np.uint64(32)).astype("<u4").tobytes() + ((tokens >> np.uint64(16)) & np.uint64(0xFFFF)).astype("<u2").tobytes()
+
+
+def _long(data) -> np.ndarray:
+    n = len(data) // 6
+    return (np.frombuffer(data, "<u4", n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(data, "<u2", n, 4 * n)
+
+
 def _verified(pairs: DataFrame, source: DataFrame, settings: JaccardSettings) -> DataFrame:
     """The pairs u, v whose sets link, by exact intersection."""
     context = source.sparkSession.sparkContext
@@ -358,7 +373,7 @@ def _verified(pairs: DataFrame, source: DataFrame, settings: JaccardSettings) ->
             batch, rows, held = _few(batch, table), [], 0
             ids = batch.column(0).to_pylist()
             for row, tokens in shingle_sets(batch.column(1), settings.k):
-                rows.append((ids[row], tokens.tobytes()))
+                rows.append((ids[row], _short(tokens)))
                 held += len(rows[-1][1])
                 if held > 4 << 20:
                     yield _batch(["id", "content"], rows, [pa.int64(), pa.binary()])
@@ -366,13 +381,12 @@ def _verified(pairs: DataFrame, source: DataFrame, settings: JaccardSettings) ->
             yield _batch(["id", "content"], rows, [pa.int64(), pa.binary()])
 
     sets = source.mapInArrow(content, "id long, content binary")
-    sets = written(sets)  # the few that the filter lets through by chance meet no pair
 
     def check(batches):
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                x, y = _long(a.as_buffer()), _long(b.as_buffer())
                 both = np.sort(np.concatenate([x, y]))
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= settings.percent * (len(x) + len(y) - common))
@@ -428,7 +442,9 @@ def jaccard_classes(docs: DataFrame, settings: JaccardSettings = JaccardSettings
     parts = nodes.select("id", "n", F.explode("parts").alias("p")).select("p.key", "p.o", F.col("n").cast("long").alias("rank"), "n", "id")
     # in a group of sets with a common subset of size o the smallest set links with every one that has a link there
     small = _runs(parts, lambda n, m, o: (100 + settings.percent) * o >= settings.percent * (n + m))
-    links = saved(_verified(saved(near.unionAll(small).distinct()), source, settings))
+    # one shingle in common may be that of a shared passage; what only one brings together is left to round 2
+    likely = near.filter(f"keys >= {settings.agree}").unionAll(small).select("u", "v").distinct()
+    links = saved(_verified(saved(likely), source, settings))
     first = components(links)
 
     # round 2, complete: what the inverted lists of whole prefixes hold across those classes
