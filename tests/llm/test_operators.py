@@ -333,7 +333,7 @@ def plain_repeats(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("settings", [RepeatSettings(), RepeatSettings(stretch=200, bucket=64, unit=4096), RepeatSettings(k=24)])
+@pytest.mark.parametrize("settings", [RepeatSettings(), RepeatSettings(stretch=200, bucket=64, unit=4096), RepeatSettings(k=24), RepeatSettings(stretch=300, unit=8192, hot=2), RepeatSettings(hot=3, max_hot=40)])
 def test_repeats(spark, settings):
     rng, rows = random.Random(31), [(i, t) for i, t in family_rows() if len(t or "") < 5000]
     shared = [words(rng, 12, 9000)[:n] for n in (49, 50, 51, 60, 64, 80)] * 2

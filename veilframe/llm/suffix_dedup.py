@@ -36,13 +36,17 @@ _STRETCH = 1 << _POSITION_BITS
 @dataclass(frozen=True)
 class RepeatSettings:
     """length: bytes of a string that counts as a repeat. k: bytes of an anchor. The rest sets how much a task holds:
-    bucket: anchors in a bucket; unit: bytes of text in a unit; stretch: anchors gathered before they are sent."""
+    bucket: anchors in a bucket; unit: bytes of text in a unit; stretch: anchors gathered before they are sent. hot:
+    places from which on an anchor's strings are compared one by one, spread over all buckets; max_hot: so many anchors
+    at most are treated so (8 bytes each, broadcast), those of the most places. Neither changes results."""
 
     length: int = 50
     k: int = 16
     bucket: int = 1 << 19
     unit: int = 8 << 20
     stretch: int = 1 << 20
+    hot: int = 1 << 14
+    max_hot: int = 200_000
 
 
 @dataclass
@@ -225,8 +229,8 @@ class _Blobs:
 _SHARED = _Blobs("<i8", "<u4", "<u2")  # document, upper and lower part of a 48-bit anchor key
 _SPANS = _Blobs("<i8", "<i8", "<i8")  # document, start, end
 _ROW = "key long, kind byte, body binary"
-#: Kinds of rows in transit: anchors to be counted, anchors known as shared, sampled leading words, runs to be sorted, spans found.
-_ANCHORS, _KNOWN, _SAMPLE, _RUNS, _FOUND = range(5)
+#: Kinds of rows in transit: anchors to be counted, anchors known as shared, sampled leading words, runs to be sorted, spans found, single strings.
+_ANCHORS, _KNOWN, _SAMPLE, _RUNS, _FOUND, _STRINGS = range(6)
 
 
 def _rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -243,7 +247,8 @@ def _known_rows(ids: np.ndarray, key: np.ndarray, units: int) -> list[tuple[int,
     return [(-1 - unit, _KNOWN, _SHARED.put(*cols)) for unit, cols in _by_bucket(_unit_of(ids, units), ids, (key >> np.uint64(16)).astype(np.uint32), (key & np.uint64(0xFFFF)).astype(np.uint16))]
 
 
-_SENT = _Blobs("<u4", "<u2", "<i8", "i1")  # key, document, whether several documents of the stretch have it
+_SENT = _Blobs("<u4", "<u2", "<i8", "<u4", "i1")  # key, document, places in the stretch, whether several documents of it have it
+_HOT = _Blobs("<i8", "<i8")  # key, places
 
 
 def _send_anchors(source: DataFrame, settings: RepeatSettings, buckets: int, units: int) -> DataFrame:
@@ -269,7 +274,7 @@ def _send_anchors(source: DataFrame, settings: RepeatSettings, buckets: int, uni
             out += _known_rows(ids[pair], key[pair], units)
             by = np.argsort(least, kind="stable")
             top, least_key = key[start][by], least[by]
-            for bucket, cols in _by_bucket((mix64(top) % np.uint64(buckets)).astype(np.int64), (top >> np.uint64(16)).astype(np.uint32), (top & np.uint64(0xFFFF)).astype(np.uint16), least_key, several[by]):
+            for bucket, cols in _by_bucket((mix64(top) % np.uint64(buckets)).astype(np.int64), (top >> np.uint64(16)).astype(np.uint32), (top & np.uint64(0xFFFF)).astype(np.uint16), least_key, count[by], several[by]):
                 out.append((bucket, _ANCHORS, _SENT.put(*cols)))
             out.append((-1 - units, _SAMPLE, lead[start[::4096]].tobytes()))
             return _rows(out)
@@ -289,23 +294,27 @@ def _send_anchors(source: DataFrame, settings: RepeatSettings, buckets: int, uni
     return source.mapInArrow(send, _ROW)
 
 
-def _meet(sent: DataFrame, units: int) -> DataFrame:
-    """unit, kind, body: documents with the anchors that they share with others; and the sampled words, under unit -1."""
+def _meet(sent: DataFrame, settings: RepeatSettings, units: int) -> DataFrame:
+    """unit, body: documents with the anchors that they share with others; the sampled words, under unit -1; anchors of `hot` places or more with their counts, under unit -2."""
 
     def meet(key, table):
         bucket = key[0].as_py()
         if bucket < 0:
             return pa.table({"unit": pa.array([-1 - bucket if bucket >= -units else -1] * table.num_rows, pa.int64()), "body": table.column("body")})
-        high, low, ids, several = _SENT.get(x.as_buffer() for x in table.column("body"))
+        high, low, ids, places, several = _SENT.get(x.as_buffer() for x in table.column("body"))
         anchors = _join(high, low)
         order = np.argsort(anchors, kind="stable")
-        anchors, ids, several = anchors[order], ids[order], several[order]
+        anchors, ids, several, places = anchors[order], ids[order], several[order], places[order]
         start = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]])) if len(anchors) else np.zeros(0, np.int64)
         if not len(start):
             return pa.table({"unit": pa.array([], pa.int64()), "body": pa.array([], pa.binary())})
         shared = (np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)) | (np.maximum.reduceat(several, start) > 0)
         tell = np.repeat(shared, np.diff(np.append(start, len(anchors)))) & (several == 0)
         rows = _known_rows(ids[tell], anchors[tell], units)
+        total = np.add.reduceat(places.astype(np.int64), start)
+        hot = np.flatnonzero(shared & (total >= settings.hot))
+        if len(hot):
+            rows.append((1, _SAMPLE, _HOT.put(anchors[start[hot]].astype(np.int64), total[hot])))
         return pa.table({"unit": pa.array([-1 - k for k, _, _ in rows], pa.int64()), "body": pa.array([b for _, _, b in rows], pa.binary())})
 
     return sent.groupBy("key").applyInArrow(meet, "unit long, body binary")
@@ -356,12 +365,17 @@ def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(lengths))]), np.concatenate(parts)
 
 
+_SINGLE = _Blobs("<u8", "<i8", "<i8")  # hash of a string, document, start
 _HEAD = _Blobs("<i8", "<i8", "u1", "u1")  # document, first start, bytes covered, place of the anchor among them
 
 
-def _send_runs(docs: DataFrame, shared: DataFrame, settings: RepeatSettings, splitters: np.ndarray, units: int) -> DataFrame:
+def _send_runs(docs: DataFrame, shared: DataFrame, settings: RepeatSettings, splitters: np.ndarray, hot, buckets: int, units: int) -> DataFrame:
     """Runs with shared anchors, each different one of a unit once, to the bucket of the suffix at its anchor. The same
-    run in a document with a larger id of the same unit is a repeat as it stands."""
+    run in a document with a larger id of the same unit is a repeat as it stands.
+
+    Anchors in the broadcast list `hot` stand in so many places that one bucket could not hold their runs, which
+    differ at the edges of a passage. Their strings go one by one, as hashes and once for a unit, to buckets by hash.
+    """
 
     def send(left, right):
         out: list[tuple[int, int, bytes]] = []
@@ -376,7 +390,7 @@ def _send_runs(docs: DataFrame, shared: DataFrame, settings: RepeatSettings, spl
                 if not len(use):
                     continue
                 text, first = runs.text[use], runs.first[use]
-                held.append((ids[text], first, runs.last[use] - first + settings.length, runs.anchor[use] - first, offsets[text] + first, runs.lead[use]))
+                held.append((ids[text], first, runs.last[use] - first + settings.length, runs.anchor[use] - first, offsets[text] + first, runs.lead[use], np.isin(key[use], hot.value)))
             if held:
                 out = finish(data)
                 held.clear()
@@ -385,7 +399,7 @@ def _send_runs(docs: DataFrame, shared: DataFrame, settings: RepeatSettings, spl
     held: list[tuple[np.ndarray, ...]] = []
 
     def finish(data: np.ndarray) -> list[tuple[int, int, bytes]]:
-        ids, first, size, inner, start, lead = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, first, size, inner, start, lead, often = (np.concatenate(x) for x in zip(*held, strict=True))
         whole = run_hashes(data, start, size)
         order = np.lexsort((ids, whole))
         same = np.concatenate([[False], whole[order][1:] == whole[order][:-1]])
@@ -395,6 +409,10 @@ def _send_runs(docs: DataFrame, shared: DataFrame, settings: RepeatSettings, spl
         out = [(-1 - unit, _FOUND, _SPANS.put(*cols)) for unit, cols in _by_bucket(_unit_of(ids[repeat], units), ids[repeat], first[repeat], first[repeat] + size[repeat])]
         # of the document with the least id all places of the run are sent: there may be several in it
         send = np.sort(order[ids[order] == least])
+        single = send[often[send]]
+        if len(single):
+            out += strings(data, ids[single], first[single], size[single], start[single])
+        send = send[~often[send]]
         bucket = np.searchsorted(splitters, lead[send], "right")
         for to, (rows,) in _by_bucket(bucket, send):
             text = _gather(data, start[rows], size[rows]).tobytes()
@@ -402,10 +420,24 @@ def _send_runs(docs: DataFrame, shared: DataFrame, settings: RepeatSettings, spl
             out.append((to, _RUNS, _squeezed(len(rows).to_bytes(8, "little") + heads + text)))
         return out
 
+    def strings(data, ids, first, size, start) -> list[tuple[int, int, bytes]]:
+        n = size - settings.length + 1
+        value = string_hashes(data, start, size, settings.length)
+        doc = np.repeat(ids, n)
+        place = np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(doc))
+        by = np.lexsort((doc, value))
+        value, doc, place = value[by], doc[by], place[by]
+        head = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        least = np.repeat(doc[head], np.diff(np.append(head, len(doc))))
+        repeat = doc > least
+        out = [(-1 - unit, _FOUND, _SPANS.put(d, p, p + settings.length)) for unit, (d, p) in _by_bucket(_unit_of(doc[repeat], units), doc[repeat], place[repeat])]
+        value, doc, place = value[~repeat], doc[~repeat], place[~repeat]
+        return out + [(buckets + to, _STRINGS, _SINGLE.put(*cols)) for to, cols in _by_bucket((mix64(value) % np.uint64(buckets)).astype(np.int64), value, doc, place)]
+
     return docs.groupBy("unit").cogroup(shared.groupBy("unit")).applyInArrow(send, _ROW)
 
 
-def _sorted_buckets(sent: DataFrame, settings: RepeatSettings, units: int) -> DataFrame:
+def _sorted_buckets(sent: DataFrame, settings: RepeatSettings, buckets: int, units: int) -> DataFrame:
     """unit, body: spans of strings that start in a document with a smaller id as well."""
     length, k = settings.length, settings.k
     ahead, behind = 2 * length - k, length - k  # most bytes of a run from its anchor on, and before it
@@ -413,6 +445,8 @@ def _sorted_buckets(sent: DataFrame, settings: RepeatSettings, units: int) -> Da
     def compare(key, table):
         if key[0].as_py() < 0:
             return pa.table({"unit": pa.array([-1 - key[0].as_py()] * table.num_rows, pa.int64()), "body": table.column("body")})
+        if key[0].as_py() >= buckets:
+            return singles(table)
         heads, texts = [], []
         for x in table.column("body"):
             blob = _unsqueezed(x.as_buffer())
@@ -464,6 +498,16 @@ def _sorted_buckets(sent: DataFrame, settings: RepeatSettings, units: int) -> Da
         rows = [(unit, _SPANS.put(*cols)) for unit, cols in _by_bucket(_unit_of(ids, units), ids, low, high)]
         return pa.table({"unit": pa.array([u for u, _ in rows], pa.int64()), "body": pa.array([b for _, b in rows], pa.binary())})
 
+    def singles(table):
+        value, doc, place = _SINGLE.get(x.as_buffer() for x in table.column("body"))
+        by = np.lexsort((doc, value))
+        value, doc, place = value[by], doc[by], place[by]
+        head = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        repeat = doc > np.repeat(doc[head], np.diff(np.append(head, len(doc))))
+        doc, place = doc[repeat], place[repeat]
+        rows = [(unit, _SPANS.put(d, p, p + length)) for unit, (d, p) in _by_bucket(_unit_of(doc, units), doc, place)]
+        return pa.table({"unit": pa.array([u for u, _ in rows], pa.int64()), "body": pa.array([b for _, b in rows], pa.binary())})
+
     return sent.groupBy("key").applyInArrow(compare, "unit long, body binary")
 
 
@@ -530,7 +574,7 @@ def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings(),
     anchors = 2 * total // (settings.length - settings.k + 2)
     buckets, units = max(least, anchors // settings.bucket + 1), max(least, total // settings.unit + 1)
 
-    shared = written(_meet(_send_anchors(source, settings, buckets, units), units))
+    shared = written(_meet(_send_anchors(source, settings, buckets, units), settings, units))
 
     def spread(batches):
         for batch in batches:
@@ -539,10 +583,18 @@ def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings(),
     sample = shared.filter("unit = -1").select("body").mapInArrow(spread, "w long").orderBy(F.xxhash64("w"), "w").limit(20_000).toPandas()["w"].to_numpy(np.int64).view(np.uint64)
     sample.sort()
     splitters = np.unique(sample[np.linspace(0, len(sample) - 1, buckets + 1).astype(np.int64)[1:-1]]) if len(sample) else sample
+
+    def counted(batches):
+        for batch in batches:
+            key, places = _HOT.get(x.as_buffer() for x in batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(places)], ["key", "places"])
+
+    often = shared.filter("unit = -2").select("body").mapInArrow(counted, "key long, places long").orderBy(F.desc("places"), "key").limit(settings.max_hot).toPandas()
+    hot = spark.sparkContext.broadcast(np.sort(often["key"].to_numpy(np.int64).astype(np.uint64)))
     told = shared.filter("unit >= 0")
     context = spark.sparkContext
     near = _in_units(source, context.broadcast(_filter_of(told, _SHARED)), units)
-    spans = written(_sorted_buckets(_send_runs(near, told, settings, splitters, units), settings, units))
+    spans = written(_sorted_buckets(_send_runs(near, told, settings, splitters, hot, buckets, units), settings, buckets, units))
     table = context.broadcast(_filter_of(spans, _SPANS))
     changed = _cut(_in_units(source, table, units), spans, with_text)
     plain = in_filter(source, table, False).unionAll(nameless)
