@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import language_id, quality_classifier
+from veilframe.llm import language_id, oracle, quality_classifier
 from veilframe.llm.decontaminate import find_contamination
 from veilframe.llm.jaccard_join import jaccard_classes
 from veilframe.llm.license_scan import license_matches
@@ -86,6 +86,6 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracle.ORACLE_SQL)
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
