@@ -34,7 +34,7 @@ _GUARDS = {"assign": "(?i)(?:pass(?:word|wd)|secret|token|api_?key)[\"']?\\x20*[
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 #: Character classes from the narrowest to the widest, each with the least bits per character that a window of 20 must
 #: reach. Random keys have about 3.4 over 16 characters and 3.9 and more over 36 to 64; long words stay near 3.5.
-CLASSES = (("[0-9+/_=-]+", 9.0), ("[0-9a-fA-F]+", 2.9), ("[A-Za-z]+", 4.15), ("[A-Za-z0-9]+", 3.6), ("[A-Za-z0-9+/_=-]+", 3.8))
+CLASSES = (("[0-9+/_=-]+", 9.0), ("[0-9a-fA-F]+", 2.9), ("[A-Za-z]+", 4.15), ("[A-Za-z0-9]+", 3.6), ("[A-Za-z0-9+/_=-]+", 4.0))
 #: Strings that look random but are no secrets: UUIDs, words joined by signs, digests named as such, placeholders.
 ALLOWED = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
