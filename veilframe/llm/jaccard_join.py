@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from veilframe.llm.components import components, saved, written
 from veilframe.llm.idfilter import first_column, holds, id_filter, in_filter
 from veilframe.llm.shingles import digest, mix64, shingle_sets
-from veilframe.llm.textio import id_and_text
+from veilframe.llm.textio import id_and_text, release
 
 
 @dataclass(frozen=True)
@@ -98,6 +98,8 @@ def _frequent(source: DataFrame, settings: JaccardSettings) -> DataFrame:
                         yield flush()
                         held, sizes, seen, size = [], {}, set(), 0
         yield flush()
+        held = []
+        release()
 
     return source.mapInArrow(count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
@@ -166,6 +168,7 @@ def _signatures(source: DataFrame, settings: JaccardSettings, boundary: int) ->
                         parts = [{"key": x, "o": o} for x, o in zip(*_subset_keys(tokens, settings.subset_sizes(size, boundary)), strict=True)]
                 rows.append((ids[row], size, *own, seeds, parts))
             yield _batch(names, rows, types)
+        release()
 
     return source.mapInArrow(sign, "doc_id long, n int, d1 long, d2 long, seeds array<long>, parts array<struct<key:long,o:int>>")
 
@@ -196,6 +199,7 @@ def _prefixes(source: DataFrame, settings: JaccardSettings, boundary: int, order
                         yield _batch(["id", "posts"], rows, [pa.int64(), pa.binary()])
                         rows, held = [], 0
             yield _batch(["id", "posts"], rows, [pa.int64(), pa.binary()])
+        release()
 
     return source.mapInArrow(post, "id long, posts binary")
 
@@ -275,6 +279,7 @@ def _dealt(rows: DataFrame, settings: JaccardSettings, buckets: int, order) -> D
                     at = by[cut[b] : cut[b + 1]]
                     blobs.append(squeeze(b"".join([keys[at].tobytes(), ids[at].tobytes(), (classes[at] - ids[at]).tobytes(), n[at].astype(np.int32).tobytes(), met[at].astype(np.int32).tobytes(), side[at].tobytes()])))
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "entries"])
+        release()
 
     return rows.select("id", "n", "class", "met", "posts").mapInArrow(deal, "bucket int, entries binary")
 
@@ -305,6 +310,8 @@ def _meetings(dealt: DataFrame) -> DataFrame:
         ids, _, _, _, _, start, end = _lists(table)
         some = np.concatenate([np.zeros(0, np.int64), *[ids[a:b] for a, b in zip(start, end, strict=True)]])
         own, times = np.unique(some, return_counts=True)
+        del ids, some
+        release()
         return pa.table({"id": own, "met": times})
 
     return dealt.groupBy("bucket").applyInArrow(count, "id long, met long").groupBy("id").agg(F.sum("met").cast("int").alias("met"))
@@ -346,6 +353,8 @@ def _list_pairs(dealt: DataFrame, settings: JaccardSettings, boundary: int) -> D
         head = np.flatnonzero(np.concatenate([[True], (ids[u][1:] != ids[u][:-1]) | (ids[v][1:] != ids[v][:-1])])) if len(u) else u
         c = np.diff(np.append(head, len(u)))
         u, v = u[head], v[head]
+        del us, vs, by
+        release()
         return pa.table({"u": ids[u], "v": ids[v], "least": least_common(n[u].astype(np.int64), n[v].astype(np.int64)), "c": c.astype(np.int64)})
 
     found = dealt.groupBy("bucket").applyInArrow(link, "u long, v long, least long, c long").groupBy("u", "v").agg(F.max("least").alias("least"), F.sum("c").alias("c"))
@@ -379,8 +388,9 @@ def _verified(pairs: DataFrame, source: DataFrame, settings: JaccardSettings) ->
                     yield _batch(["id", "content"], rows, [pa.int64(), pa.binary()])
                     rows, held = [], 0
             yield _batch(["id", "content"], rows, [pa.int64(), pa.binary()])
+        release()
 
-    sets = source.mapInArrow(content, "id long, content binary")
+    sets = written(source.mapInArrow(content, "id long, content binary"))  # the few that the filter lets through by chance meet no pair
 
     def check(batches):
         for batch in batches:

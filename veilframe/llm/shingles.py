@@ -10,7 +10,7 @@ import pyarrow as pa
 
 from veilframe.llm.textio import slices_by_bytes, text_buffer, text_offsets
 
-_STEP, _RANGE_BYTES = np.uint64(0x9E3779B97F4A7C15), 1 << 20
+_STEP, _RANGE_BYTES = np.uint64(0x9E3779B97F4A7C15), 900_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -66,8 +66,7 @@ def placed_word_hashes(data: np.ndarray, starts: np.ndarray, blank: np.ndarray |
     last = word.copy()
     last[:-1] &= ~word[1:] | first[1:]
     end = np.flatnonzero(last) + 1
-    size = 1 << max(16, int(len(data)).bit_length())
-    up, down = _powers(size)
+    up, down = _powers(1 << max(20, int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(number[data] * up[: len(data)], out=sums[1:])
     hashes = (sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * _STEP

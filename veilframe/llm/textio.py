@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 
 import pyarrow as pa
@@ -23,6 +24,15 @@ def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system, at the end of a task that needed much: workers live on and are reused."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator works on, under the names doc_id and text; all others are left behind, so none can clash."""
     bound_batches(df.sparkSession)
