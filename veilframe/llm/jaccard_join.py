@@ -40,8 +40,8 @@ class JaccardSettings:
     max_heavy: int = 400_000
     heavy_count: int = 9
     block: int = 4096
-    seeds: int = 4
-    agree: int = 2
+    seeds: int = 6
+    agree: int = 4
     posting_cost: float = 4.0
     bucket: int = 1 << 20
 
@@ -390,7 +390,7 @@ def _verified(pairs: DataFrame, source: DataFrame, settings: JaccardSettings) ->
             yield _batch(["id", "content"], rows, [pa.int64(), pa.binary()])
         release()
 
-    sets = written(source.mapInArrow(content, "id long, content binary"))  # the few that the filter lets through by chance meet no pair
+    sets = source.mapInArrow(content, "id long, content binary")  # the few that the filter lets through by chance meet no pair
 
     def check(batches):
         for batch in batches:
@@ -453,7 +453,7 @@ def jaccard_classes(docs: DataFrame, settings: JaccardSettings = JaccardSettings
     # in a group of sets with a common subset of size o the smallest set links with every one that has a link there
     small = _runs(parts, lambda n, m, o: (100 + settings.percent) * o >= settings.percent * (n + m))
     # one shingle in common may be that of a shared passage; what only one brings together is left to round 2
-    likely = near.filter(f"keys >= {settings.agree}").unionAll(small).select("u", "v").distinct()
+    likely = near.filter(f"keys >= {min(settings.agree, settings.seeds)}").unionAll(small).select("u", "v").distinct()
     links = saved(_verified(saved(likely), source, settings))
     first = components(links)
 
