@@ -398,6 +398,19 @@ def test_language(spark):
     assert none is None and by_id(language_id.identify(df, none), "lang_pred")[0] == ("und",)
 
 
+@pytest.mark.parametrize("languages", [2, 4])
+def test_unlearned_languages_go(spark, languages):
+    rng = random.Random(8)
+    kinds = dict(list({"en": "the of and to in is was that with from this have", "de": "der die das und ist nicht ein mit von auch sich wird", "fr": "le la les des est dans pour que une avec sur pas", "es": "el los las del por con una para como pero sus este"}.items())[:languages])
+    make = lambda lang: " ".join(rng.choice(kinds[lang].split()) for _ in range(rng.randrange(8, 60)))
+    rows = [(k, make(lang), lang) for k, lang in enumerate(rng.choices(list(kinds), k=400))]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    foreign = ["Все люди рождаются свободными и равными", "人人生而自由在尊严和权利上一律平等", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina", "Bütün insanlar hür ve eşit doğarlar", "xkcd qwrtp zzvbn mnbvc lkjhg fdspq"]
+    asked = [(1000 + k, t) for k, t in enumerate(foreign)] + [(2000 + k, make(lang)) for k, lang in enumerate(rng.choices(list(kinds), k=60))]
+    kept = {r["doc_id"] for r in language_id.keep_known(frame(spark, asked), model).collect()}
+    assert kept == {i for i, _ in asked if i >= 2000}
+
+
 def test_classifier(spark):
     rng = random.Random(9)
     rows, marks = [], []

@@ -59,6 +59,8 @@ class LanguageModel:
     languages: list[str]
     landmarks: np.ndarray  # landmarks x width, rows divided by the root of their number of n-grams
     weights: np.ndarray  # landmarks x languages
+    usual: np.ndarray  # width x languages, logarithm of the share of a language's fitted texts that have an n-gram
+    least: float  # evidence that a text of a learned language has
 
     def scores(self, found: np.ndarray, sharpness: float) -> np.ndarray:
         """texts x languages, rows sum to 1."""
@@ -67,6 +69,10 @@ class LanguageModel:
         value = np.exp(sharpness * (value - value.max(1, keepdims=True)))
         return value / value.sum(1, keepdims=True)
 
+    def evidence(self, found: np.ndarray) -> np.ndarray:
+        """Of each text how usual its n-grams are, on average, in the language they fit best. Other languages neither add to it nor take from it."""
+        return (found @ self.usual).max(1) / np.maximum(found.sum(1), 1)
+
 
 def fit(bits: np.ndarray, languages: np.ndarray, settings: LanguageSettings) -> LanguageModel:
     """Nystroem features and one-versus-rest ridge regression on a presence matrix."""
@@ -85,7 +91,11 @@ def fit(bits: np.ndarray, languages: np.ndarray, settings: LanguageSettings) ->
     share = 1 / np.sqrt(np.bincount(y)[y])[:, None]  # rare languages weigh as much as frequent ones, by half
     left = (features * share).T @ features + settings.ridge * share.mean() * len(y) / 100 * np.eye(features.shape[1])
     weights = root @ np.linalg.solve(left, (features * share).T @ target)
-    return LanguageModel([str(x) for x in names], marks.astype(np.float32), weights.astype(np.float32))
+    usual = np.stack([np.log((bits[y == k].sum(0) + 0.5) / ((y == k).sum() + 1)) for k in range(len(names))], 1)
+    model = LanguageModel([str(x) for x in names], marks.astype(np.float32), weights.astype(np.float32), usual.astype(np.float32), 0.0)
+    known = model.evidence(bits)
+    model.least = float(known.min() - (np.median(known) - known.min()) / 2)  # all fitted texts stay, with room for those that were not drawn
+    return model
 
 
 def train(docs: DataFrame, rows: Column, settings: LanguageSettings = LanguageSettings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> LanguageModel | None:
@@ -143,11 +153,12 @@ def identify(docs: DataFrame, model: LanguageModel | None, settings: LanguageSet
     return source.mapInArrow(run, f"{out}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: LanguageModel | None, min_score: float = 0.3, settings: LanguageSettings = LanguageSettings(), text_col: str = "text") -> DataFrame:
-    """docs, all columns kept, without the rows whose language is `und` or scores less than min_score. Without a model nothing is rejected but texts without letters."""
+def keep_known(docs: DataFrame, model: LanguageModel | None, settings: LanguageSettings = LanguageSettings(), text_col: str = "text") -> DataFrame:
+    """docs, all columns kept, without the rows that have no letter or less evidence of every learned language than the
+    labelled rows the model was fitted on. Without a model nothing is rejected but texts without letters."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place, width, sharpness = docs.columns.index(text_col), settings.width, settings.sharpness
+    place, width = docs.columns.index(text_col), settings.width
 
     def run(batches):
         known = shared.value
@@ -155,7 +166,7 @@ def keep_known(docs: DataFrame, model: LanguageModel | None, min_score: float =
             texts, keep = batch.column(place), np.ones(batch.num_rows, bool)
             for low in range(0, batch.num_rows if known else 0, 256):
                 rows = range(low, min(low + 256, batch.num_rows))
-                keep[rows.start : rows.stop] = known.scores(presence_matrix(texts, rows, width), sharpness).max(1) >= min_score
+                keep[rows.start : rows.stop] = known.evidence(presence_matrix(texts, rows, width)) >= known.least
             keep &= np.array([has_letter(t.as_py()) for t in texts], bool)
             yield batch.filter(pa.array(keep))
 
