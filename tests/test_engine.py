@@ -2,11 +2,13 @@
 
 import io
 import json
+import re
 import zipfile
 
 from pyspark.sql import functions as F
 
 from veilframe.operators import vault as vaults
+from veilframe.operators.counters import dense_counter
 from veilframe.operators.names import NameRules, find_names, likely_name
 from veilframe.operators.tokens import bioes_spans, refined
 from veilframe.plans import engine
@@ -46,6 +48,19 @@ def test_collisions_give_different_masks(spark):
     assert len({r["masked_text"] for r in vaults.assign(full, one).collect()} & {f"a{i}" for i in range(10)}) == 0
 
 
+def test_one_proposal_for_many(spark):
+    """One proposal's rows lie in several parts, and every part's numbers follow those of the part before."""
+    n, columns = 5000, ["project_id", "original_text", "entity_type", "proposed", "source", "confidence", "first_seen"]
+    requests = spark.range(n).select(F.lit("p").alias("project_id"), F.format_string("n%05d", "id").alias("original_text"), F.lit("PERSON").alias("entity_type"), F.lit("{{PERSON_000001}}").alias("proposed"), F.lit("regex").alias("source"), F.lit(1.0).alias("confidence"), F.col("id").alias("first_seen"))
+    done = vaults.assign(vaults.empty_vault(spark), requests.select(*columns))
+    got = {r["original_text"]: r["masked_text"] for r in done.collect()}
+    assert len(got) == n == len(set(got.values())) and got["n00000"] == "{{PERSON_000001}}" and got["n04999"] == "{{PERSON_005000}}"
+    numbered = dense_counter(requests.withColumn("project_id", F.lit(None).cast("string")), ["project_id", "proposed"], ["first_seen"], "rank", "width")
+    assert [(r["rank"], r["width"]) for r in numbered.orderBy("first_seen").collect()] == [(k, n) for k in range(n)]
+    plan = re.sub("#[0-9]+L?", "", done._jdf.queryExecution().toString())
+    assert "windowspecdefinition(project_id, proposed, first_seen" not in plan
+
+
 def test_names():
     rules = NameRules()
     first = find_names("联系人：王小明，到场", rules)[0]
