@@ -305,6 +305,17 @@ def test_jaccard_edges(spark):
     assert sorted(x for x in kept if x is not None) == sorted(want) and kept.count(None) == 2
 
 
+def test_jaccard_copy_without_id_comes_first(spark):
+    rng = random.Random(3)
+    base = words(rng, 60, 5000)
+    small = words(rng, 7, 5000)
+    rows = [(None, base), (None, small), (5, base), (7, base + " tail"), (8, small), (9, small + " a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    settings = JaccardSettings(percent=75)
+    got = by_id(jaccard_classes(docs, settings).filter("doc_id is not null"), "component_id")
+    assert {i: c for i, (c,) in got.items()} == {i: c for i, (_, c) in plain_classes(rows[2:], 75).items()} == {5: 5, 7: 5, 8: 8, 9: 8}
+
+
 def test_size_boundary():
     s = JaccardSettings()
     for n in range(1, 30):

@@ -159,7 +159,7 @@ def _signatures(source: DataFrame, settings: JaccardSettings, boundary: int) ->
             for row, tokens in shingle_sets(batch.column(1), settings.k):
                 size, own = len(tokens), digest(tokens)
                 seeds = parts = None
-                if size and own not in seen:
+                if size and own not in seen and ids[row] is not None:  # rows without an id are no nodes
                     if len(seen) < 1 << 18:
                         seen.add(own)
                     if size >= lists_from:
