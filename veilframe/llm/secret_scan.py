@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -35,12 +36,14 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 #: Signs that part a run, so that a key is judged without what stands beside it: = before a value (not after the name of
 #: a digest), and / beside a piece made of words.
 _WORDS = "[A-Z]?[a-z][a-z_-]{1,60}"
-SEPARATOR = f"(?<!sha1|sha256|sha384|sha512|md5)=(?=[A-Za-z0-9+/_-])|/(?={_WORDS}(?![A-Za-z0-9+_-]))|(?<=(?<![A-Za-z0-9+_-]){_WORDS})/"
+SEPARATOR = f"=(?<!(?:sha1|sha256|sha384|sha512|md5)=)(?=[A-Za-z0-9+/_-])|/(?={_WORDS}(?![A-Za-z0-9+_-]))|/(?<=(?<![A-Za-z0-9+_-]){_WORDS}/)"  # the sign comes first, so that one look at a character rules it out
 #: Character classes from the narrowest to the widest, each with the least bits per character that a window of 20 must
 #: reach, the 1st percentile of the entropy of 20 random characters of the class (simulated), and the share of frequent
-#: letter pairs from which on a string counts as words. Digits with signs are dates, ranges and phone numbers.
+#: letter pairs from which on a string counts as words. Digits with signs are dates, ranges and phone numbers, which are
+#: never looked at: no window of 20 characters has NEVER bits.
+NEVER = 9.0
 CLASSES = (
-    ("[0-9]+", 2.5, 1.1), ("[0-9+/_=-]+", 9.0, 1.1), ("[0-9a-fA-F]+", 2.9, 1.1), ("[a-z]+|[A-Z]+", 3.24, 0.5), ("[a-z0-9]+|[A-Z0-9]+", 3.34, 0.6),
+    ("[0-9]+", 2.5, 1.1), ("[0-9+/_=-]+", NEVER, 1.1), ("[0-9a-fA-F]+", 2.9, 1.1), ("[a-z]+|[A-Z]+", 3.24, 0.5), ("[a-z0-9]+|[A-Z0-9]+", 3.34, 0.6),
     ("[A-Za-z]+", 3.58, 0.5), ("[A-Za-z0-9]+", 3.64, 0.6), ("[A-Za-z0-9+/_=-]+", 3.64, 0.6),
 )
 #: The most frequent letter pairs of English, German, French and Spanish. Words have three quarters of
@@ -73,32 +76,71 @@ def match_spans(text: Column, pattern: SecretPattern) -> Column:
     return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
 
+#: Windows looked at in one go. A candidate string is cut into pieces that overlap by a window, so that what is done for a
+#: character does not grow with the string.
+_PIECE = 128
+#: The characters of candidate strings lie between these two.
+_LOWEST, _HIGHEST = ord("+"), ord("z")
+
+
 def peak_window(text: Column, window: int, least: Column) -> Column:
     """struct<first,last>: where the first and last window of `window` characters start whose Shannon entropy is `least`
     bits or more; nulls if there is none.
 
     The entropy of a window of w characters is log2(w) - s / w with s the sum of c * log2(c) over the counts c of its
-    characters. s is kept from window to window: the character that enters and the one that leaves change one count
-    each, found in the window itself.
+    characters. Counts and s are kept from window to window: a character that enters or leaves changes one count. The
+    counts stand in a text with a character for each character code, which is the cheapest array that built-in
+    functions can change in one place. Counting starts anew in each piece of the string.
     """
-    term = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    count = lambda part, ch: F.length(part) - F.length(F.replace(part, ch, F.lit("")))
-    at = lambda k, n: F.substring(text, k + 1, n)
     none = F.lit(None).cast("int")
-    start = F.struct(F.lit(0.0).alias("s"), none.alias("first"), none.alias("last"))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{_PIECE + window - 1}}})).{{1,{_PIECE}}}"), F.lit(1))
+    term = [c * math.log2(c) if c else 0.0 for c in range(window + 1)]
+    grown = F.array(*[F.lit(term[c + 1] - term[c]) for c in range(window)])  # what one more of c equal characters adds to s
+    zero = F.lit("A" * (_HIGHEST - _LOWEST + 1))
+
+    def peaks(piece: Column, most: Column) -> Column:
+        code = lambda k: F.ascii(F.substring(piece, k + 1, F.lit(1))) - (_LOWEST - 1)
+        event = lambda at, change, spot: F.struct(at.alias("at"), F.lit(change).alias("change"), spot.alias("spot"))
+
+        def events(i: Column) -> Column:
+            came = event(code(i), 1, i - (window - 1))
+            return F.when(i >= window, F.array(event(code(i - window), -1, F.lit(-1)), came)).otherwise(F.array(came))
+
+        def step(acc: Column, e: Column) -> Column:
+            def counted(c: Column) -> Column:
+                counts = F.overlay(acc["counts"], F.char(c + e["change"] + 65), e["at"])
+
+                def summed(total: Column) -> Column:
+                    full = (e["spot"] >= 0) & (total <= most)
+                    return F.struct(counts.alias("counts"), total.alias("s"), F.when(full, F.coalesce(acc["first"], e["spot"])).otherwise(acc["first"]).alias("first"), F.when(full, e["spot"]).otherwise(acc["last"]).alias("last"))
+
+                return let(acc["s"] + F.when(e["change"] > 0, F.get(grown, c)).otherwise(-F.get(grown, c - 1)), summed)
+
+            return let(F.ascii(F.substring(acc["counts"], e["at"], F.lit(1))) - 65, counted)
+
+        start = F.struct(zero.alias("counts"), F.lit(0.0).alias("s"), none.alias("first"), none.alias("last"))
+        return F.aggregate(F.flatten(F.transform(F.sequence(F.lit(0), F.length(piece) - 1), events)), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+    most = window * (math.log2(window) - least)  # of s, where the entropy is `least`
+    nothing = F.struct(none.alias("first"), none.alias("last"))
+
+    def peaks_of(piece: Column) -> Column:
+        """peaks(), where the piece has as many different characters as that much entropy takes."""
+        return F.when(F.size(F.array_distinct(F.split(piece, ""))) >= F.pow(F.lit(2.0), least), peaks(piece, most)).otherwise(nothing)
+
+    def both(parts: Column) -> Column:
+        # from the front up to the first piece with such a window, then from the back up to that piece
+        forward = lambda acc, k: F.when(acc["first"].isNull(), let(peaks_of(F.get(parts, k)), lambda p: F.struct((p["first"] + k * _PIECE).alias("first"), (p["last"] + k * _PIECE).alias("last"), k.alias("k")))).otherwise(acc)
+        backward = lambda acc, k: F.when(acc.isNull(), peaks_of(F.get(parts, k))["last"] + k * _PIECE).otherwise(acc)
+        start = F.struct(none.alias("first"), none.alias("last"), F.lit(0).alias("k"))
+
+        def ends(hit: Column) -> Column:
+            behind = F.when(hit["first"].isNotNull() & (hit["k"] < F.size(parts) - 1), F.sequence(F.size(parts) - 1, hit["k"] + 1, F.lit(-1))).otherwise(F.array().cast("array<int>"))
+            return F.struct(hit["first"].alias("first"), F.coalesce(F.aggregate(behind, none, backward), hit["last"]).alias("last"))
 
-    def step(acc: Column, i: Column) -> Column:
-        # the window that ends before character i, less what leaves it, then with character i
-        low = F.greatest(i - window, F.lit(0))
-        kept = at(F.greatest(i - window + 1, F.lit(0)), F.least(i, F.lit(window - 1)))
-        gone = F.when(i >= window, count(kept, at(low, F.lit(1)))).otherwise(F.lit(0))
-        came = count(kept, at(i, F.lit(1)))
-        s = acc["s"] - F.when(i >= window, term(gone + 1) - term(gone)).otherwise(F.lit(0.0)) + term(came + 1) - term(came)
-        full = (i >= window - 1) & (F.log2(F.lit(float(window))) - s / window >= least)
-        spot = i - window + 1
-        return F.struct(s.alias("s"), F.when(full, F.coalesce(acc["first"], spot)).otherwise(acc["first"]).alias("first"), F.when(full, spot).otherwise(acc["last"]).alias("last"))
+        return let(F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), start, forward), ends)
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(text) - 1), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    return F.when(F.length(text) >= window, let(pieces, both)).otherwise(nothing)
 
 
 def entropy_spans(text: Column, window: int = 20, allowed: Sequence[str] = ALLOWED) -> Column:
@@ -106,14 +148,14 @@ def entropy_spans(text: Column, window: int = 20, allowed: Sequence[str] = ALLOW
     def of(c: Column) -> Column:
         pairs = F.regexp_count(c, F.lit("(?=[A-Za-z]{2})"))
         usual = F.regexp_count(c, F.lit(f"(?i)(?={'|'.join(_PAIRS)})"))
-        bits = F.lit(9.0)
+        bits = F.lit(NEVER)
         for regex, b, words in reversed(CLASSES):
-            least = F.when(usual >= words * pairs, 9.0).otherwise(b) if words < 1 else F.lit(b)
+            least = F.when(usual >= words * pairs, NEVER).otherwise(b) if words < 1 else F.lit(b)
             bits = F.when(c.rlike(f"^(?:{regex})$"), least).otherwise(bits)
         fine = F.lit(False)
         for regex in allowed:
             fine = fine | c.rlike(regex)
-        return F.when(fine, F.lit(9.0)).otherwise(bits)
+        return F.when(fine, F.lit(NEVER)).otherwise(bits)
 
     text = F.regexp_replace(text, SEPARATOR, " ")  # as long as before
     found, between = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE)
@@ -122,8 +164,8 @@ def entropy_spans(text: Column, window: int = 20, allowed: Sequence[str] = ALLOW
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        spans = let(of(x["text"]), lambda bits: F.when(bits > 5, none).otherwise(let(peak_window(x["text"], window, bits), lambda p: F.when(p["first"].isNull(), none).otherwise(F.array(F.struct((start + p["first"]).alias("start"), (start + p["last"] + window).alias("end")))))))
-        return F.struct((start + F.length(x["text"])).alias("at"), F.concat(acc["out"], spans).alias("out"))
+        spans = let(of(x["text"]), lambda bits: F.when(bits >= NEVER, none).otherwise(let(peak_window(x["text"], window, bits), lambda p: F.when(p["first"].isNull(), none).otherwise(F.array(F.struct((start + p["first"]).alias("start"), (start + p["last"] + window).alias("end")))))))
+        return let(spans, lambda more: F.struct((start + F.length(x["text"])).alias("at"), F.when(F.size(more) == 0, acc["out"]).otherwise(F.concat(acc["out"], more)).alias("out")))
 
     return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
@@ -133,7 +175,9 @@ def find_secrets(docs: DataFrame, window: int = 20, allowed: Sequence[str] = ALL
 
     A cheap test guards each pattern, so that texts without matches, nearly all of them, are searched once and not
     cut up. Null and empty texts have no spans; repeated rows are reported each by itself; an empty table gives an
-    empty result; other columns are ignored. One narrow pass.
+    empty result; other columns are ignored, whatever their names. Entropy spans of one string that tie are one span,
+    from its first such window to its last. Work grows in proportion to the text, however long a string of key
+    characters it holds. One narrow pass.
     """
     lean = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t"))
     t, none = F.col("t"), F.array().cast("array<struct<start:int,end:int>>")
@@ -153,7 +197,9 @@ def listed(kinds: Sequence[str]) -> Column:
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", window: int = 20, allowed: Sequence[str] = ALLOWED, text_col: str = "text") -> DataFrame:
     """docs, all columns and rows kept, with each run of secret spans in the text replaced by `mark`.
 
-    An assignment loses its value only, not the name in front of it. Null texts stay null.
+    An assignment loses its value only, not the name in front of it. Null texts stay null, empty ones empty; repeated
+    rows are each changed alike; overlapping and touching finds share one mark; an empty table stays empty; columns of
+    any name are kept, since the one that is added takes a name that none has.
     """
     taken = set(docs.columns)
     name = next(x for x in ("found", *(f"found_{k}" for k in range(len(taken) + 1))) if x not in taken)
