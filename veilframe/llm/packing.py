@@ -68,8 +68,8 @@ class SumOfSquaresPacker:
 class WindowBuilder:
     """Keeps the pieces of open windows and gives them out as windows fill up.
 
-    At most max_open windows are open. When there are more, and at the end, the emptiest ones give their pieces,
-    cut where needed, to the gaps of the fullest, so that one window at most is left partly filled.
+    At most max_open windows are open. When there are more, and at the end, the finishing step levels them out, so
+    that no window at all is left to be padded.
     """
 
     def __init__(self, capacity: int, max_open: int):
@@ -92,6 +92,9 @@ class WindowBuilder:
             yield from self.level_out(False)
 
     def level_out(self, last: bool):
+        """The finishing step, which is not the sum-of-squares rule: pieces of the emptiest windows, cut where needed, fill
+        the gaps of the fullest. At the end what one window holds then goes into sequences whose lengths are powers
+        of two, its own first, which need no padding."""
         levels = self.packer.take_open()
         low, high = 0, len(levels) - 1
         fill = [h for h, _ in levels]
@@ -112,11 +115,29 @@ class WindowBuilder:
                 low += 1
         for k in range(low, high + 1):
             window = levels[k][1]
-            if last or fill[k] == self.capacity:
+            if fill[k] == self.capacity:
                 yield window, self.open.pop(window)
+            elif last:
+                yield from self.in_powers(window, self.open.pop(window), fill[k])
             else:
                 self.packer.put_back(fill[k], window)
 
+    def in_powers(self, window: int, pieces: list[tuple], size: int):
+        """The pieces as sequences whose lengths are the powers of two that make up their size."""
+        for bit in reversed(range(size.bit_length())):
+            room, own = size & (1 << bit), []
+            while room:
+                doc_id, start, piece, total = pieces.pop(0)
+                if len(piece) > room:
+                    pieces.insert(0, (doc_id, start + room, piece[room:], total))
+                    piece = piece[:room]
+                own.append((doc_id, start, piece, total))
+                room -= len(piece)
+            if own:
+                yield window, own
+                window = self.packer.opened
+                self.packer.opened += 1
+
 
 def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k.json", end_id: int = 1, max_open: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs all documents into windows of `capacity` tokens.
@@ -124,21 +145,20 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k.j
     One row per piece: doc_id, start (the document's ids before it), length, ids (binary, little-endian uint32),
     doc_tokens, sequence_id, offset (in the window, gapless from 0). A document is its ids and then end_id;
     whole windows are cut off long documents, the rest is placed by the sum-of-squares rule. Each task packs its
-    own input in one narrow pass without a shuffle, holds max_open open windows at most, and leaves one window
-    at most partly filled. Null and empty texts are end_id alone; repeated rows are packed each on its own (by
-    doc_id they can't be told apart); an empty table gives no piece; other columns are ignored.
+    own input in one narrow pass without a shuffle and holds max_open open windows at most. When there are more, and at
+    the end, a finishing step takes the place of the rule: see WindowBuilder. Every sequence is full but the last
+    ones of a task, whose lengths are powers of two. Null and empty texts are end_id alone; repeated rows are packed
+    each on its own (by doc_id they can't be told apart); levels that tie go to the fullest window; ids may be of any
+    type and null; an empty table gives no piece; other columns are ignored.
     """
     source = id_and_text(docs, id_col, text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind)
-    if arrow_kind is None:
-        raise ValueError(f"ids of type {kind} are not supported")
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
         builder, base = WindowBuilder(capacity, max_open), TaskContext.get().partitionId() << _WINDOW_BITS
         rows: list[tuple] = []
-        held = 0
+        held, arrow_kind = 0, pa.null()
 
         def flush():
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
@@ -155,7 +175,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k.j
                 held += offset
 
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
+            doc_ids, arrow_kind = batch.column(0).to_pylist(), batch.column(0).type
             for row, ids in encoded(batch.column(1), tokenizer):
                 write(builder.add(doc_ids[row], np.append(ids, np.uint32(end_id)).astype(np.uint32)))
                 if held > 1 << 20:
