@@ -33,20 +33,20 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     a match cost one search.
     """
 
-    def found(t: Column) -> Column:
-        whole = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-        part = F.regexp_extract_all(t, F.lit(pattern), F.lit(group)) if group else whole
-        gaps = F.transform(F.slice(F.split(t, pattern), 1, F.size(whole)), F.length)
-        rows = F.arrays_zip(gaps.alias("gap"), F.transform(whole, F.length).alias("n"), part.alias("part"))
+    def placed(whole: Column) -> Column:
+        part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+        gaps = F.transform(F.slice(F.split(text, pattern), 1, F.size(whole)), F.length)
+        rows = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), part.alias("part"))
 
         def step(acc: Column, x: Column) -> Column:
-            end = acc["at"] + x["gap"] + x["n"]
+            end = acc["at"] + x["gap"] + F.length(x["whole"])
             span = F.struct((end - F.length(x["part"])).cast("int").alias("start"), end.cast("int").alias("end"), x["part"].alias("text"))
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
         return F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty(MATCH).alias("out")), step, lambda acc: acc["out"])
 
-    return F.when(text.rlike(pattern), found(text)).otherwise(empty(MATCH))
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+    return F.when(text.rlike(pattern), found).otherwise(empty(MATCH))
 
 
 def fill_digits(template: Column, digits: Column) -> Column:

@@ -7,8 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilframe.functions.expr import empty, has_cjk, matches, valid_identity
-from veilframe.types import SPAN
+from veilframe.functions.expr import has_cjk, matches, valid_identity
 
 # Patterns. (?U) makes \d and \s cover all of Unicode, (?iu) ignores case there.
 PHONE = "(?U)(?<![0-9])1[3-9]\\d{9}(?![0-9])"
@@ -123,6 +122,8 @@ LAYERS: dict[str, Callable[[Column], Column]] = {"schema": schema_layer, "regex"
 _PRIORITY: dict[str, int] = {"schema": 100, "regex": 90}
 
 
+#: Engine names that stand for a layer, most of which wrap a model that the caller registers.
+ENGINES = {"privacy-filter": "privacy_filter", "privacy-filter-mlx": "privacy_filter_mlx", "qwen": "llm_scan", "presidio": "analysed"}
 #: Names of the layers that hybrid detection takes between regex and names.
 MODELS: set[str] = set()
 
@@ -139,20 +140,20 @@ def registered() -> list[str]:
     return sorted(LAYERS, key=lambda n: -_PRIORITY[n])
 
 
-def detected(text: Column, engine: str = "hybrid", names: bool = True) -> Column:
+def detected(text: Column, engine: str = "hybrid", rules=None) -> Column:
     """All spans of an engine's layers before they are merged, numbered in layer order.
 
     hybrid is schema, regex, a registered model and names (where the text has an ideograph); regex and schema are
-    those layers; any other name is a registered layer.
+    those layers; the names in ENGINES stand for layers; any other name is a registered layer. rules: of the name layer, see names.NameRules.
     """
-    from veilframe.operators.names import name_layer
+    from veilframe.operators.names import NameRules, name_layer
 
     text = F.coalesce(text, F.lit(""))
-    none = empty(SPAN)
     if engine == "hybrid":
         parts = [schema_layer(text), regex_layer(text), *[LAYERS[n](text) for n in registered() if n in MODELS]]
-        parts += [F.when(has_cjk(text), name_layer(text)).otherwise(none)] if names else []
-        return numbered(F.concat(*parts))
-    if engine not in LAYERS:
-        raise ValueError(f"no such engine: {engine}; known are hybrid, {', '.join(LAYERS)}")
-    return numbered(LAYERS[engine](text))
+        return numbered(F.concat(*parts, name_layer(F.when(has_cjk(text), text), rules or NameRules())))
+    name = ENGINES.get(engine, engine)
+    if name not in LAYERS:
+        needs = f"engine {engine} needs a model: add it with register({name!r}, layer)" if engine in ENGINES else f"no such engine: {engine}; known are hybrid, {', '.join([*ENGINES, *LAYERS])}"
+        raise ValueError(needs)
+    return numbered(LAYERS[name](text))

@@ -2,27 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.functions.expr import matches, occurrences
+from veilframe.functions.expr import let, matches, occurrences
 from veilframe.operators.detect import numbered, register, span
-from veilframe.operators.names import SURNAMES
+from veilframe.operators.merge import recognised
+from veilframe.operators.name_words import PATTERN_CONTEXT, PATTERN_SURNAMES
 
+_SURNAME = f"[{''.join(PATTERN_SURNAMES)}]"
 # Patterns with their scores, in the order in which ties are settled.
 PATTERNS = (
     ("PHONE_NUMBER", "(?U)1[3-9]\\d{9}", 0.9, "chinese_phone"),
     ("PHONE_NUMBER", "(?U)1[3-9]\\d[- ]?\\d{4}[- ]?\\d{4}", 0.85, "chinese_phone_sep"),
     ("CN_ID_CARD", "(?U)[1-9]\\d{5}(?:19|20)\\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\\d|3[01])\\d{3}[\\dXx]", 0.95, "chinese_id_18"),
     ("CN_ID_CARD", "(?U)[1-9]\\d{5}\\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\\d|3[01])\\d{3}", 0.85, "chinese_id_15"),
-    ("PERSON", f"[{SURNAMES}][\\u4e00-\\u9fa5]", 0.4, "chinese_name_2"),
-    ("PERSON", f"[{SURNAMES}][\\u4e00-\\u9fa5]{{2}}", 0.5, "chinese_name_3"),
-    ("PERSON", f"[{SURNAMES}][\\u4e00-\\u9fa5]{{3}}", 0.4, "chinese_name_4"),
+    ("PERSON", f"{_SURNAME}[\\u4e00-\\u9fa5]", 0.4, "chinese_name_2"),
+    ("PERSON", f"{_SURNAME}[\\u4e00-\\u9fa5]{{2}}", 0.5, "chinese_name_3"),
+    ("PERSON", f"{_SURNAME}[\\u4e00-\\u9fa5]{{3}}", 0.4, "chinese_name_4"),
 )
 
 
+# How far from a name a context word counts, in words before it, what it adds, and the least score then.
+CONTEXT_WORDS_BEFORE = 5
+CONTEXT_BONUS = 0.35
+CONTEXT_LEAST = 0.4
+
+
+def _with_context(x: Column, text: Column) -> Column:
+    """A name's score, raised where one of the last words before it, or its own, is a context word."""
+    words = F.split(F.rtrim(F.substring(text, F.lit(1), x["start"])), "[\\s,，。；;：:、]+")
+    before = let(F.filter(words, lambda w: w != ""), lambda w: F.slice(w, F.greatest(F.size(w) - (CONTEXT_WORDS_BEFORE - 1), F.lit(1)), CONTEXT_WORDS_BEFORE))
+    near = F.concat_ws(" ", F.when(x["start"] > 0, before).otherwise(F.array().cast("array<string>")), x["text"])
+    told = F.lit(False)
+    for word in PATTERN_CONTEXT:
+        told = told | F.contains(near, F.lit(word))
+    return F.when(told & (x["type"] == "PERSON"), x.withField("confidence", F.least(F.greatest(x["confidence"] + CONTEXT_BONUS, F.lit(CONTEXT_LEAST)), F.lit(1.0)))).otherwise(x)
+
+
 def pattern_layer(text: Column) -> Column:
     """array<span> of all patterns, before any conflict is settled (see merge.recognised)."""
 
@@ -32,7 +51,28 @@ def pattern_layer(text: Column) -> Column:
     return numbered(F.concat(*[of(*p) for p in PATTERNS]))
 
 
+def analysed(text: Column, entities: Sequence[str] | None = None, strategy: str = "highest_score") -> Column:
+    """array<span> as the pattern engine reports them: all patterns, or those of the named types, names with a context word
+    near them scored higher, and conflicts settled. What a model verified is left to verified()."""
+    found = pattern_layer(text)
+    if entities is not None:
+        found = F.filter(found, lambda x: x["type"].isin(*entities))
+    return let(F.transform(found, lambda x: _with_context(x, text)), lambda rows: recognised(rows, strategy))
+
+
+def verified(spans: Column, reply: Column) -> Column:
+    """Spans after a model's verdicts, written as text:Y or text:N: rejected ones go, confirmed ones gain 0.1, all others stay."""
+
+    def of(x: Column) -> Column:
+        says = lambda letter: F.contains(reply, F.concat(x["text"], F.lit(f":{letter}"))) | F.contains(reply, F.concat(x["text"], F.lit(f":{letter.lower()}")))
+        yes = x.withField("confidence", F.least(x["confidence"] + 0.1, F.lit(1.0))).withField("source", F.lit("llm_judge"))
+        return F.when(reply.isNull(), x).when(says("Y"), yes).when(says("N"), F.lit(None)).otherwise(x)
+
+    return F.filter(F.transform(spans, of), lambda x: x.isNotNull())
+
+
 register("patterns", pattern_layer, 40)
+register("analysed", analysed, 40)
 
 #: What an irreversible mask of a type looks like; DEFAULT stands for all others.
 POLICIES: dict[str, Callable[[Column], Column]] = {

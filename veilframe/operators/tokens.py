@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.expr import column_number, empty, let
+from veilframe.functions.masks import mask
+from veilframe.operators.splice import replaced
 from veilframe.types import FILTER_LABELS, MODEL_TYPES
 
 
@@ -133,3 +137,83 @@ def reply_entities(reply: Column) -> Column:
     kept = F.filter(parsed, lambda e: (F.trim(F.coalesce(e["text"], F.lit(""))) != "") & (F.trim(F.coalesce(e["type"], F.lit(""))) != ""))
     last = lambda rows: F.filter(rows, lambda e, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda y: y["text"] == e["text"]))
     return let(kept, lambda k: F.map_from_entries(F.transform(last(k), lambda e: F.struct(e["text"].alias("k"), F.upper(F.trim(e["type"])).alias("v")))))
+
+
+def document_context(rows: DataFrame) -> DataFrame:
+    """doc_id, context, values: the lines of row_context() of a document as one text, by part and row, and where in it the
+    values stand."""
+    lines = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "row", "line", "values"))).alias("lines"))
+
+    def step(acc: Column, x: Column) -> Column:
+        moved = F.transform(x["values"], lambda v: v.withField("start", v["start"] + acc["at"]).withField("end", v["end"] + acc["at"]))
+        return F.struct((acc["at"] + F.length(x["line"]) + 1).alias("at"), F.concat(acc["values"], moved).alias("values"))
+
+    kind = "struct<start:int,end:int,original_start:int,original_end:int,original_text:string>"
+    values = F.aggregate("lines", F.struct(F.lit(0).alias("at"), empty(kind).alias("values")), step, lambda acc: acc["values"])
+    return lines.select("doc_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("context"), values.alias("values"))
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+
+
+# What parts the sections of a model's older replies.
+TEXT_SECTION, MAP_SECTION = "===脱敏文本===", "===映射表==="
+
+
+def sectioned_reply(reply: Column) -> Column:
+    """struct<text, mappings, types> of a model's older kind of reply: a section with the masked text and one with lines
+    "original -> replacement | type".
+
+    A replacement that an earlier line has already gets a number behind it, 2 and on, so that it can be undone. Of an
+    original named twice the last line counts; without a type it is UNKNOWN. A reply without sections is all text.
+    """
+    parts = F.split(reply, TEXT_SECTION, 0)
+    sections = F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), MAP_SECTION, 0)
+    lines = F.transform(F.split(_stripped(F.coalesce(F.get(sections, F.lit(1)), F.lit(""))), "\n"), _stripped)
+
+    def parsed(line: Column) -> Column:
+        left = F.regexp_extract(line, "^([^|]*)", 1)
+        kind = F.when(F.contains(line, F.lit("|")), _stripped(F.regexp_extract(line, "(?s)^[^|]*\\|(.*)$", 1))).otherwise(F.lit("UNKNOWN"))
+        return F.struct(_stripped(F.regexp_extract(left, "(?s)^(.*?)->", 1)).alias("original"), _stripped(F.regexp_extract(left, "(?s)->(.*)$", 1)).alias("base"), kind.alias("type"))
+
+    rows = F.transform(F.filter(lines, lambda x: F.regexp_extract(x, "^([^|]*)", 1).contains("->")), parsed)
+
+    def step(acc: Column, x: Column) -> Column:
+        used = F.transform(acc, lambda y: y["masked"])
+        free = F.filter(F.sequence(F.lit(2), F.size(acc) + 2), lambda n: ~F.array_contains(used, F.concat(x["base"], n.cast("string"))))
+        masked = F.when(F.array_contains(used, x["base"]), F.concat(x["base"], F.get(free, F.lit(0)).cast("string"))).otherwise(x["base"])
+        return F.concat(acc, F.array(F.struct(x["original"].alias("original"), masked.alias("masked"), x["type"].alias("type"))))
+
+    numbered = F.aggregate(rows, empty("struct<original:string,masked:string,type:string>"), step)
+    last = lambda found: F.filter(found, lambda x, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda y: y["original"] == x["original"]))
+    pairs = lambda found, name: F.map_from_entries(F.transform(last(found), lambda x: F.struct(x["original"].alias("k"), x[name].alias("v"))))
+    text = F.when(F.size(parts) >= 2, _stripped(F.get(sections, F.lit(0)))).otherwise(reply)
+    return let(numbered, lambda found: F.struct(text.alias("text"), pairs(found, "masked").alias("mappings"), pairs(F.filter(found, lambda x: x["type"] != ""), "type").alias("types")))
+
+
+def scanned(documents: DataFrame, ask: Callable[[Column], Column], most: int = 1800) -> DataFrame:
+    """doc_id, original, type: what a language model names in documents (doc_id, text), piece by piece.
+
+    ask turns a column of pieces into its replies, most often a pandas UDF around a service. A reply is read as an
+    object of entities, else as sections. The first piece of a document that names a text decides its type.
+    """
+    pieces = documents.select("doc_id", F.posexplode(line_chunks(F.col("text"), most)).alias("chunk", "piece"))
+    replies = pieces.select("doc_id", "chunk", ask(F.col("piece")).alias("reply"))
+    kinds = let(reply_entities(F.col("reply")), lambda found: F.when(found.isNotNull(), found).otherwise(sectioned_reply(F.col("reply"))["types"]))
+    named = replies.select("doc_id", "chunk", F.explode(kinds).alias("original", "type"))
+    return named.groupBy("doc_id", "original").agg(F.min_by("type", "chunk").alias("type"))
+
+
+def scan_and_rewrite(documents: DataFrame, ask: Callable[[Column], Column], most: int = 1800) -> DataFrame:
+    """doc_id, text, mappings (original to mask), types: documents with what a model names replaced, longest first, by masks made
+    here, numbered by type in order of appearance, so that they can be undone."""
+    named = scanned(documents, ask, most).join(documents.select("doc_id", "text"), "doc_id")
+    placed = named.withColumn("at", F.instr("text", F.col("original"))).withColumn("kind", model_type(F.col("type")))
+    number = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("at", "original")) - 1
+    made = placed.withColumn("masked", mask(F.col("kind"), F.col("original"), number))
+    pairs = lambda name: F.map_from_entries(F.array_sort(F.collect_list(F.struct("original", name))))
+    by_doc = made.groupBy("doc_id").agg(pairs("masked").alias("mappings"), pairs("type").alias("types"))
+    none = F.create_map().cast("map<string,string>")
+    out = documents.select("doc_id", "text").join(by_doc, "doc_id", "left").withColumn("mappings", F.coalesce("mappings", none)).withColumn("types", F.coalesce("types", none))
+    return out.select("doc_id", replaced(F.col("text"), F.col("mappings")).alias("text"), "mappings", "types")

@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions import masks
-from veilframe.functions.expr import column_number, valid_identity
+from veilframe.functions.expr import column_number, matches, valid_identity
 from veilframe.operators import detect as layers
 from veilframe.operators import vault as vaults
 from veilframe.operators.merge import recognised
@@ -17,8 +17,10 @@ from veilframe.operators.names import name_layer
 from veilframe.operators.recognisers import anonymised, counted_entities, pattern_layer
 from veilframe.operators.recognisers import first_types as layers_by_model
 from veilframe.operators.splice import potential, replaced, spliced
-from veilframe.operators.tokens import bioes_spans, line_chunks, mapped_back, model_type, reply_entities, row_context
+from veilframe.operators.tokens import bioes_spans, line_chunks, mapped_back, model_type, reply_entities, row_context, scanned
 from veilframe.plans import engine
+from veilframe.plans.stage import saved
+from veilframe.sources.changed import newly_changed
 from veilframe.sources.readers import combined, format_of, leaves, markdown_segments, with_offsets
 
 #: Contact cards made of customers; both SQL dialects can run it. Every offset in a card is known.
@@ -163,26 +165,37 @@ def masked_documents(spark, sf_dir):
     return _masked(spark, sf_dir)[0].select("doc_id", "masked_text")
 
 
-@query(f"select text as original_text, type as entity_type from ({_CARD_SPANS}) group by all")
+@query(f"""with cards as ({CARDS_DUCK}),
+names as (select substring(text, 5, 2) as name, row_number() over (order by min(doc_id)) as r from cards group by 1),
+n as (select text, row_number() over (order by doc_id) - 1 as c from cards)
+select name as original_text, 'PERSON' as entity_type, printf('{{{{PERSON_%06d}}}}', r) as masked_text from names union all
+select substring(text, 11, 11), 'PHONE', '1' || cast(3 + c % 7 as varchar) || lpad(cast((c // 7) % 1000000000 as varchar), 9, '0') from n union all
+select substring(text, 26, 22), 'EMAIL', rpad(printf('u%03d', c), 10, 'x') || '@example.com' from n""")
 def vault_contents(spark, sf_dir):
-    return _masked(spark, sf_dir)[1].select("original_text", "entity_type")
+    return _masked(spark, sf_dir)[1].select("original_text", "entity_type", "masked_text")
 
 
-@query("select doc_id, text from documents")
+@query(f"select doc_id, text, len(regexp_extract_all(text, '{_EMAIL_RE}')) as n_emails, true as hidden from documents")
 def restore_roundtrip(spark, sf_dir):
-    """Documents masked and restored are the documents."""
+    """Documents masked and restored are the documents; and no e-mail address stands in what was masked."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     masked, _ = engine.mask(engine.detect(docs), F.lit("p"), vaults.empty_vault(spark), F.lit("2024-01-01").cast("timestamp"))
+    masked = saved(masked.select("doc_id", "text", "masked_text", "replacements"))
     back = engine.restore(masked.select("doc_id", F.col("masked_text").alias("text")), engine.mappings_of(masked))
-    return back.select("doc_id", F.col("restored_text").alias("text"))
+    mails = F.regexp_extract_all("text", F.lit(_EMAIL_RE), F.lit(0))
+    shown = masked.select("doc_id", F.size(mails).cast("bigint").alias("n_emails"), (~F.exists(mails, lambda m: F.contains(F.col("masked_text"), m))).alias("hidden"))
+    return back.select("doc_id", F.col("restored_text").alias("text")).join(shown, "doc_id")
 
 
-@query(f"select doc_id, text from ({CARDS_DUCK})")
+@query(f"select doc_id, text, row_number() over (order by doc_id) > 1 as hidden from ({CARDS_DUCK})")
 def card_roundtrip(spark, sf_dir):
-    """Cards masked, and restored by the vault's tokens and words."""
+    """Cards masked, and restored by the vault's tokens and words; the masked ones hold neither phone nor address. (The
+    first number of the mask's form is the first card's phone, by chance.)"""
     masked, vault = _masked(spark, sf_dir)
+    masked = saved(masked.select("doc_id", "text", "masked_text"))
+    hidden = ~F.contains("masked_text", F.substring("text", 11, 11)) & ~F.contains("masked_text", F.substring("text", 26, 22))
     back = engine.restore_by_vault(masked.select("doc_id", F.col("masked_text").alias("text")), vault, "p")
-    return back.select("doc_id", F.col("restored_text").alias("text"))
+    return back.select("doc_id", F.col("restored_text").alias("text")).join(masked.select("doc_id", hidden.alias("hidden")), "doc_id")
 
 
 @query("""select c_name as original_text, case when c_custkey % 3 = 0 then 'M' || cast(c_custkey as varchar) else null end as stored, c_custkey % 3 <> 0 as is_new from customer""")
@@ -197,10 +210,10 @@ def vault_reuse(spark, sf_dir):
     return done.select("original_text", F.when(~F.col("is_new"), F.col("masked_text")).alias("stored"), "is_new")
 
 
-@query("""select c_custkey as k, case when r = 1 then '{{PERSON_000001}}' else '{{PERSON_00' || lpad(cast(r as varchar), 4, '0') || '}}' end as masked_text from (select c_custkey, row_number() over (order by c_custkey) as r from customer where c_custkey <= 120)""")
+@query("select c_custkey as k, printf('{{PERSON_%06d}}', row_number() over (order by c_custkey)) as masked_text from customer")
 def vault_collision(spark, sf_dir):
-    """120 originals that are proposed one mask get 120 masks."""
-    rows = _table(spark, sf_dir, "customer").filter("c_custkey <= 120").select(F.lit("p").alias("project_id"), F.lit("PERSON").alias("entity_type"), F.col("c_name").alias("original_text"), F.lit("{{PERSON_000001}}").alias("proposed"), F.lit("regex").alias("source"), F.lit(1.0).alias("confidence"), F.col("c_custkey").alias("first_seen"))
+    """All customers are proposed one mask, and get one each."""
+    rows = _table(spark, sf_dir, "customer").select(F.lit("p").alias("project_id"), F.lit("PERSON").alias("entity_type"), F.col("c_name").alias("original_text"), F.lit("{{PERSON_000001}}").alias("proposed"), F.lit("regex").alias("source"), F.lit(1.0).alias("confidence"), F.col("c_custkey").alias("first_seen"))
     done = vaults.assign(vaults.empty_vault(spark), rows)
     return done.join(_table(spark, sf_dir, "customer").select(F.col("c_name").alias("original_text"), F.col("c_custkey").alias("k")), "original_text").select("k", "masked_text")
 
@@ -265,30 +278,34 @@ def replace_longest_first(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", replaced(F.col("text"), pairs).alias("text"))
 
 
-@query("""select event_id, key, value from (select event_id, unnest(json_keys(props)) as key, props from events) e, lateral (select json_extract_string(e.props, '$."' || e.key || '"') as value, json_type(e.props, '$."' || e.key || '"') as kind) where kind = 'VARCHAR' and trim(value) <> ''""")
+@query("select o_orderkey as k, 'status' as path, o_orderstatus as value from orders union all select o_orderkey, 'list[0]', o_orderpriority from orders union all select o_orderkey, 'list[2].x', '中' from orders union all select o_orderkey, 'deep.key', 'c' || cast(o_custkey as varchar) from orders")
 def json_leaves(spark, sf_dir):
-    """String leaves of JSON texts, by a batched function over whole trees."""
+    """String leaves of JSON texts, by a batched function over whole trees; blank strings, numbers and nulls are none."""
 
     @F.pandas_udf("array<struct<path:string,text:string>>")
     def walk(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"path": p, "text": x} for p, x in leaves(json.loads(t))] if t else [])
 
-    rows = _table(spark, sf_dir, "events").select("event_id", F.explode(walk("props")).alias("l"))
-    return rows.select("event_id", F.col("l.path").alias("key"), F.col("l.text").alias("value"))
+    tree = F.format_string('{"status": "%s", "n": %d, "list": ["%s", " ", {"x": "\\u4e2d"}], "deep": {"key": "c%d", "none": null}}', "o_orderstatus", "o_orderkey", "o_orderpriority", "o_custkey")
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.explode(walk(tree)).alias("l"))
+    return rows.select("k", "l.path", F.col("l.text").alias("value"))
 
 
 @query("""with words as (select conv_id as doc_id, turn, string_split(text, ' ') as w, text from conversations),
 t as (select doc_id, turn, text, w, unnest(range(1, len(w) + 1)) as i from words),
-p as (select doc_id, turn, i, w[i] as word, coalesce(list_sum(list_transform(w[1:i-1], lambda x: length(x) + 1)), 0) as s from t),
-r as (select *, length(word) % 2 = 0 as hit, sum(case when length(word) % 2 = 0 then 0 else 1 end) over (partition by doc_id, turn order by i) as isle from p where length(word) > 0)
-select doc_id * 1000 + turn as doc_id, cast(min(s) as int) as "start", cast(max(s + length(word)) as int) as "end" from r where hit group by doc_id, turn, isle""")
+p as (select doc_id * 1000 + turn as doc_id, i, w[i] as word, coalesce(list_sum(list_transform(w[1:i-1], lambda x: length(x) + 1)), 0) as s from t),
+b as (select *, ['B', 'I', 'E', 'S', 'O', 'I'][length(word) % 6 + 1] as x, ['secret', 'secret', 'secret', 'private_person', 'O', 'private_date'][length(word) % 6 + 1] as l from p where length(word) > 0),
+r as (select *, case when x in ('B', 'S') or lag(x, 1, 'O') over o in ('O', 'E', 'S') or lag(l) over o <> l then 1 else 0 end as fresh from b window o as (partition by doc_id order by i)),
+g as (select *, sum(fresh) over (partition by doc_id order by i) as run from r)
+select doc_id, cast(min(s) as int) as "start", cast(max(s + length(word)) as int) as "end", case arg_min(l, i) when 'secret' then 'SECRET' when 'private_person' then 'PERSON' else 'DATE_TIME' end as type from g where x <> 'O' group by doc_id, run""")
 def bioes_runs(spark, sf_dir):
-    """Runs of words of even length as spans of token labels (I-secret, else O)."""
+    """Words with labels by their length, of all five kinds and several names, as spans."""
     docs = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     words = docs.select("doc_id", "text", F.posexplode(F.split("text", " ")).alias("tok", "word"), F.split("text", " ").alias("w"))
     start = F.aggregate(F.slice("w", 1, F.col("tok")), F.lit(0), lambda acc, x: acc + F.length(x) + 1)
-    tokens = words.select("doc_id", "tok", F.when(F.length("word") % 2 == 0, "I-secret").otherwise("O").alias("label"), start.alias("start"), (start + F.length("word")).alias("end"))
-    return bioes_spans(tokens, docs).select("doc_id", "start", "end")
+    label = F.get(F.array(*[F.lit(x) for x in ("B-secret", "I-secret", "E-secret", "S-private_person", "O", "I-private_date")]), F.length("word") % 6)
+    tokens = words.select("doc_id", "tok", label.alias("label"), start.alias("start"), (start + F.length("word")).alias("end"))
+    return bioes_spans(tokens, docs).select("doc_id", "start", "end", "type")
 
 
 @query("""select n_regionkey as doc_id, n_nationkey + 2 as row, '姓名: ' || n_name || ' | 电话: 138' || lpad(cast(n_nationkey as varchar), 8, '0') as line from nation""")
@@ -315,17 +332,42 @@ def model_chunks(spark, sf_dir):
 _SPAN_SETS = "select o_custkey as id, o_orderkey as k, cast(o_orderkey % 40 as int) as a, cast(o_orderkey % 40 + 1 + o_orderkey % 7 as int) as b, cast((o_orderkey % 10) / 10.0 as double) as score from orders"
 
 
-@query("""with recursive r as (select o_custkey as id, row_number() over (partition by o_custkey order by o_orderkey % 40, o_orderkey) as i, o_orderkey % 40 as a, o_orderkey % 40 + 1 + o_orderkey % 7 as b from orders),
-s as (select id, a, b, row_number() over (partition by id order by a, b desc, i) as i from r),
-f as (select id, i, a, b, b as reach, true as kept from s where i = 1 union all
-select s.id, s.i, s.a, s.b, case when s.a < f.reach then f.reach else s.b end, s.a >= f.reach from f join s on s.id = f.id and s.i = f.i + 1)
-select id, cast(a as int) as "start", cast(b as int) as "end" from f where kept""")
-def recogniser_first(spark, sf_dir):
-    """Overlapping results where the first stays, all of one confidence."""
+def _recognised(spark, sf_dir, strategy: str) -> DataFrame:
     rows = _sql(spark, sf_dir, _SPAN_SETS, "orders")
-    x = F.struct(F.lit(0).alias("seq"), F.col("a").alias("start"), F.col("b").alias("end"), F.lit("").alias("text"), F.lit("UNKNOWN").alias("type"), F.lit("regex").alias("source"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("reason"))
+    x = F.struct(F.lit(0).alias("seq"), F.col("a").alias("start"), F.col("b").alias("end"), F.lit("").alias("text"), F.lit("UNKNOWN").alias("type"), F.lit("regex").alias("source"), F.col("score").alias("confidence"), F.lit(None).cast("string").alias("reason"))
     sets = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", x.alias("x")))).alias("s")).select("id", layers.numbered(F.transform("s", lambda e: e["x"])).alias("spans"))
-    return sets.select("id", F.explode(recognised(F.col("spans"), "first")).alias("s")).select("id", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    return sets.select("id", F.explode(recognised(F.col("spans"), strategy)).alias("s")).select("id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.confidence").alias("score"))
+
+
+#: What settles a conflict with the first kept span that a new one overlaps, in SQL.
+_RECOGNISED = """with recursive s as (select id, row_number() over (partition by id order by a, score desc, b - a desc, k) as i, struct_pack(a := a, b := b, score := score) as x from ({sets})),
+f as (select id, i, [x] as kept from s where i = 1 union all
+select s.id, s.i, case when coalesce(list_position(list_transform(f.kept, lambda y: greatest(y.a, s.x.a) < least(y.b, s.x.b)), true), 0) = 0 then list_append(f.kept, s.x)
+else list_transform(f.kept, lambda y, j: case when j = list_position(list_transform(f.kept, lambda z: greatest(z.a, s.x.a) < least(z.b, s.x.b)), true) and {better} then s.x else y end) end
+from f join s on s.id = f.id and s.i = f.i + 1)
+select id, u.a as "start", u.b as "end", u.score as score from (select id, unnest(arg_max(kept, i)) as u from f group by id)"""
+
+
+def _recognised_sql(better: str) -> str:
+    return _RECOGNISED.replace("{sets}", _SPAN_SETS).replace("{better}", better)
+
+
+@query(_recognised_sql("false"))
+def recogniser_first(spark, sf_dir):
+    """Overlapping results of different confidence and length where the first stays."""
+    return _recognised(spark, sf_dir, "first")
+
+
+@query(_recognised_sql("s.x.score > y.score"))
+def recogniser_highest(spark, sf_dir):
+    """Of overlapping results the surer one."""
+    return _recognised(spark, sf_dir, "highest_score")
+
+
+@query(_recognised_sql("s.x.b - s.x.a > y.b - y.a"))
+def recogniser_longest(spark, sf_dir):
+    """Of overlapping results the longer one."""
+    return _recognised(spark, sf_dir, "longest")
 
 
 def _sessions(spark, sf_dir):
@@ -343,15 +385,13 @@ def session_of_file(spark, sf_dir):
     return vaults.session_of_file(_sessions(spark, sf_dir), "/f3").select("session_id")
 
 
-@query("""with few as (select o_orderkey, row_number() over (order by o_orderdate desc, 's' || cast(o_orderkey as varchar)) as age from orders qualify age <= 10)
-select k as doc_id, 's' || cast(o_orderkey as varchar) as session_id, cast(1 as bigint) as hits from few, (select unnest(range(1, 11)) as k) where age = k""")
+@query("""select o_orderkey as doc_id, 's' || cast(o_orderkey as varchar) as session_id, cast(1 as bigint) as hits from orders order by o_orderdate desc, session_id limit 10""")
 def best_session(spark, sf_dir):
-    """Documents that hold one mask of one of the newest sessions each."""
+    """A document for every order, with the mask of its session; only the ten newest sessions are held against them."""
+    named = F.concat(F.lit("<"), F.map_keys("mappings")[0], F.lit(">"))
     sessions = _sessions(spark, sf_dir)
-    few = vaults.list_sessions(sessions, None, 10).withColumn("doc_id", F.row_number().over(Window.orderBy(F.desc("created_at"), "session_id")).cast("bigint"))
-    docs = few.select("doc_id", F.concat(F.lit("<"), F.map_keys("mappings")[0], F.lit(">")).alias("text"))
-    exact = sessions.withColumn("mappings", F.create_map(F.concat(F.lit("<"), F.map_keys("mappings")[0], F.lit(">")), F.lit("v")))
-    return vaults.best_session(docs, exact)
+    docs = sessions.select(F.substring("session_id", 2, 20).cast("bigint").alias("doc_id"), named.alias("text"))
+    return vaults.best_session(docs, sessions.withColumn("mappings", F.create_map(named, F.lit("v"))))
 
 
 @query("""select 'mapping' as kind, case when c_acctbal < 0 then 'PHONE' else 'EMAIL' end as name, count(*) as n from customer group by 2 union all select 'mapping', null, count(*) from customer union all
@@ -374,10 +414,10 @@ def column_numbers(spark, sf_dir):
     return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), column_number(name).cast("bigint").alias("n"))
 
 
-@query("select item_id, 'PHONE' as a, 'ADDRESS' as b, text, 'DATE_TIME' as t from (select item_id, substring(text, 1, 5) as text from benchmark)")
+@query("select item_id, 'PHONE' as a, 'ADDRESS' as b, text, 'DATE_TIME' as t from benchmark where trim(text) <> ''")
 def model_reply(spark, sf_dir):
-    """Entities of model replies, the last type of a text counting, and their types here."""
-    rows = _table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 5).alias("t"))
+    """Entities of model replies over whole texts, the last type of a text counting, and their types here."""
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"))
     quoted = F.to_json(F.struct(F.col("t").alias("text"), F.lit("person").alias("type")))
     last = F.to_json(F.struct(F.col("t").alias("text"), F.lit(" date ").alias("type")))
     found = rows.select("item_id", F.explode(reply_entities(F.concat(F.lit('ok {"entities":['), quoted, F.lit(","), last, F.lit("]} end")))).alias("text", "kind"))
@@ -432,11 +472,57 @@ def analysis_preview(spark, sf_dir):
     return engine.preview(engine.analysis(engine.detect(_cards(spark, sf_dir)))).select("original", "type", "n")
 
 
-@query("select count(*) as n from (select c_nationkey from customer union select s_nationkey from supplier except select n_nationkey from nation where n_nationkey < 5)")
+@query("select 'f' || cast(k as varchar) as path from (select c_nationkey as k from customer union select s_nationkey from supplier except select n_nationkey from nation where n_nationkey < 5)")
 def changed_files(spark, sf_dir):
     """Changed and staged files together, less those that were there before."""
-    a, b, before = _table(spark, sf_dir, "customer").select("c_nationkey"), _table(spark, sf_dir, "supplier").select("s_nationkey"), _table(spark, sf_dir, "nation").filter("n_nationkey < 5").select("n_nationkey")
-    return a.union(b).distinct().join(before, F.col("c_nationkey") == F.col("n_nationkey"), "left_anti").agg(F.count("*").alias("n"))
+    path = lambda table, col: _table(spark, sf_dir, table).select(F.concat(F.lit("f"), F.col(col).cast("string")).alias("path"))
+    before = _table(spark, sf_dir, "nation").filter("n_nationkey < 5").select(F.concat(F.lit("f"), F.col("n_nationkey").cast("string")).alias("path"))
+    return newly_changed(path("customer", "c_nationkey"), path("supplier", "s_nationkey"), before)
+
+
+@query("select c_custkey as doc_id, 3 as \"start\", 15 as \"end\", '0571-' || lpad(cast(c_custkey % 10000000 as varchar), 7, '0') as text, 'PHONE' as type, cast(0.95 as double) as confidence from customer")
+def landline_spans(spark, sf_dir):
+    text = "select c_custkey as doc_id, 'tel0571-' || lpad(cast(c_custkey % 10000000 as string), 7, '0') || '.' as text from customer"
+    return _rows(_sql(spark, sf_dir, text, "customer"), "doc_id", layers.landlines(F.col("text")))
+
+
+@query(f"select k, 3 as \"start\", 21 as \"end\", base || '0' as text, 'IDCN' as type, cast(1.0 as double) as confidence from ({_duck(_IDS)})")
+def identity_plain_spans(spark, sf_dir):
+    rows = _sql(spark, sf_dir, _IDS, "orders").withColumn("text", F.concat(F.lit("证件 "), F.col("base"), F.lit("0。")))
+    return _rows(rows, "k", layers.identities(F.col("text")))
+
+
+_SHEET = """with s as (select n_regionkey as doc_id, n_nationkey as r, n_name as a, '138' || lpad(cast(n_nationkey as varchar), 8, '0') as b, 'NOTE' as c from nation),
+p as (select doc_id, r, a, 11 + coalesce(sum(length(a) + length(b) + length(c) + 3) over (partition by doc_id order by r rows between unbounded preceding and 1 preceding), 0) as pos from s)"""
+
+
+@query(f"{_SHEET} select doc_id, cast(pos as int) as \"start\", cast(pos + length(a) as int) as \"end\", a as text, 'test:model+row_context' as reason from p")
+def sheet_documents(spark, sf_dir):
+    """Sheets detected as documents: a model that finds words in capitals sees rows as lines, so that those in columns without a telling header are left out."""
+    n = _table(spark, sf_dir, "nation")
+    body = n.select(F.col("n_regionkey").alias("doc_id"), (F.col("n_nationkey") + 2).alias("r"), F.col("n_name").alias("a"), F.concat(F.lit("138"), F.lpad(F.col("n_nationkey").cast("string"), 8, "0")).alias("b"), F.lit("NOTE").alias("c"))
+    head = n.select(F.col("n_regionkey").alias("doc_id")).distinct().select("doc_id", F.lit(1).alias("r"), F.lit("姓名").alias("a"), F.lit("手机号码").alias("b"), F.lit("专业").alias("c"))
+    filled = F.array(*[F.struct(F.concat(F.lit(col), F.col("r").cast("string")).alias("cell"), F.col(x).alias("text")) for col, x in (("A", "a"), ("B", "b"), ("C", "c"))])
+    rows = head.unionByName(body).groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("r", filled.alias("x")))), lambda e: e["x"])).alias("cells"))
+
+    def step(acc, x):
+        end = acc["at"] + F.length(x["text"])
+        return F.struct((end + 1).alias("at"), F.concat(acc["out"], F.array(x.withField("start_offset", acc["at"]).withField("end_offset", end))).alias("out"))
+
+    placed = F.aggregate("cells", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<cell:string,text:string,start_offset:int,end_offset:int>>").alias("out")), step, lambda acc: acc["out"])
+    documents = rows.select("doc_id", F.array_join(F.transform("cells", lambda x: x["text"]), "\n").alias("text"))
+    cells = rows.select("doc_id", F.explode(placed).alias("c")).select("doc_id", F.lit("sheet1").alias("part"), "c.*")
+    model = lambda text: F.transform(matches(text, "[A-Z]+(?:[ _][A-Z0-9]+)*"), lambda x: layers.span(x, "PERSON", "privacy_filter", 1.0, "test:model"))
+    found = engine.span_rows(engine.detect_documents(documents, cells, model)).filter("source = 'privacy_filter'")
+    return found.select("doc_id", "start", "end", "text", "reason")
+
+
+@query("select doc_id, case doc_id % 2 when 0 then 'the' else 'of' end as original, case doc_id % 2 when 0 then 'PERSON' else 'place' end as type from documents where contains(text, case doc_id % 2 when 0 then 'the' else 'of' end)")
+def model_scan(spark, sf_dir):
+    """Whole documents named piece by piece by a model that answers in the newer or in the older form."""
+    docs = _table(spark, sf_dir, "documents").select(F.concat(F.when(F.col("doc_id") % 2 == 0, "@").otherwise("#"), "text").alias("text"), "doc_id")
+    ask = lambda piece: F.when(F.contains(piece, F.lit("the")) & (F.col("doc_id") % 2 == 0), '{"entities": [{"text": "the", "type": "person"}]}').when(F.contains(piece, F.lit("of")) & (F.col("doc_id") % 2 == 1), "===脱敏文本===x===映射表===\nof -> [1] | place").otherwise("nothing")
+    return scanned(docs, ask)
 
 
 def masked_cards(spark: SparkSession, sf_dir: str) -> DataFrame:

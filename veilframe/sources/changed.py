@@ -7,6 +7,8 @@ import os
 import subprocess
 from dataclasses import dataclass, fields
 
+from pyspark.sql import DataFrame
+
 
 def changed_files(folder: str, staged: bool = False, seconds: int = 10) -> list[str]:
     """Absolute paths that git reports as changed (or staged); none where git fails."""
@@ -21,13 +23,18 @@ def changed_or_staged(folder: str) -> list[str]:
     return sorted({*changed_files(folder), *changed_files(folder, True)})
 
 
+def newly_changed(changed: DataFrame, staged: DataFrame, before: DataFrame) -> DataFrame:
+    """path of the files that are changed or staged now and were neither before (columns path), each once."""
+    return changed.select("path").union(staged.select("path")).distinct().join(before.select("path").distinct(), "path", "left_anti")
+
+
 @dataclass(frozen=True)
 class Options:
     """What a run is asked for. engine: see detect(); safe: unite overlaps; strict_names: ask more of names."""
 
     engine: str = "hybrid"
     safe: bool = False
-    strict_names: bool = False
+    strict_names: bool = True
     project: str = ""
     vault: str = ""
 

@@ -238,17 +238,23 @@ register("legacy", (".doc", ".xls", ".ppt"), _needs("an Office suite"))
 def segments(spark: SparkSession, *paths: str) -> DataFrame:
     """path, format, seg_no, text, location, start_offset, end_offset, metadata of files of all formats.
 
-    Text and Markdown are cut by expressions, the others by a batched function over the files' bytes.
+    Text and Markdown are cut by expressions, the others by a batched function over the files' bytes. Each file is read
+    once.
     """
     files = spark.read.format("binaryFile").load(list(paths)).select("path", "content", format_of(F.col("path")).alias("format")).filter("format is not null")
-    texts = text_documents(spark, *paths).withColumn("format", format_of(F.col("path"))).filter("format in ('text', 'markdown')")
-    cut = texts.select("path", "format", F.explode(F.when(F.col("format") == "markdown", markdown_segments(F.col("text"))).otherwise(plain_segments(F.col("text")))).alias("s"))
+    is_text = F.col("format").isin("text", "markdown")
+    valid = F.try_validate_utf8(F.col("content").cast("string"))
+
+    @F.pandas_udf("string")
+    def other_text(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: decoded(c) if c is not None else None)
 
     @F.pandas_udf("array<struct<text:string,location:string,metadata:map<string,string>>>")
     def read(path: pd.Series, kind: pd.Series, content: pd.Series) -> pd.Series:
-        return pd.Series([[{"text": t, "location": at, "metadata": m} for t, at, m in _SEGMENTERS[k](re.search(r"(\.[^./\\]+)$", p)[1].lower(), c)] for p, k, c in zip(path, kind, content, strict=True)])
+        return pd.Series([[{"text": t, "location": at, "metadata": m} for t, at, m in _SEGMENTERS[k](re.search(r"(\.[^./\\]+)$", p)[1].lower(), c)] if c is not None else None for p, k, c in zip(path, kind, content, strict=True)])
 
-    rows = files.filter("format not in ('text', 'markdown')").select("path", "format", read("path", "format", "content").alias("rows"))
+    # what either function has no use for reaches it as null
+    read_once = files.withColumn("valid", F.when(is_text, valid)).select("path", "format", F.coalesce("valid", other_text(F.when(is_text & F.col("valid").isNull(), F.col("content")))).alias("text"), read("path", "format", F.when(~is_text, F.col("content"))).alias("rows"))
     made = F.transform("rows", lambda r, i: F.struct(i.alias("seg_no"), r["text"].alias("text"), r["location"].alias("location"), F.lit(0).alias("start_offset"), F.lit(0).alias("end_offset"), r["metadata"].alias("metadata")))
-    other = rows.select("path", "format", F.explode(with_offsets(made)).alias("s"))
-    return cut.unionByName(other).select("path", "format", "s.*")
+    cut = F.when(F.col("format") == "markdown", markdown_segments(F.col("text"))).when(F.col("format") == "text", plain_segments(F.col("text"))).otherwise(with_offsets(made))
+    return read_once.select("path", "format", F.explode(cut).alias("s")).select("path", "format", "s.*")

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.sources.readers import _S, ENCODINGS, FORMATS, OFFICE, cell_text, decoded, part_texts
@@ -196,3 +196,38 @@ def rewrite_files(files: DataFrame) -> DataFrame:
         return pd.Series([rewritten(suffix(p), c, replacer(dict(m or {}))) for p, c, m in zip(path, content, pairs, strict=True)])
 
     return files.select("path", change("path", "content", "pairs").alias("content"))
+
+
+EDITS = "array<struct<location:string,start:int,end:int,original:string,masked:string>>"
+
+
+def edits_of(segments: Column, replacements: Column, whole: Column) -> Column:
+    """Replacements in the joined text of a file's segments, as edits of the segments they lie in (EDITS).
+
+    segments: of readers.segments(), in order, with the offsets they have in the joined text as joined_start and
+    joined_end. whole: the file is one text, whose edits count from its beginning. What crosses from one segment
+    into the next belongs to none and is left out.
+    """
+
+    def of(s: Column) -> Column:
+        inside = F.filter(replacements, lambda r: (r["start"] >= s["joined_start"]) & (r["end"] <= s["joined_end"]))
+        move = F.when(whole, s["start_offset"]).otherwise(0) - s["joined_start"]
+        return F.transform(inside, lambda r: F.struct(F.when(whole, F.lit("file")).otherwise(s["location"]).alias("location"), (r["start"] + move).cast("int").alias("start"), (r["end"] + move).cast("int").alias("end"), r["original"].alias("original"), r["masked"].alias("masked")))
+
+    return F.flatten(F.transform(segments, of)).cast(EDITS)
+
+
+def splice_files(files: DataFrame) -> DataFrame:
+    """path and content of files (path, content, edits: EDITS) with each edit made where it belongs, and nowhere else."""
+
+    @F.pandas_udf("binary")
+    def change(path: pd.Series, content: pd.Series, edits: pd.Series) -> pd.Series:
+        out = []
+        for p, c, rows in zip(path, content, edits, strict=True):
+            by_place: dict[str, list[tuple[int, int, str, str]]] = {}
+            for e in rows if rows is not None else ():
+                by_place.setdefault(e["location"], []).append((e["start"], e["end"], e["original"], e["masked"]))
+            out.append(rewritten(re.search(r"(\.[^./\\]+)$", p)[1].lower(), c, splicer(by_place)))
+        return pd.Series(out)
+
+    return files.select("path", change("path", "content", "edits").alias("content"))
