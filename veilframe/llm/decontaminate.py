@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from veilframe.llm.components import written
 from veilframe.llm.textio import bound_batches, id_and_text, text_buffer, text_offsets
 
 #: Upper to lower case for A-Z; every other byte outside 0-9, a-z and 0x80-0xFF becomes a blank.
@@ -132,8 +134,18 @@ class SuffixAutomaton:
         return runs, found, longest
 
 
-@functools.lru_cache(maxsize=2)
-def _automaton(key: tuple, window: int) -> SuffixAutomaton:
+#: So many bytes of items at most are broadcast at once; a larger benchmark takes further passes over the documents.
+BROADCAST_BYTES = 32 << 20
+#: So many bytes of documents are held while automata take turns, where there are several.
+_HELD_BYTES = 16 << 20
+
+
+@functools.lru_cache(maxsize=1)
+def _only(key: tuple, window: int) -> SuffixAutomaton:
+    return _built(key, window)
+
+
+def _built(key: tuple, window: int) -> SuffixAutomaton:
     return SuffixAutomaton(((item, normal_words(text)) for item, text in key), window)
 
 
@@ -152,25 +164,81 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
         yield tuple(held)
 
 
-def _scanner(docs: DataFrame, benchmark: DataFrame, window: int, item_col: str, item_text_col: str, block_bytes: int):
-    """A function of a text's UTF-8 bytes, to be used in tasks: (words, runs, items, longest match)."""
+def _passes(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int, broadcast_bytes: int) -> Iterator[list]:
+    """The broadcast blocks of each pass over the documents; one pass without a block if there is no item."""
+    context = benchmark.sparkSession.sparkContext
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    some = list(itertools.islice(blocks, max(1, broadcast_bytes // block_bytes)))
+    yield [context.broadcast(x) for x in some]
+    while some := list(itertools.islice(blocks, max(1, broadcast_bytes // block_bytes))):
+        yield [context.broadcast(x) for x in some]
+
+
+def _scan(parts: list, window: int, texts: list[bytes]) -> list[tuple[list[list[int]], set[str], int]]:
+    """Runs of hit words, items and longest match of each text. The blocks are the outer loop, so that each automaton is built once for all texts."""
+    out: list[tuple[list[list[int]], set[str], int]] = [([], set(), 0) for _ in texts]
+    for part in parts:
+        automaton = _only(part.value, window) if len(parts) == 1 else _built(part.value, window)
+        for k, text in enumerate(texts):
+            runs, found, longest = automaton.scan(normal_words(text))
+            if longest:
+                old = out[k]
+                out[k] = (_merged(old[0], runs) if old[0] and runs else old[0] or runs, old[1] | found, max(old[2], longest))
+        del automaton
+    return out
+
+
+def _portions(batches, place: int, several: bool):
+    """(batch, texts as bytes) one by one; where there are several blocks, batches are joined up to _HELD_BYTES first."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.column(place).nbytes
+        if held and (not several or size >= _HELD_BYTES):
+            yield _joined(held, place)
+            held, size = [], 0
+    if held:
+        yield _joined(held, place)
+
+
+def _joined(held: list[pa.RecordBatch], place: int) -> tuple[pa.RecordBatch, list[bytes]]:
+    batch = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    offsets, data = text_offsets(batch.column(place)), text_buffer(batch.column(place))
+    return batch, [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+_HITS = "_hits"
+_RUNS = pa.list_(pa.list_(pa.int64()))
+_HIT_TYPE = T.StructType([T.StructField("runs", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", T.LongType())])
+
+
+def _hits_so_far(docs: DataFrame, passes: Iterator[list], window: int, text_col: str) -> tuple[DataFrame, list]:
+    """docs and the blocks of the last pass; where there are several passes, the hits of the others stand in a last column of docs,
+    each pass written out before the next one."""
     bound_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
-    parts = [context.broadcast(x) for x in _blocks(benchmark, item_col, item_text_col, block_bytes)]
+    parts = next(passes)
+    for further in passes:
+        place, told = docs.columns.index(text_col), docs.columns[-1] == _HITS
+        fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema if f.name != _HITS]
+
+        def run(batches, parts=parts, place=place, told=told):
+            for batch, texts in _portions(batches, place, len(parts) > 1):
+                out = _with_earlier(batch, _scan(parts, window, texts), told)
+                hits = pa.StructArray.from_arrays([pa.array([r for r, _, _ in out], _RUNS), pa.array([sorted(f) for _, f, _ in out], pa.list_(pa.string())), pa.array([n for _, _, n in out], pa.int64())], ["runs", "items", "longest"])
+                columns = batch.columns[:-1] if told else batch.columns
+                names = batch.schema.names[:-1] if told else batch.schema.names
+                yield pa.RecordBatch.from_arrays([*columns, hits], [*names, _HITS])
+
+        docs = written(docs.mapInArrow(run, T.StructType([*fields, T.StructField(_HITS, _HIT_TYPE)])))
+        parts = further
+    return docs, parts
 
-    def scan(texts: list[bytes]):
-        words = [normal_words(x) for x in texts]
-        out = [([], set(), 0) for _ in texts]
-        for part in parts:
-            automaton = _automaton(part.value, window)
-            for k, own in enumerate(words):
-                runs, found, longest = automaton.scan(own)
-                if longest:
-                    old = out[k]
-                    out[k] = (_merged(old[0], runs) if old[0] and runs else old[0] or runs, old[1] | found, max(old[2], longest))
-        return zip(words, out, strict=True)
 
-    return scan
+def _with_earlier(batch: pa.RecordBatch, out: list[tuple], told: bool) -> list[tuple]:
+    if not told:
+        return out
+    return [(_merged(old["runs"], runs), set(old["items"]) | found, max(old["longest"], n)) for old, (runs, found, n) in zip(batch.column(batch.num_columns - 1).to_pylist(), out, strict=True)]
 
 
 def _merged(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
@@ -189,67 +257,67 @@ def _char_spans(text: str, runs: list[list[int]]) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in runs]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 1 << 20, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, items (array of item ids as strings, sorted), longest_match, spans (array of
     start, end in code points) of every whole text.
 
-    The items are read in blocks of block_bytes at most; each block is broadcast by itself and becomes one
-    automaton in a worker, and every document passes all blocks, so that what is held does not grow with either
-    table. Null and empty texts have no words; items without words have no windows; items under the same id count
-    as one; repeated documents are reported one by one; empty tables give no rows or no hits; other columns are
-    ignored.
+    The items are cut into blocks of block_bytes at most, each an automaton of its own in a worker; one is held at a
+    time, and with several of them each is built once for 16 MB of documents. What is broadcast for a pass is
+    broadcast_bytes at most; a larger benchmark takes a further pass over the documents for each such portion, so
+    that what is held grows with neither table. Null and empty texts have no words; items without words have no
+    windows; items under the same id count as one; overlapping hits count a word once; repeated documents are
+    reported one by one; empty tables give no rows or no hits; other columns are ignored.
     """
-    source = id_and_text(docs, id_col, text_col)
-    kind = source.schema["doc_id"].dataType.simpleString()
-    scan = _scanner(docs, benchmark, window, item_col, item_text_col, block_bytes)
+    source, parts = _hits_so_far(id_and_text(docs, id_col, text_col), _passes(benchmark, item_col, item_text_col, block_bytes, broadcast_bytes), window, "text")
+    kind, told = source.schema["doc_id"].dataType.simpleString(), source.columns[-1] == _HITS
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     names = ["doc_id", "n_words", "n_hit", "items", "longest_match", "spans"]
 
     def run(batches):
-        for batch in batches:
-            offsets, data = text_offsets(batch.column(1)), text_buffer(batch.column(1))
+        for batch, texts in _portions(batches, 1, len(parts) > 1):
             n, hit, items, best, spans = [], [], [], [], []
-            for low in range(0, batch.num_rows, 256):
-                own = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(low, min(low + 256, batch.num_rows))]
-                for text, (words, (runs, found, longest)) in zip(own, scan(own), strict=True):
-                    n.append(len(words))
-                    hit.append(sum(b - a for a, b in runs))
-                    items.append(sorted(found))
-                    best.append(longest)
-                    spans.append([{"start": a, "end": b} for a, b in _char_spans(text.decode(), runs)] if runs else [])
+            for text, (runs, found, longest) in zip(texts, _with_earlier(batch, _scan(parts, window, texts), told), strict=True):
+                n.append(len(normal_words(text)))
+                hit.append(sum(b - a for a, b in runs))
+                items.append(sorted(found))
+                best.append(longest)
+                spans.append([{"start": a, "end": b} for a, b in _char_spans(text.decode(), runs)] if runs else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(best, pa.int64()), pa.array(spans, span)], names)
 
     return source.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, items array<string>, longest_match long, spans array<struct<start:int,end:int>>")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 1 << 20, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs, all columns kept, with every run of hit words cut out of the text.
 
     Two limits: matches of `window` words or more are removed, and a document of which more than max_coverage of
-    the words are hits goes as a whole, since what is left of it makes no text. Null texts stay null.
+    the words are hits goes as a whole, since what is left of it makes no text. All windows are judged on the input,
+    whichever pass finds them. Null and empty texts stay as they are; repeated rows are each treated alike; empty
+    tables give no rows or no changes; columns of any name but `_hits` are kept.
     """
-    scan = _scanner(docs, benchmark, window, item_col, item_text_col, block_bytes)
-    place = docs.columns.index(text_col)
+    if _HITS in docs.columns:
+        raise ValueError(f"a column is called {_HITS}")
+    columns = docs.schema
+    source, parts = _hits_so_far(docs, _passes(benchmark, item_col, item_text_col, block_bytes, broadcast_bytes), window, text_col)
+    place, told = docs.columns.index(text_col), source.columns[-1] == _HITS
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(place)
-            offsets, data = text_offsets(texts), text_buffer(texts)
-            keep = np.ones(batch.num_rows, bool)
+        for batch, own in _portions(batches, place, len(parts) > 1):
+            texts, keep = batch.column(place), np.ones(batch.num_rows, bool)
             changed: dict[int, str] = {}
-            for low in range(0, batch.num_rows, 256):
-                own = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(low, min(low + 256, batch.num_rows))]
-                for k, (words, (runs, _, _)) in enumerate(scan(own), low):
-                    if not runs:
-                        continue
-                    if sum(b - a for a, b in runs) > max_coverage * len(words):
-                        keep[k] = False
-                        continue
-                    text, parts, at = own[k - low].decode(), [], 0
-                    for a, b in _char_spans(text, runs):
-                        parts.append(text[at:a])
-                        at = b
-                    changed[k] = "".join([*parts, text[at:]])
+            for k, (runs, _, _) in enumerate(_with_earlier(batch, _scan(parts, window, own), told)):
+                if not runs:
+                    continue
+                if sum(b - a for a, b in runs) > max_coverage * len(normal_words(own[k])):
+                    keep[k] = False
+                    continue
+                text, kept, at = own[k].decode(), [], 0
+                for a, b in _char_spans(text, runs):
+                    kept.append(text[at:a])
+                    at = b
+                changed[k] = "".join([*kept, text[at:]])
+            if told:
+                batch = batch.select(batch.schema.names[:-1])
             if changed:
                 values = texts.to_pylist()
                 for k, text in changed.items():
@@ -257,4 +325,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
                 batch = batch.set_column(place, batch.schema.field(place), pa.array(values, texts.type))
             yield batch if keep.all() else batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+    return source.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in columns]))
