@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.resources
 from collections.abc import Mapping
 
 import numpy as np
@@ -14,23 +15,37 @@ from veilframe.llm.textio import id_and_text, slices_by_bytes, text_buffer, text
 #: Bytes between words: all of ASCII but digits and letters.
 _BLANK = np.array([b < 128 and not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122) for b in range(256)])
 
-#: Wording of public licenses and of the notices that name them; fixed values.
-LICENSES = {
+#: Notices that name a license in place of its text; fixed values, as the licenses' authors propose them.
+NOTICES = {
     "mit-notice": "Released under the MIT License.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "gpl-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "gpl-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "lgpl-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "agpl-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nc-sa-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nd-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 
 
+def _license_texts() -> dict[str, str]:
+    """The whole texts of public licenses that lie beside this module, by name."""
+    folder = importlib.resources.files("veilframe.llm") / "licenses"
+    return {x.name.removesuffix(".txt"): x.read_text("utf-8") for x in sorted(folder.iterdir(), key=lambda x: x.name) if x.name.endswith(".txt")}
+
+
+#: All templates: whole license texts, and notices.
+LICENSES = _license_texts() | NOTICES
+
+
 class _Templates:
     """MinHash values of the templates, in classes of like length.
 
@@ -46,9 +61,10 @@ class _Templates:
             data = np.frombuffer(text.encode(), np.uint8)
             words, owner, _, _ = placed_word_hashes(data, np.zeros(1, np.int64), _BLANK)
             grams, ok = self.grams(words, owner)
-            if ok.any():
-                self.names.append(name)
-                self.sets.append(np.unique(grams[ok]))
+            if not ok.any():
+                raise ValueError(f"template {name} has fewer than {k} words")
+            self.names.append(name)
+            self.sets.append(np.unique(grams[ok]))
         self.factors = mix64(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
         self.classes: dict[int, list[int]] = {}
         for n, own in enumerate(self.sets):
@@ -73,24 +89,29 @@ class _Templates:
             out += words[j : j + n] * (mix64(np.array([j + 901], np.uint64)) | np.uint64(1))
         return mix64(out), owner[:n] == owner[self.k - 1 :]
 
-    def candidates(self, grams: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int, int]]:
-        """(text, first shingle, template) of windows that agree with a template in a band. bounds: where the shingles of each text begin, and the end."""
+    def candidates(self, grams: np.ndarray, bounds: np.ndarray, containment: float) -> set[tuple[int, int, int]]:
+        """(text, first shingle, template) of windows that agree with a template in a band. bounds: where the shingles of each text
+        begin, and the end. Texts with too few shingles to contain any template of a class are left out of it."""
         found: set[tuple[int, int, int]] = set()
         if not len(grams):
             return found
+        have = np.diff(bounds)
         grids = {}
-        for size in self.classes:
-            starts, texts = [], []
-            for text in np.flatnonzero(np.diff(bounds)):
-                own = np.arange(bounds[text], bounds[text + 1], size)
-                starts.append(own)
-                texts.append(np.full(len(own), text))
-            grids[size] = np.concatenate(starts), np.concatenate(texts)
+        for size, members in self.classes.items():
+            texts = np.flatnonzero(have >= max(1.0, containment * min(len(self.sets[n]) for n in members)))
+            if len(texts):
+                count = -(-have[texts] // size)
+                owner = np.repeat(texts, count)
+                place = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * size
+                all_of = len(texts) == len(have) or have[texts].sum() == len(grams)
+                rows = None if all_of else np.repeat(bounds[texts] - np.cumsum(have[texts]) + have[texts], have[texts]) + np.arange(have[texts].sum())
+                inner = np.repeat(np.cumsum(have[texts]) - have[texts], count) + place
+                grids[size] = owner, bounds[owner] + place, inner, rows
         for band, factor in enumerate(self.factors):
             values = self.permuted(grams, factor)
-            for size, members in self.classes.items():
-                starts, texts = grids[size]
-                least = np.minimum.reduceat(values, starts)
+            for size, (texts, starts, inner, rows) in grids.items():
+                members = self.classes[size]
+                least = np.minimum.reduceat(values if rows is None else values[rows], inner)
                 for step in (0, 1) if size > 1 else (0,):
                     window = np.minimum(least[:-1], least[1:]) if step else least
                     same = np.isin(window, self.least[members, band])
@@ -107,11 +128,13 @@ def license_matches(docs: DataFrame, templates: Mapping[str, str] = LICENSES, k:
     """doc_id, license, start, end (code points), containment: one row for each place of a whole text that holds
     `containment` or more of a template's k-word shingles.
 
-    Overlapping hits of one template are one row. Templates of fewer than k words can't be found. Words are runs of
-    letters and digits in lower case. Null, empty and shorter texts have no rows; repeated rows are reported one by
-    one; an empty table gives an empty result; other columns are ignored. One narrow pass; the templates are a
-    fixed list, so nothing that grows is held or sent.
+    Overlapping hits of one template are one row; overlapping hits of different templates, as of two licenses that share
+    wording, are a row each. Templates of fewer than k words raise an error. Words are runs of letters and digits in
+    lower case. Null, empty and shorter texts have no rows; repeated rows are reported one by one; an empty table
+    gives an empty result; other columns are ignored. One narrow pass; the templates are a fixed list (0.2 MB), so
+    nothing that grows is held or sent.
     """
+    _Templates(templates, k, 1)  # an unfit template is told at once
     source = id_and_text(docs, id_col, text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "license", "start", "end", "containment"]
@@ -133,7 +156,7 @@ def license_matches(docs: DataFrame, templates: Mapping[str, str] = LICENSES, k:
                 bounds = np.searchsorted(owner[place], np.arange(high - low + 1))
                 grams = grams[place]
                 hits: dict[tuple[int, int], list] = {}
-                for text, first, n in sorted(known.candidates(grams, bounds)):
+                for text, first, n in sorted(known.candidates(grams, bounds, containment)):
                     own, reach = known.sets[n], 2 * len(known.sets[n])
                     a, b = max(bounds[text], first - reach), min(bounds[text + 1], first + 2 * reach + 1)
                     at = a + np.flatnonzero(np.isin(grams[a:b], own))
