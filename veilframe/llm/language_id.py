@@ -1,7 +1,9 @@
 """Language identification with string kernels.
 
 k(x, z) = |G(x) & G(z)| / sqrt(|G(x)| |G(z)|) over the sets G of byte n-grams of one to three bytes (a blended
-spectrum of presences). Landmark texts give the Nystroem features k(x, L) K(L, L)^(-1/2), and one ridge regression
+spectrum of presences). n-grams of two and three bytes are hashed to a fixed number of columns, so that G is a set of
+columns: very long texts, which hold most n-grams of their language, fill a large part of them, and the kernel then
+compares which columns they leave out. Landmark texts give the Nystroem features k(x, L) K(L, L)^(-1/2), and one ridge regression
 for each language against the rest is fitted on them. Scoring multiplies a batch's presence matrix with the
 landmarks' and the result with the regressions' weights.
 """
@@ -28,7 +30,7 @@ class LanguageSettings:
     train_rows: labelled texts fitted on at most, taken in the order of a hash of their id. landmarks: so many of them, dealt evenly over the languages.
     ridge: weight of the squared norm. sharpness: of the softmax that turns regression values into a score."""
 
-    width: int = 8192
+    width: int = 16384
     train_rows: int = 3000
     landmarks: int = 256
     ridge: float = 1e-2
@@ -102,23 +104,27 @@ def train(docs: DataFrame, rows: Column, settings: LanguageSettings = LanguageSe
     """A model of the labelled rows for which `rows` holds; None if there is none.
 
     The sample is bounded by settings.train_rows: ids are drawn first, without reading texts, and texts come to the
-    driver as bit sets of width / 8 bytes each, whatever their length.
+    driver as bit sets of width / 8 bytes each, whatever their length. Null labels and null ids don't count; of rows
+    under one id the one of the least label and n-grams does; null and empty texts have no n-grams; an empty table
+    gives no model; other columns are ignored.
     """
     width = settings.width
-    drawn = docs.filter(rows & F.col(label_col).isNotNull()).select(id_col, F.xxhash64(F.col(id_col).cast("string"), F.lit("language")).alias("h")).orderBy("h", id_col).limit(settings.train_rows)
-    ids = [r[0] for r in drawn.collect()]
-    if not ids:
+    known = docs.filter(rows & F.col(label_col).isNotNull())
+    drawn = known.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct().orderBy(F.xxhash64(F.col("_id").cast("string"), F.lit("language")), "_id").limit(settings.train_rows).collect()
+    if not drawn:
         return None
-    texts = docs.filter(rows & F.col(label_col).isNotNull() & F.col(id_col).isin(ids)).select(F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("string").alias("y"))
+    ids = docs.sparkSession.createDataFrame(drawn, "_id " + docs.schema[id_col].dataType.simpleString())
+    texts = known.join(F.broadcast(ids), known[id_col] == ids["_id"], "left_semi").select(F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("string").alias("y"), F.col(id_col).cast("string").alias("id"))
 
     def pack(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 own = range(low, min(low + 256, batch.num_rows))
                 bits = np.packbits(presence_matrix(batch.column(0), own, width).astype(bool), axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(low, len(own)), pa.array([x.tobytes() for x in bits], pa.binary())], ["y", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(low, len(own)), batch.column(1).slice(low, len(own)), pa.array([x.tobytes() for x in bits], pa.binary())], ["id", "y", "bits"])
 
-    got = sorted((r["y"], bytes(r["bits"])) for r in texts.mapInArrow(pack, "y string, bits binary").limit(2 * settings.train_rows).collect())
+    one = texts.mapInArrow(pack, "id string, y string, bits binary").groupBy("id").agg(F.min(F.struct("y", "bits")).alias("r"))
+    got = sorted((r["r"]["y"], bytes(r["r"]["bits"])) for r in one.collect())
     bits = np.unpackbits(np.frombuffer(b"".join(b for _, b in got), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
     return fit(bits, np.array([y for y, _ in got]), settings)
 
@@ -126,9 +132,9 @@ def train(docs: DataFrame, rows: Column, settings: LanguageSettings = LanguageSe
 def identify(docs: DataFrame, model: LanguageModel | None, settings: LanguageSettings = LanguageSettings(), id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1) of every whole text, and the columns in `keep` (not named like these).
 
-    A text that is null or has no letter is `und` with score 0, and so is all without a model. Repeated rows are
-    scored one by one, an empty table gives an empty result, columns that are not asked for are ignored. One narrow
-    pass; the model that is broadcast has landmarks * width floats (8 MB).
+    A text that is null or has no letter is `und` with score 0, and so is all without a model. Languages that tie give
+    the first of them by name. Repeated rows are scored one by one, an empty table gives an empty result, columns that
+    are not asked for are ignored. One narrow pass; the model that is broadcast has landmarks * width floats (16 MB).
     """
     bound_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
@@ -155,7 +161,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, settings: LanguageSet
 
 def keep_known(docs: DataFrame, model: LanguageModel | None, settings: LanguageSettings = LanguageSettings(), text_col: str = "text") -> DataFrame:
     """docs, all columns kept, without the rows that have no letter or less evidence of every learned language than the
-    labelled rows the model was fitted on. Without a model nothing is rejected but texts without letters."""
+    labelled rows the model was fitted on. Without a model nothing is rejected but texts without letters, null and empty
+    ones among them. Repeated rows are each judged alike; an empty table stays empty; columns of any name are kept."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place, width = docs.columns.index(text_col), settings.width
