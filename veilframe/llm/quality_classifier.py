@@ -1,12 +1,15 @@
 """Quality classification by positive-unlabelled learning.
 
-A small network is trained on trusted positives and unlabelled text with the non-negative unbiased risk
+A text is seen through the words and word pairs it holds, hashed, and through shares of characters and of repeated
+words and lines. A linear model of the former and a small network of the latter are trained together on trusted
+positives and unlabelled text with the non-negative unbiased risk
 prior * R(positive as 1) + max(0, R(unlabelled as 0) - prior * R(positive as 0)).
+The class prior is estimated from the same two samples; no negative label is read.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +25,20 @@ N_FEATURES = len(_CLASSES) + 10
 
 @dataclass(frozen=True)
 class QualitySettings:
-    """positives, unlabelled: rows of each kind fitted on at most, in the order of a hash of their id.
-    hidden, steps, batch, rate, decay: of the network and its training; seed: of its start."""
+    """positives, unlabelled: rows of each kind fitted on at most, in the order of a hash of their id. words: columns that
+    words and word pairs are hashed to. hidden, steps, batch, rate, decay: of the model and its training; seed: of its
+    start. prior: the share of positives in unlabelled text, where it is known; else it is estimated."""
 
     positives: int = 4000
     unlabelled: int = 8000
+    words: int = 8192
     hidden: int = 16
-    steps: int = 1500
-    batch: int = 1024
+    steps: int = 1000
+    batch: int = 512
     rate: float = 5e-3
-    decay: float = 1e-4
+    decay: float = 1e-2
     seed: int = 17
+    prior: float | None = None
 
 
 def features(texts: pa.Array, low: int, high: int) -> np.ndarray:
@@ -75,40 +81,94 @@ def features(texts: pa.Array, low: int, high: int) -> np.ndarray:
     return out
 
 
+@dataclass
+class Texts:
+    """Texts as numbers: `dense` features, and the columns of the words and word pairs each holds, `columns[bounds[i]:bounds[i + 1]]`."""
+
+    dense: np.ndarray
+    columns: np.ndarray
+    bounds: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.dense)
+
+    def take(self, rows: np.ndarray) -> Texts:
+        size = np.diff(self.bounds)[rows]
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.bounds[rows] - bounds[:-1], size) + np.arange(bounds[-1])
+        return Texts(self.dense[rows], self.columns[at], bounds)
+
+    @staticmethod
+    def of(parts: list[tuple[np.ndarray, np.ndarray]]) -> Texts:
+        """Of (dense, columns) of single texts."""
+        return Texts(np.array([d for d, _ in parts]).reshape(len(parts), N_FEATURES), np.concatenate([np.zeros(0, np.int32), *[c for _, c in parts]]), np.cumsum([0, *[len(c) for _, c in parts]]))
+
+
+def word_columns(texts: pa.Array, low: int, high: int, width: int) -> list[np.ndarray]:
+    """For each whole text the sorted distinct columns of its words and word pairs, A-Z as a-z; none of a null."""
+    offsets, data = text_offsets(texts), text_buffer(texts)
+    part, starts = data[offsets[low] : offsets[high]], offsets[low:high] - offsets[low]
+    if not len(part):
+        return [np.zeros(0, np.int32)] * (high - low)
+    words, text_of = word_hashes(part, starts)
+    bounds = np.searchsorted(text_of, np.arange(high - low + 1))
+    one = (words >> np.uint64(20)) % np.uint64(width)
+    two = (mix64(words[:-1] * np.uint64(3) + words[1:]) >> np.uint64(20)) % np.uint64(width)
+    return [np.unique(np.concatenate([one[a:b], two[a : max(a, b - 1)]])).astype(np.int32) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def seen(texts: pa.Array, low: int, high: int, width: int) -> Texts:
+    columns = word_columns(texts, low, high, width)
+    return Texts(features(texts, low, high), np.concatenate([np.zeros(0, np.int32), *columns]), np.cumsum([0, *[len(c) for c in columns]]))
+
+
 class Network:
-    """One hidden layer of rectified units over features scaled to mean 0 and variance 1."""
+    """One hidden layer of rectified units over the dense features, scaled to mean 0 and variance 1, plus a linear model of
+    the words: the mean of their weights, times the root of how many there are."""
 
-    def __init__(self, mean, scale, hidden: int, seed: int):
+    def __init__(self, mean, scale, hidden: int, width: int, seed: int):
         rng = np.random.default_rng(seed)
-        self.mean, self.scale = mean, scale
-        self.w = [rng.normal(0, 1 / np.sqrt(len(mean)), (len(mean), hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
+        self.mean, self.scale, self.width = mean, scale, width
+        self.w = [rng.normal(0, 1 / np.sqrt(len(mean)), (len(mean), hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1), np.zeros(width)]
+
+    def _share(self, x: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """What each column of each text counts, and the text it is of."""
+        size = np.diff(x.bounds)
+        return np.repeat(1 / np.sqrt(np.maximum(size, 1)), size), np.repeat(np.arange(len(x)), size)
 
-    def forward(self, x):
-        z = np.clip((x - self.mean) / self.scale, -6, 6)
+    def forward(self, x: Texts):
+        z = np.clip((x.dense - self.mean) / self.scale, -6, 6)
         h = np.maximum(z @ self.w[0] + self.w[1], 0)
-        return z, h, h @ self.w[2] + self.w[3][0]
+        share, owner = self._share(x)
+        return z, h, h @ self.w[2] + self.w[3][0] + np.bincount(owner, self.w[4][x.columns] * share, len(x))
 
-    def scores(self, x) -> np.ndarray:
+    def scores(self, x: Texts) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.forward(x)[2], -30, 30)))
 
-    def gradient(self, x, by_output):
+    def gradient(self, x: Texts, by_output):
         z, h, _ = self.forward(x)
         back = by_output[:, None] * self.w[2] * (h > 0)
-        return [z.T @ back, back.sum(0), h.T @ by_output, np.array([by_output.sum()])]
+        share, owner = self._share(x)
+        return [z.T @ back, back.sum(0), h.T @ by_output, np.array([by_output.sum()]), np.bincount(x.columns, by_output[owner] * share, self.width)]
+
+
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the unbiased risk, with the sigmoid loss, of the scores of positives and of unlabelled texts: of
+    positives taken for negatives, and of negatives taken for positives, which a sample can make negative."""
+    return prior * float((1 - positive).mean()), float(unlabelled.mean() - prior * positive.mean())
 
 
-def train_network(positive: np.ndarray, unlabelled: np.ndarray, prior: float, settings: QualitySettings) -> Network:
-    """Minimises the non-negative risk with the sigmoid loss, by Adam. Where the part that stands for the negatives turns negative, its own gradient is climbed instead."""
-    whole = np.concatenate([positive, unlabelled])
-    net = Network(whole.mean(0), whole.std(0) + 1e-6, settings.hidden, settings.seed)
+def train_network(positive: Texts, unlabelled: Texts, prior: float, settings: QualitySettings) -> Network:
+    """Minimises the non-negative risk by Adam. Where the part that stands for the negatives turns negative, its own gradient is climbed instead."""
+    whole = np.concatenate([positive.dense, unlabelled.dense])
+    net = Network(whole.mean(0), whole.std(0) + 1e-6, settings.hidden, settings.words, settings.seed)
     rng = np.random.default_rng(settings.seed + 1)
     first, second = [np.zeros_like(w) for w in net.w], [np.zeros_like(w) for w in net.w]
     for step in range(1, settings.steps + 1):
-        p, u = positive[rng.integers(0, len(positive), settings.batch)], unlabelled[rng.integers(0, len(unlabelled), settings.batch)]
+        p, u = positive.take(rng.integers(0, len(positive), settings.batch)), unlabelled.take(rng.integers(0, len(unlabelled), settings.batch))
         sp, su = net.scores(p), net.scores(u)
         slope_p, slope_u = sp * (1 - sp) / len(p), su * (1 - su) / len(u)  # of the score; the loss as 0 is the score, as 1 it is 1 - score
-        rest = su.mean() - prior * sp.mean()
-        if rest >= 0:
+        if risk(sp, su, prior)[1] >= 0:
             grad = [a + b for a, b in zip(net.gradient(p, -2 * prior * slope_p), net.gradient(u, slope_u), strict=True)]
         else:
             grad = [a + b for a, b in zip(net.gradient(p, prior * slope_p), net.gradient(u, -slope_u), strict=True)]
@@ -119,38 +179,75 @@ def train_network(positive: np.ndarray, unlabelled: np.ndarray, prior: float, se
     return net
 
 
-def _rows_of(docs: DataFrame, ids: list, id_col: str, text_col: str, most: int) -> dict:
-    """Features of the rows with these ids; texts stay on the executors."""
+def least_ratio(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
+    """Estimate of the share of positives in unlabelled text from scores of both, neither of them fitted on.
+
+    Above any limit stands at least that share of the unlabelled texts, times the part of the positives that stand
+    there. The limit where the ratio of both parts is least, with a bound for the chance in either, gives the ratio.
+    """
+    limits = np.unique(positive)
+    p = 1 - np.searchsorted(np.sort(positive), limits, "left") / len(positive)
+    u = 1 - np.searchsorted(np.sort(unlabelled), limits, "left") / len(unlabelled)
+    chance = np.sqrt(np.log(4 / doubt) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
+    return float((u / p)[np.argmin((u + chance) / p)])
+
+
+def estimated_prior(positive: Texts, unlabelled: Texts, settings: QualitySettings) -> float:
+    """The class prior, between 0.02 and 0.98: a model that tells positives from unlabelled text is fitted on every other row of
+    both and judges the rest. With fewer than 20 rows of a kind it is 0.5."""
+    if min(len(positive), len(unlabelled)) < 20:
+        return 0.5
+    half = lambda x, k: x.take(np.arange(k, len(x), 2))
+    net = train_network(half(positive, 0), half(unlabelled, 0), 0.5, replace(settings, steps=max(1, settings.steps // 2)))
+    return min(0.98, max(0.02, least_ratio(net.scores(half(positive, 1)), net.scores(half(unlabelled, 1)))))
+
+
+def _drawn(rows: DataFrame, id_col: str, salt: str, most: int) -> DataFrame:
+    """The ids of `most` rows at most, in the order of a hash, each once."""
+    return rows.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct().orderBy(F.xxhash64(F.col("_id").cast("string"), F.lit(salt)), "_id").limit(most)
+
+
+def _rows_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> dict:
+    """What is seen of the rows with these ids, a bounded list; texts stay on the executors. Of rows under one id the one whose text comes first counts."""
 
     def measure(batches):
         for batch in batches:
             for low, high in slices_by_bytes(batch.column(1), 4 << 20, 2048):
-                rows = features(batch.column(1), low, high)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(list(rows), pa.list_(pa.float64()))], ["doc_id", "x"])
+                rows = seen(batch.column(1), low, high, width)
+                columns = [x.astype("<i4").tobytes() for x in np.split(rows.columns, rows.bounds[1:-1])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(list(rows.dense), pa.list_(pa.float64())), pa.array(columns, pa.binary())], ["doc_id", "x", "words"])
 
-    source = id_and_text(docs.filter(F.col(id_col).isin(ids)), id_col, text_col)
+    wanted = docs.join(F.broadcast(ids), docs[id_col] == ids["_id"], "left_semi")
+    source = id_and_text(wanted, id_col, text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
-    return {r["doc_id"]: np.array(r["x"]) for r in source.mapInArrow(measure, f"doc_id {kind}, x array<double>").limit(2 * most).collect()}
+    out: dict = {}
+    for r in source.mapInArrow(measure, f"doc_id {kind}, x array<double>, words binary").groupBy("doc_id").agg(F.min(F.struct("x", "words")).alias("r")).collect():
+        out[r["doc_id"]] = np.array(r["r"]["x"]), np.frombuffer(bytes(r["r"]["words"]), "<i4")
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: Column, settings: QualitySettings = QualitySettings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network | None:
-    """A model of the rows for which `rows` (a condition on the id) holds: trusted positives are those labelled 1, unlabelled text is any other row, whatever its label.
+    """A model of the rows for which `rows` (a condition on the id) holds: trusted positives are those labelled 1, unlabelled
+    text is any row, whatever its label.
 
-    The class prior is estimated as the share of 1 among their labels, at most 0.98 and at least 0.02. Samples are
-    bounded by settings.positives and settings.unlabelled; ids are drawn before texts are read. None without positives or texts.
+    Other labels than 1 are never read. Samples are bounded by settings.positives and settings.unlabelled; ids are
+    drawn before texts are read. Labels of ids that no document has, null labels and null ids don't count; an id that is
+    labelled twice is a positive if one of its labels is 1; null texts are texts without a character; other columns
+    are ignored. None without positives or texts, as of empty tables.
     """
-    order = [F.xxhash64(F.col(id_col).cast("string"), F.lit("quality")), F.col(id_col)]
-    known = labels.filter(rows & F.col(label_col).isNotNull())
-    share = known.agg(F.avg((F.col(label_col) == 1).cast("double"))).first()[0]
-    good = [r[0] for r in known.filter(F.col(label_col) == 1).select(id_col).orderBy(*order).limit(settings.positives).collect()]
-    plain = [r[0] for r in docs.filter(rows).select(id_col).orderBy(*[F.xxhash64(F.col(id_col).cast("string"), F.lit("unlabelled")), F.col(id_col)]).limit(settings.unlabelled).collect()]
+    good_ids = _drawn(labels.filter(rows & (F.col(label_col) == 1)), id_col, "quality", settings.positives)
+    plain_ids = _drawn(docs.filter(rows), id_col, "unlabelled", settings.unlabelled)
+    good, plain = ([r[0] for r in ids.collect()] for ids in (good_ids, plain_ids))
     if not good or not plain:
         return None
-    table = _rows_of(docs, [*{*good, *plain}], id_col, text_col, settings.positives + settings.unlabelled)
-    positive, unlabelled = [np.array([table[i] for i in sorted(ids) if i in table]) for ids in (good, plain)]
+    kind = docs.schema[id_col].dataType
+    listed = docs.sparkSession.createDataFrame([(i,) for i in {*good, *plain}], "_id " + kind.simpleString())
+    table = _rows_of(docs, listed, id_col, text_col, settings.words)
+    positive, unlabelled = (Texts.of([table[i] for i in sorted(ids) if i in table]) for ids in (good, plain))
     if not len(positive) or not len(unlabelled):
         return None
-    return train_network(positive, unlabelled, min(0.98, max(0.02, share)), settings)
+    prior = settings.prior if settings.prior is not None else estimated_prior(positive, unlabelled, settings)
+    return train_network(positive, unlabelled, prior, settings)
 
 
 def classify(docs: DataFrame, model: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,7 +264,7 @@ def classify(docs: DataFrame, model: Network | None, id_col: str = "doc_id", tex
         net = shared.value
         for batch in batches:
             for low, high in slices_by_bytes(batch.column(1), 4 << 20, 2048):
-                score = net.scores(features(batch.column(1), low, high)) if net else np.full(high - low, 0.5)
+                score = net.scores(seen(batch.column(1), low, high, net.width)) if net else np.full(high - low, 0.5)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return source.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
