@@ -33,7 +33,7 @@ class QualitySettings:
     unlabelled: int = 8000
     words: int = 8192
     hidden: int = 16
-    steps: int = 1000
+    steps: int = 400
     batch: int = 512
     rate: float = 5e-3
     decay: float = 1e-2

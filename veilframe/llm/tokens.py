@@ -3,6 +3,7 @@
 The library that a file belongs to decides the ids: tokenizers for .json, sentencepiece for .model.
 A byte-level BPE file is also loaded into tiktoken, which gives the same ids several times faster; it is
 used only where the two are bound to agree (see Encoder), everything else goes to the file's own library.
+Texts are handed to either in batches.
 """
 
 from __future__ import annotations
@@ -100,12 +101,33 @@ class Encoder:
 
     def ids(self, text: str, common: bool) -> np.ndarray:
         """uint32 ids of one text. common: none of its characters is U+0500 or higher."""
-        if self.fast is not None and common and not (len(text) > 4096 and _LONG_SPACE.search(text)):
+        if self._quick(text, common):
             return self.fast.encode_to_numpy(text, allowed_special="all")
         if self.kind == ".model":
             return np.asarray(self.slow.encode(text, num_threads=1), np.uint32)
         return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _quick(self, text: str, common: bool) -> bool:
+        return self.fast is not None and common and not (len(text) > 4096 and _LONG_SPACE.search(text))
+
+    def lengths(self, texts: list[str], common: list[bool], limit: int = 1 << 16) -> np.ndarray:
+        """How many ids each text has, by one call of each library for all of them; long texts go in pieces where the tokenizer allows that."""
+        pieces: tuple[list[str], list[str]] = ([], [])
+        owner: tuple[list[int], list[int]] = ([], [])
+        for k, (text, plain) in enumerate(zip(texts, common, strict=True)):
+            for piece in split_safely(text, limit) if self.byte_level and len(text) > limit else (text,):
+                quick = bool(self._quick(piece, plain))
+                pieces[quick].append(piece)
+                owner[quick].append(k)
+        out = np.zeros(len(texts), np.int64)
+        if pieces[1]:
+            np.add.at(out, owner[1], [len(x) for x in self.fast.encode_batch(pieces[1], num_threads=1, allowed_special="all")])
+        if pieces[0] and self.kind == ".model":
+            np.add.at(out, owner[0], [len(x) for x in self.slow.encode(pieces[0], num_threads=1)])
+        elif pieces[0]:
+            np.add.at(out, owner[0], [len(x.ids) for x in self.slow.encode_batch_fast(pieces[0], add_special_tokens=False)])
+        return out
+
     def ids_in_pieces(self, text: str, common: bool, limit: int = 1 << 16) -> np.ndarray:
         """As ids(), a long text piece by piece where its tokenizer allows that."""
         if len(text) <= limit or not self.byte_level:
@@ -132,6 +154,19 @@ def encoded(texts: pa.Array, name: str, max_bytes: int = 4 << 20) -> Iterator[tu
             yield row, enc.ids_in_pieces(text, plain or own.max() < _FIRST_RARE_BYTE)
 
 
+def counted(texts: pa.Array, name: str, max_bytes: int = 1 << 20) -> np.ndarray:
+    """Number of ids of every row of a string array; a null counts as empty. Batches are balanced by bytes."""
+    enc, offsets, data = encoder(name), text_offsets(texts), text_buffer(texts)
+    out = np.zeros(len(texts), np.int64)
+    for start, stop in slices_by_bytes(texts, max_bytes, 4096):
+        part = data[offsets[start] : offsets[stop]]
+        plain = not len(part) or part.max() < _FIRST_RARE_BYTE
+        rows = [(row, text) for row, text in enumerate(texts.slice(start, stop - start).to_pylist(), start) if text]
+        common = [plain or data[offsets[row] : offsets[row + 1]].max() < _FIRST_RARE_BYTE for row, _ in rows]
+        out[np.array([row for row, _ in rows], np.int64)] = enc.lengths([text for _, text in rows], common)
+    return out
+
+
 def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every whole text.
 
@@ -146,9 +181,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
         for batch in batches:
             texts = batch.column(1)
             offsets = text_offsets(texts)
-            n = np.zeros(batch.num_rows, np.int64)
-            for row, ids in encoded(texts, tokenizer):
-                n[row] = len(ids)
+            n = counted(texts, tokenizer)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return source.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
