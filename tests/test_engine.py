@@ -13,7 +13,7 @@ from veilframe.operators.names import NameRules, find_names, likely_name
 from veilframe.operators.tokens import bioes_spans, refined
 from veilframe.plans import engine
 from veilframe.sources.readers import OFFICE, is_supported, segments
-from veilframe.streaming.mask_stream import mask_stream
+from veilframe.streaming.mask_stream import compacted, mask_stream
 from veilframe.types import SPAN
 
 TEXTS = ["联系人：张三，电话：13812345678，邮箱：zhangsan@example.com", "姓名：李四\n电话：13812345678", "nothing", "", None]
@@ -125,3 +125,12 @@ def test_stream(spark, tmp_path):
     assert q.exception() is None
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(rows) == 4 and all("13812345678" not in r["masked_text"] for r in rows)
+    first = {r["doc_id"]: r["masked_text"] for r in rows}
+    docs(spark).filter("doc_id < 2").withColumn("doc_id", F.col("doc_id") + 10).coalesce(1).write.mode("append").parquet(str(source))
+    q = mask_stream(spark.readStream.schema("doc_id int, text string").parquet(str(source)), F.lit("p"), str(tmp_path / "vault"), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    q.awaitTermination(120)
+    assert q.exception() is None
+    again = {r["doc_id"]: r["masked_text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert again[10] == first[0] and again[11] == first[1]
+    parts = spark.read.schema(f"{vaults.MAPPINGS}, v int").parquet(str(tmp_path / "vault"))
+    assert sorted({r["v"] for r in parts.collect()}) == [0, 1] and compacted(parts.drop("v")).count() == parts.filter("v = 0").count()
