@@ -25,7 +25,7 @@ from veilframe.llm.packing import SumOfSquaresPacker, pack  # noqa: E402
 from veilframe.llm.quality_rules import measures, quality_cascade  # noqa: E402
 from veilframe.llm.secret_scan import find_secrets, listed, redact_secrets  # noqa: E402
 from veilframe.llm.suffix_dedup import RepeatSettings, multikey_order, remove_repeats  # noqa: E402
-from veilframe.llm.tokens import Encoder, split_safely, token_counts, tokenizer_path  # noqa: E402
+from veilframe.llm.tokens import Encoder, counted, split_safely, token_counts, tokenizer_path  # noqa: E402
 
 BLANK = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -61,6 +61,21 @@ def test_both_encoders_agree(slow_ids):
     for name in ("word_bpe_49k.json", "piece_bpe_32k.model"):
         other = Encoder(tokenizer_path(name))
         assert len(other.ids("Some words, and more.", True)) > 3 and not other.byte_level
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"):
+        other, some = Encoder(tokenizer_path(name)), ["", "Some words, and more.", "中文 text", "<|endoftext|> x", "word " * 300]
+        common = [max(map(ord, t), default=0) < 0x500 for t in some]
+        assert other.lengths(some, common, 500).tolist() == [len(other.ids(t, c)) for t, c in zip(some, common, strict=True)]
+
+
+def test_encoders_agree_on_all_documents(slow_ids):
+    import pyarrow.parquet as pq
+
+    folder = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables here")
+    texts_ = pq.read_table(folder, columns=["text"]).column(0).combine_chunks()
+    got = counted(texts_, "byte_bpe_50k.json")
+    assert got.tolist() == [len(slow_ids(t or "")) for t in texts_.to_pylist()]
 
 
 def test_packing(spark, slow_ids):
@@ -86,9 +101,9 @@ def test_packing(spark, slow_ids):
         for offset, length in sorted(own):
             assert offset == at
             at += length
-        assert at <= 2048
+        assert at <= 2048 and at & (at - 1) == 0  # full, or a power of two: nothing is padded
         partly += at < 2048
-    assert partly <= frame(spark, rows).rdd.getNumPartitions()
+    assert partly <= 11 * frame(spark, rows).rdd.getNumPartitions()
     assert pack(frame(spark, [])).count() == 0
 
 

@@ -1,6 +1,7 @@
 """The pipeline against a plain version of every stage, and its registration."""
 
 import os
+import random
 import re
 import sys
 
@@ -15,6 +16,7 @@ from test_operators import family_rows, items, plain_classes, plain_contaminatio
 import __spark_entry__ as entry  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from veilframe.llm.queries import QUERIES  # noqa: E402
+from veilframe.llm.tokens import tokenizer_path  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -39,7 +41,7 @@ def test_stages(spark, folder):
     left = [(r["doc_id"], r["text"]) for r in one.collect()]
 
     two = corpus_pipeline.one_of_each(spark, one, out).cache()
-    classes = plain_classes(left)
+    classes = plain_classes(left, 80, 5)  # near copies: five words, a similarity of 0.8 or more
     assert {r["doc_id"] for r in two.collect()} == {i for i, (_, c) in classes.items() if i == c} and two.columns == columns
 
     three = corpus_pipeline.without_benchmark(spark, two, out).cache()
@@ -62,10 +64,60 @@ def test_stages(spark, folder):
     assert {p["doc_id"] for p in five} == set(kept) and all(len(np.frombuffer(p["ids"], "<u4")) == p["length"] for p in five)
 
 
+def near_rows():
+    """Copies whose similarity over five words lies between 0.8 and 0.85, or just below 0.8."""
+    rng, out = random.Random(13), []
+    for k in range(12):
+        base = words(rng, 200, 10**6).split()
+        out += [(7000 + 10 * k, " ".join(base)), (7001 + 10 * k, " ".join(base + words(rng, 38 + k, 10**6).split())), (7002 + 10 * k, " ".join(base + words(rng, 60, 10**6).split()))]
+    return out
+
+
+def test_near_copies_of_the_stage(spark):
+    rows = near_rows()
+    kept = {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, frame(spark, rows), "").collect()}
+    classes = plain_classes(rows, 80, 5)
+    assert kept == {i for i, (_, c) in classes.items() if i == c} and {7001, 7011} & kept == set() and 7002 in kept
+
+
 def test_run(spark, folder):
-    out, _ = folder
-    done = corpus_pipeline.run(spark, out)
-    assert done.count() > 0 and "sequence_id" in done.columns
+    """run() against plain versions of all stages, one after the other."""
+    from tokenizers import Tokenizer
+
+    out, rows = folder
+    done = corpus_pipeline.run(spark, out).collect()
+    left = [(i, t) for i, t in rows if t and re.search(r"[^\W\d_]", t)]
+    classes = plain_classes(left, 80, 5)
+    left = [(i, t) for i, t in left if classes[i][1] == i]
+    want = {}
+    for i, t in left:
+        n, hit, _ = plain_contamination(t, items())
+        if hit <= 0.8 * n:
+            want[i] = t if not hit else None  # texts with cuts are held against the cut ones' words below
+    assert {p["doc_id"] for p in done} == set(want)
+    tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    parts = {}
+    for p in done:
+        parts.setdefault(p["doc_id"], []).append((p["start"], np.frombuffer(p["ids"], "<u4").tolist()))
+    checked = 0
+    for i, t in want.items():
+        ids = [x for _, own in sorted(parts[i]) for x in own]
+        assert ids[-1] == 1
+        text = tokenizer.decode(ids[:-1], skip_special_tokens=False)
+        assert plain_contamination(text, items())[1] == 0 and not re.search("hex:|access:", plain_secrets(text))
+        if t is not None and not plain_secrets(t) and "[SECRET]" not in text:
+            assert ids == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+            checked += 1
+    assert checked > 50
+    sequences = {}
+    for p in done:
+        sequences.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048 and at & (at - 1) == 0
 
 
 def test_empty_tables(spark, tmp_path):

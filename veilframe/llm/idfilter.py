@@ -1,6 +1,8 @@
-"""A Bloom filter of fixed size over integer ids, to keep texts that a join does not need out of its shuffle.
+"""Keeping texts that a join does not need out of its shuffle.
 
-It only spares work: whatever it lets through by chance is settled by the join behind it, at any input size.
+Up to MOST ids a Bloom filter is broadcast whose size follows their count (two bytes an id, 16 MB at most); beyond
+that a join on the ids takes its place. Either only spares work: what a filter lets through by chance is settled by
+the join behind it.
 """
 
 from __future__ import annotations
@@ -9,58 +11,62 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.llm.shingles import mix64
 from veilframe.llm.textio import bound_batches
 
-_BITS = 24
+#: Ids up to which a filter is broadcast.
+MOST = 1 << 23
 
 
-def _spots(ids: np.ndarray) -> list[np.ndarray]:
-    return [(mix64(ids.astype(np.uint64) * np.uint64(2) + np.uint64(s)) >> np.uint64(64 - _BITS)).astype(np.int64) for s in (0, 1)]
+def filter_bits(n: int) -> int:
+    """Logarithm of the bits of a filter for n ids."""
+    return max(16, (8 * n).bit_length())
+
+
+def _spots(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(mix64(ids.astype(np.uint64) * np.uint64(2) + np.uint64(s)) >> np.uint64(64 - bits)).astype(np.int64) for s in (0, 1)]
 
 
 def holds(ids: np.ndarray, words: np.ndarray) -> np.ndarray:
-    a, b = _spots(ids)
+    a, b = _spots(ids, len(words).bit_length() + 5)
     return ((words[a >> 6] >> (a & 63)) & (words[b >> 6] >> (b & 63)) & 1) == 1
 
 
-def id_filter(rows: DataFrame, ids_of) -> np.ndarray:
-    """The filter (2 MB) of the ids that ids_of gives for each Arrow batch of rows.
+def id_filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """The filter of the ids in the first column of a DataFrame, as 64-bit words.
 
-    Each task fills a filter of its own and sends it in compressed parts; parts are joined by OR, and the joined
-    ones, 2 MB whatever the input, come to the driver.
+    Each task fills a filter of its own and sends the parts of it that are not empty, compressed; equal parts meet
+    in one task, which joins them as they stream by, and the joined ones come to the driver.
     """
     parts = 1 << 6
 
     def fill(batches):
-        table = np.zeros(1 << (_BITS - 6), np.int64)
+        table = np.zeros(1 << (bits - 6), np.int64)
         for batch in batches:
-            for spot in _spots(np.unique(ids_of(batch))):
+            for spot in _spots(np.unique(batch.column(0).drop_null().to_numpy()), bits):
                 np.bitwise_or.at(table, spot >> 6, np.int64(1) << (spot & 63))
         cut = table.reshape(parts, -1)
         full = np.flatnonzero(cut.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([zstandard.ZstdCompressor(level=1).compress(cut[k].tobytes()) for k in full], pa.binary())], ["part", "body"])
 
-    def join(key, table):
-        out = np.zeros((1 << (_BITS - 6)) // parts, np.int64)
-        for x in table.column("body"):
-            out |= np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_buffer()), np.int64)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "body": pa.array([out.tobytes()], pa.binary())})
+    def join(batches):
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_buffer()), np.int64)
+                out[part] = out[part] | own if part in out else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([x.tobytes() for x in out.values()], pa.binary())], ["part", "body"])
 
-    table = np.zeros((parts, (1 << (_BITS - 6)) // parts), np.int64)
-    for row in rows.mapInArrow(fill, "part long, body binary").groupBy("part").applyInArrow(join, "part long, body binary").collect():
+    table = np.zeros((parts, (1 << (bits - 6)) // parts), np.int64)
+    for row in ids.mapInArrow(fill, "part long, body binary").repartition(parts, "part").mapInArrow(join, "part long, body binary").collect():
         table[row["part"]] = np.frombuffer(row["body"], np.int64)
     return table.reshape(-1)
 
 
-def first_column(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column(0).to_numpy()
-
-
-def in_filter(docs: DataFrame, table, inside: bool, id_col: str = "doc_id") -> DataFrame:
-    """docs, all columns kept, with the rows that the broadcast filter holds (inside) or doesn't hold. Rows without an id are outside."""
+def _passing(docs: DataFrame, table, inside: bool, id_col: str) -> DataFrame:
     bound_batches(docs.sparkSession)
     place = docs.columns.index(id_col)
 
@@ -71,3 +77,15 @@ def in_filter(docs: DataFrame, table, inside: bool, id_col: str = "doc_id") -> D
             yield batch.filter(pa.array(known == inside))
 
     return docs.mapInArrow(choose, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+
+
+def parted(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """docs, all columns kept, in two parts: the rows whose id is among `ids` (integers, first column), with a few
+    others, and the rest. Rows without an id are in the rest. `ids` is computed twice, so it should be saved."""
+    n = ids.count()
+    if n > most:
+        wanted = ids.select(F.col(ids.columns[0]).alias("__wanted")).distinct()
+        same = docs[id_col] == wanted["__wanted"]
+        return docs.join(wanted, same, "left_semi"), docs.join(wanted, same, "left_anti")
+    table = docs.sparkSession.sparkContext.broadcast(id_filter(ids, filter_bits(n)))
+    return _passing(docs, table, True, id_col), _passing(docs, table, False, id_col)

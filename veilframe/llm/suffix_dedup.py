@@ -6,15 +6,18 @@ strings have equal anchors at equal places. Only suffixes that start at anchors
 1. Anchors that occur in one document alone can't be part of a repeat. Anchors meet by hash, and each document
    learns which of its own occur elsewhere.
 2. Of the others, each maximal run of strings with one anchor is shipped once, as the bytes it covers. Sampled
-   splitters range-partition them by the leading bytes of the suffix at the anchor; equal anchors never straddle a
+   splitters range-partition them by the first 16 bytes of the suffix at the anchor; equal anchors never straddle a
    boundary, because splitters part whole leading words, so that no comparison across buckets is left over. A bucket
    is sorted by multikey quicksort over 8-byte words; neighbours with all words equal are equal runs, and where
    different runs share an anchor their single strings are compared.
 3. What is found to start in a document with a smaller id is cut out there.
+
+Hashes bring strings together, bytes decide: wherever two strings count as equal, they have been compared.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from dataclasses import dataclass
 
@@ -24,10 +27,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.components import written
-from veilframe.llm.idfilter import holds, id_filter, in_filter
-from veilframe.llm.shingles import _powers, mix64
-from veilframe.llm.textio import id_and_text, text_buffer, text_offsets
+from veilframe.llm.components import saved, written
+from veilframe.llm.idfilter import parted
+from veilframe.llm.shingles import mix64
+from veilframe.llm.textio import id_and_text, integer_ids, text_buffer, text_offsets
 
 _POSITION_BITS = 20
 _STRETCH = 1 << _POSITION_BITS
@@ -38,7 +41,8 @@ class RepeatSettings:
     """length: bytes of a string that counts as a repeat. k: bytes of an anchor. The rest sets how much a task holds:
     bucket: anchors in a bucket; unit: bytes of text in a unit; stretch: anchors gathered before they are sent. hot:
     places from which on an anchor's strings are compared one by one, spread over all buckets; max_hot: so many anchors
-    at most are treated so (8 bytes each, broadcast), those of the most places. Neither changes results."""
+    at most are treated so (8 bytes each, broadcast), those of the most places. sample: one anchor in so many, of those
+    that differ in a stretch, is drawn for the splitters. None changes results."""
 
     length: int = 50
     k: int = 16
@@ -47,11 +51,12 @@ class RepeatSettings:
     stretch: int = 1 << 20
     hot: int = 1 << 14
     max_hot: int = 200_000
+    sample: int = 4096
 
 
 @dataclass
 class Runs:
-    """Maximal runs of strings with one anchor: number of the text, first and last start of a string, place of the anchor (all counted in the text), hash and leading 8 bytes of the anchor."""
+    """Maximal runs of strings with one anchor: number of the text, first and last start of a string, place of the anchor (all counted in the text), hash and leading 16 bytes of the anchor."""
 
     text: np.ndarray
     first: np.ndarray
@@ -116,7 +121,8 @@ def _runs_of(data, texts, starts, ends, offsets, length, k) -> Runs:
     own = owner[first]
     shift = starts[own] - offsets[texts[own]] - bounds[own]
     anchor = place[first]
-    return Runs(texts[own], first + shift, last + shift, anchor + shift, value[anchor], words[anchor])
+    lead = np.stack([words[anchor], words[anchor + min(8, k - 8)]], 1).astype(">u8").view("S16").reshape(-1)
+    return Runs(texts[own], first + shift, last + shift, anchor + shift, value[anchor], lead)
 
 
 def multikey_order(words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -162,6 +168,20 @@ def _portions(size: np.ndarray, most: int = 1 << 20):
         a = b
 
 
+@functools.lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number modulo 2**64, and of its inverse."""
+    base = 0xD6E8FEB86659FD93
+    up, down = np.empty(n, np.uint64), np.empty(n, np.uint64)
+    for out, b in ((up, base), (down, pow(base, -1, 1 << 64))):
+        out[0] = 1
+        done = 1
+        while done < n:
+            out[done : 2 * done] = out[: min(done, n - done)] * np.uint64(pow(b, done, 1 << 64))
+            done *= 2
+    return up, down
+
+
 def _prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of a polynomial over the bytes, and the inverse powers that shift a part of it to the start."""
     up, down = _powers(1 << max(21, int(len(data)).bit_length()))
@@ -193,6 +213,34 @@ def string_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, length:
     return np.concatenate(out)
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a[i]:a[i] + size[i]] and data[b[i]:b[i] + size[i]] are the same; sizes are 1 at least."""
+    out = np.zeros(len(a), bool)
+    for low, high in _portions(size):
+        differ = _gather(data, a[low:high], size[low:high]) != _gather(data, b[low:high], size[low:high])
+        end = np.cumsum(size[low:high])
+        out[low:high] = ~np.logical_or.reduceat(differ, end - size[low:high])
+    return out
+
+
+def equal_strings(data: np.ndarray, at: np.ndarray, value: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings data[at[i]:at[i] + length] that brings equal ones together, by document, and where in that order a
+    new string begins. Strings are brought together by their hashes `value` and then compared; where different ones
+    share a hash, their bytes put them in order."""
+    by = np.lexsort((doc, value))
+    fresh = np.ones(len(by), bool)
+    fresh[1:] = value[by][1:] != value[by][:-1]
+    look = np.flatnonzero(~fresh)
+    wrong = look[~same_bytes(data, at[by[look]], at[by[look - 1]], np.full(len(look), length))] if len(look) else look
+    if len(wrong):
+        clash = np.flatnonzero(np.isin(value, value[by[wrong]]))
+        code = np.zeros(len(value), np.int64)
+        code[clash] = np.unique([data[k : k + length].tobytes().hex() for k in at[clash]], return_inverse=True)[1]
+        by = np.lexsort((doc, code, value))
+        fresh[1:] = (value[by][1:] != value[by][:-1]) | (code[by][1:] != code[by][:-1])
+    return by, fresh
+
+
 def _unit_of(ids: np.ndarray, units: int) -> np.ndarray:
     return (mix64(ids.astype(np.uint64)) % np.uint64(units)).astype(np.int64)
 
@@ -276,7 +324,8 @@ def _send_anchors(source: DataFrame, settings: RepeatSettings, buckets: int, uni
             top, least_key = key[start][by], least[by]
             for bucket, cols in _by_bucket((mix64(top) % np.uint64(buckets)).astype(np.int64), (top >> np.uint64(16)).astype(np.uint32), (top & np.uint64(0xFFFF)).astype(np.uint16), least_key, count[by], several[by]):
                 out.append((bucket, _ANCHORS, _SENT.put(*cols)))
-            out.append((-1 - units, _SAMPLE, lead[start[::4096]].tobytes()))
+            drawn = lead[start[:: settings.sample]]
+            out.append((-1 - units - 1 - int(_unit_of(ids[:1], units)[0]), _SAMPLE, drawn.astype("S16").tobytes()))  # over as many groups as there are units
             return _rows(out)
 
         for batch in batches:
@@ -320,9 +369,14 @@ def _meet(sent: DataFrame, settings: RepeatSettings, units: int) -> DataFrame:
     return sent.groupBy("key").applyInArrow(meet, "unit long, body binary")
 
 
-def _filter_of(rows: DataFrame, blobs: _Blobs) -> np.ndarray:
-    """A filter of the documents named in column body."""
-    return id_filter(rows.select("body"), lambda batch: blobs.get(x.as_buffer() for x in batch.column(0))[0])
+def _documents_in(rows: DataFrame, blobs: _Blobs) -> DataFrame:
+    """id of the documents named in column body, saved."""
+
+    def name(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(blobs.get(x.as_buffer() for x in batch.column(0))[0]))], ["id"])
+
+    return saved(rows.select("body").mapInArrow(name, "id long").distinct())
 
 
 def _squeezed(data: bytes) -> bytes:
@@ -333,14 +387,13 @@ def _unsqueezed(blob) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
-def _in_units(source: DataFrame, table, units: int) -> DataFrame:
-    """unit, body: the documents that the filter holds, those of a batch and a unit together and compressed: count, ids, lengths, bytes."""
+def _in_units(source: DataFrame, units: int) -> DataFrame:
+    """unit, body: the documents of source, those of a batch and a unit together and compressed: count, ids, lengths, bytes."""
 
     def choose(batches):
         for batch in batches:
-            part = batch.filter(pa.array(holds(batch.column(0).to_numpy(), table.value)))
-            unit = _unit_of(part.column(0).to_numpy(), units)
-            part = part.take(pa.array(np.argsort(unit, kind="stable")))
+            unit = _unit_of(batch.column(0).to_numpy(), units)
+            part = batch.take(pa.array(np.argsort(unit, kind="stable")))
             unit.sort()
             ids, offsets, data = part.column(0).to_numpy(), text_offsets(part.column(1)), text_buffer(part.column(1))
             cut = np.concatenate([[0], np.flatnonzero(np.diff(unit)) + 1, [len(unit)]]) if len(unit) else [0]
@@ -365,16 +418,16 @@ def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(lengths))]), np.concatenate(parts)
 
 
-_SINGLE = _Blobs("<u8", "<i8", "<i8")  # hash of a string, document, start
+_SINGLE = _Blobs("<i8", "<i8")  # document and start of a string, whose bytes follow
 _HEAD = _Blobs("<i8", "<i8", "u1", "u1")  # document, first start, bytes covered, place of the anchor among them
 
 
-def _send_runs(docs: DataFrame, shared: DataFrame, settings: RepeatSettings, splitters: np.ndarray, hot, buckets: int, units: int) -> DataFrame:
+def _send_runs(docs: DataFrame, shared: DataFrame, settings: RepeatSettings, splitters, hot, buckets: int, units: int) -> DataFrame:
     """Runs with shared anchors, each different one of a unit once, to the bucket of the suffix at its anchor. The same
     run in a document with a larger id of the same unit is a repeat as it stands.
 
     Anchors in the broadcast list `hot` stand in so many places that one bucket could not hold their runs, which
-    differ at the edges of a passage. Their strings go one by one, as hashes and once for a unit, to buckets by hash.
+    differ at the edges of a passage. Their strings go one by one, once for a unit, to buckets by hash.
     """
 
     def send(left, right):
@@ -401,8 +454,11 @@ def _send_runs(docs: DataFrame, shared: DataFrame, settings: RepeatSettings, spl
     def finish(data: np.ndarray) -> list[tuple[int, int, bytes]]:
         ids, first, size, inner, start, lead, often = (np.concatenate(x) for x in zip(*held, strict=True))
         whole = run_hashes(data, start, size)
-        order = np.lexsort((ids, whole))
-        same = np.concatenate([[False], whole[order][1:] == whole[order][:-1]])
+        order = np.lexsort((ids, size, whole))
+        same = np.concatenate([[False], (whole[order][1:] == whole[order][:-1]) & (size[order][1:] == size[order][:-1])])
+        look = np.flatnonzero(same)
+        if len(look):  # where a run under the same hash differs from the one before, both are sent on and compared there
+            same[look] = same_bytes(data, start[order[look]], start[order[look - 1]], size[order[look]])
         head = np.flatnonzero(~same)
         least = np.repeat(ids[order][head], np.diff(np.append(head, len(order))))
         repeat = order[same & (ids[order] > least)]
@@ -413,7 +469,7 @@ def _send_runs(docs: DataFrame, shared: DataFrame, settings: RepeatSettings, spl
         if len(single):
             out += strings(data, ids[single], first[single], size[single], start[single])
         send = send[~often[send]]
-        bucket = np.searchsorted(splitters, lead[send], "right")
+        bucket = np.searchsorted(splitters.value, lead[send], "right")
         for to, (rows,) in _by_bucket(bucket, send):
             text = _gather(data, start[rows], size[rows]).tobytes()
             heads = _HEAD.put(ids[rows], first[rows], size[rows], inner[rows])
@@ -421,18 +477,22 @@ def _send_runs(docs: DataFrame, shared: DataFrame, settings: RepeatSettings, spl
         return out
 
     def strings(data, ids, first, size, start) -> list[tuple[int, int, bytes]]:
-        n = size - settings.length + 1
-        value = string_hashes(data, start, size, settings.length)
+        n, length = size - settings.length + 1, settings.length
+        value = string_hashes(data, start, size, length)
         doc = np.repeat(ids, n)
-        place = np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(doc))
-        by = np.lexsort((doc, value))
-        value, doc, place = value[by], doc[by], place[by]
-        head = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        step = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        place, at = np.repeat(first, n) + step, np.repeat(start, n) + step
+        by, fresh = equal_strings(data, at, value, doc, length)
+        value, doc, place, at = value[by], doc[by], place[by], at[by]
+        head = np.flatnonzero(fresh)
         least = np.repeat(doc[head], np.diff(np.append(head, len(doc))))
         repeat = doc > least
-        out = [(-1 - unit, _FOUND, _SPANS.put(d, p, p + settings.length)) for unit, (d, p) in _by_bucket(_unit_of(doc[repeat], units), doc[repeat], place[repeat])]
-        value, doc, place = value[~repeat], doc[~repeat], place[~repeat]
-        return out + [(buckets + to, _STRINGS, _SINGLE.put(*cols)) for to, cols in _by_bucket((mix64(value) % np.uint64(buckets)).astype(np.int64), value, doc, place)]
+        out = [(-1 - unit, _FOUND, _SPANS.put(d, p, p + length)) for unit, (d, p) in _by_bucket(_unit_of(doc[repeat], units), doc[repeat], place[repeat])]
+        value, doc, place, at = value[~repeat], doc[~repeat], place[~repeat], at[~repeat]
+        for to, (d, p, own) in _by_bucket((mix64(value) % np.uint64(buckets)).astype(np.int64), doc, place, at):
+            body = _gather(data, own, np.full(len(own), length)).tobytes()
+            out.append((buckets + to, _STRINGS, _squeezed(len(d).to_bytes(8, "little") + _SINGLE.put(d, p) + body)))
+        return out
 
     return docs.groupBy("unit").cogroup(shared.groupBy("unit")).applyInArrow(send, _ROW)
 
@@ -488,8 +548,7 @@ def _sorted_buckets(sent: DataFrame, settings: RepeatSettings, buckets: int, uni
             step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
             value = string_hashes(body, start[rows], size[rows], length)
             doc = ids[rows][run]
-            by = np.lexsort((doc, value))
-            fresh = np.concatenate([[True], value[by][1:] != value[by][:-1]])
+            by, fresh = equal_strings(body, start[rows][run] + step, value, doc, length)
             low = doc[by][np.maximum.accumulate(np.where(fresh, np.arange(len(by)), 0))]
             hit = np.zeros(len(run), bool)
             hit[by] = doc[by] > low
@@ -499,10 +558,18 @@ def _sorted_buckets(sent: DataFrame, settings: RepeatSettings, buckets: int, uni
         return pa.table({"unit": pa.array([u for u, _ in rows], pa.int64()), "body": pa.array([b for _, b in rows], pa.binary())})
 
     def singles(table):
-        value, doc, place = _SINGLE.get(x.as_buffer() for x in table.column("body"))
-        by = np.lexsort((doc, value))
-        value, doc, place = value[by], doc[by], place[by]
-        head = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        heads, texts = [], []
+        for x in table.column("body"):
+            blob = _unsqueezed(x.as_buffer())
+            n = int.from_bytes(blob[:8], "little")
+            heads.append(blob[8 : 8 + n * _SINGLE.width])
+            texts.append(np.frombuffer(blob, np.uint8, -1, 8 + n * _SINGLE.width))
+        doc, place = _SINGLE.get(heads)
+        grid = np.zeros((len(doc), -(-length // 8) * 8), np.uint8)
+        grid[:, :length] = np.concatenate(texts).reshape(-1, length)
+        order, groups = multikey_order(np.concatenate([grid.view(">u8").astype(np.uint64), doc.astype(np.uint64)[:, None] ^ np.uint64(1 << 63)], 1))
+        doc, place, whole = doc[order], place[order], groups[-2]
+        head = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
         repeat = doc > np.repeat(doc[head], np.diff(np.append(head, len(doc))))
         doc, place = doc[repeat], place[repeat]
         rows = [(unit, _SPANS.put(d, p, p + length)) for unit, (d, p) in _by_bucket(_unit_of(doc, units), doc, place)]
@@ -561,13 +628,13 @@ def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings(),
     (binary: a cut may fall inside a character).
 
     A byte of a text goes if it lies in a string of settings.length bytes that also starts in a document with a
-    smaller id, as the input stands. Ids are integers. Null texts count as empty; texts shorter than a string
+    smaller id, as the input stands. Ids are integers, others raise a TypeError. Null texts count as empty; texts shorter than a string
     stay; repeats inside one document stay; repeated rows under one id stay and each lose what other documents
     hold; different texts under one id are cut at the union of their spans; rows without an id stay whole and cut no other. An empty table gives an empty result;
     other columns are ignored. The text is scanned four times and only documents with shared anchors move.
     """
     spark = docs.sparkSession
-    rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = integer_ids(id_and_text(docs, id_col, text_col))
     source, nameless = rows.filter("doc_id is not null"), rows.filter("doc_id is null")
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -575,14 +642,7 @@ def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings(),
     buckets, units = max(least, anchors // settings.bucket + 1), max(least, total // settings.unit + 1)
 
     shared = written(_meet(_send_anchors(source, settings, buckets, units), settings, units))
-
-    def spread(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(0)]]))], ["w"])
-
-    sample = shared.filter("unit = -1").select("body").mapInArrow(spread, "w long").orderBy(F.xxhash64("w"), "w").limit(20_000).toPandas()["w"].to_numpy(np.int64).view(np.uint64)
-    sample.sort()
-    splitters = np.unique(sample[np.linspace(0, len(sample) - 1, buckets + 1).astype(np.int64)[1:-1]]) if len(sample) else sample
+    splitters = _splitters(shared.filter("unit = -1").select("body"), buckets)
 
     def counted(batches):
         for batch in batches:
@@ -590,14 +650,39 @@ def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings(),
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(places)], ["key", "places"])
 
     often = shared.filter("unit = -2").select("body").mapInArrow(counted, "key long, places long").orderBy(F.desc("places"), "key").limit(settings.max_hot).toPandas()
-    hot = spark.sparkContext.broadcast(np.sort(often["key"].to_numpy(np.int64).astype(np.uint64)))
-    told = shared.filter("unit >= 0")
     context = spark.sparkContext
-    near = _in_units(source, context.broadcast(_filter_of(told, _SHARED)), units)
-    spans = written(_sorted_buckets(_send_runs(near, told, settings, splitters, hot, buckets, units), settings, buckets, units))
-    table = context.broadcast(_filter_of(spans, _SPANS))
-    changed = _cut(_in_units(source, table, units), spans, with_text)
-    plain = in_filter(source, table, False).unionAll(nameless)
+    hot = context.broadcast(np.sort(often["key"].to_numpy(np.int64).astype(np.uint64)))
+    told = shared.filter("unit >= 0")
+    near, _ = parted(source, _documents_in(told, _SHARED))
+    spans = written(_sorted_buckets(_send_runs(_in_units(near, units), told, settings, context.broadcast(splitters), hot, buckets, units), settings, buckets, units))
+    touched, plain = parted(source, _documents_in(spans, _SPANS))
+    changed = _cut(_in_units(touched, units), spans, with_text)
+    plain = plain.unionAll(nameless)
     text = F.coalesce(F.col("text"), F.lit(""))
     same = plain.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"), *([text.cast("binary").alias("kept")] if with_text else []))
     return changed.unionByName(same)
+
+
+def _splitters(sample: DataFrame, buckets: int) -> np.ndarray:
+    """Leading 16 bytes that part the sampled ones (column body, 16 bytes each) into `buckets` ranges of like size.
+
+    The sample is sorted on the cluster, where each range keeps every n-th; what comes to the driver are two
+    splitters a bucket at most, however large the sample.
+    """
+
+    def spread(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([body[k : k + 16] for body in batch.column(0).to_pylist() for k in range(0, len(body), 16)], pa.binary())], ["w"])
+
+    words = saved(sample.mapInArrow(spread, "w binary"))
+    step = max(1, words.count() // max(1, buckets))
+
+    def thin(batches):
+        seen = 0
+        for batch in batches:
+            at = np.arange((-seen - 1) % step, batch.num_rows, step)
+            seen += batch.num_rows
+            yield batch.take(pa.array(at))
+
+    ranged = words.repartitionByRange("w").sortWithinPartitions("w").mapInArrow(thin, "w binary")
+    return np.unique(np.array([bytes(r["w"]) for r in ranged.collect()], "S16"))

@@ -8,6 +8,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -39,6 +40,14 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"))
 
 
+def integer_ids(rows: DataFrame) -> DataFrame:
+    """rows with doc_id as a long. Ids of other types raise an error, since a cast would turn them to null, and so drop their documents, in silence."""
+    kind = rows.schema["doc_id"].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"ids must be integers, not {kind.simpleString()}; number the documents first")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def id_crc32(id_col: str = "doc_id") -> Column:
     """crc32 of the id written as text, the hash by which rows are held out."""
     return F.crc32(F.col(id_col).cast("string").cast("binary"))
