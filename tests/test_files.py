@@ -3,14 +3,20 @@
 import io
 import json
 import subprocess
+import sys
+import types
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 from test_engine import _docx, _xlsx
 
-from veilframe.sources.changed import Options, changed_files, load_options, save_options
-from veilframe.sources.readers import _SEGMENTERS
-from veilframe.sources.writers import replacer, rewrite_files, rewritten, splicer
+from veilframe.operators import model_service
+from veilframe.operators.splice import originals_of, replacements_of, spliced
+from veilframe.sources import optional
+from veilframe.sources.changed import Options, changed_files, create_options, load_options, save_options
+from veilframe.sources.readers import _SEGMENTERS, extract_text, usable
+from veilframe.sources.writers import process_files, replacer, rewrite_files, rewritten, splicer
 
 
 def parts(kind, suffix, data):
@@ -69,3 +75,113 @@ def test_changed_files_and_options(tmp_path):
     (tmp_path / "veilframe.json").write_text('{"nope": 1}')
     with pytest.raises(ValueError):
         load_options(str(tmp_path))
+
+
+def test_created_options(tmp_path):
+    path = create_options(str(tmp_path))
+    assert load_options(str(tmp_path)) == Options()
+    save_options(Options(engine="regex"), path)
+    assert create_options(str(tmp_path)) == path and load_options(str(tmp_path)).engine == "regex"
+
+
+def test_process_files(spark):
+    rows = [("/a/x.txt", b"v and v", {"v": "W", "d": "D"}), ("/a/y.json", b'{"k": "n"}', {"v": "W"}), ("/a/z.json", b"{broken", {"v": "W"}), ("/a/q.zip", b"", {"v": "W"}), ("/a/none", b"v", None)]
+    df = spark.createDataFrame(rows, "path string, content binary, pairs map<string,string>")
+    got = {r["path"]: (r["ok"], r["changes"], r["content"] and bytes(r["content"]), bool(r["error"])) for r in process_files(df).collect()}
+    assert got == {"/a/x.txt": (True, 3, b"W anD W", False), "/a/y.json": (True, 0, None, False), "/a/z.json": (False, 0, None, True), "/a/q.zip": (False, 0, None, True), "/a/none": (False, 0, None, True)}
+    assert {(r["path"], r["changes"], r["content"]) for r in process_files(df, dry=True).filter("ok").collect()} == {("/a/x.txt", 3, None), ("/a/y.json", 0, None)}
+
+
+def test_replacements_and_their_way_back(spark):
+    df = spark.sql("select 'Al and Bo' as t, array(named_struct('start', 0, 'end', 2, 'text', 'Al', 'type', 'PERSON'), named_struct('start', 7, 'end', 9, 'text', 'Bo', 'type', 'PERSON')) as s")
+    made = replacements_of(F.col("s"), lambda text, kind: F.concat(F.lit("<"), F.lower(kind), F.lit("-"), F.lower(text), F.lit(">")))
+    masked, back = df.select(spliced(F.col("t"), made), originals_of(made)).first()
+    assert masked == "<person-al> and <person-bo>" and back == {"<person-al>": "Al", "<person-bo>": "Bo"}
+
+
+def test_extract_text(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"x": ["one", 2, "two"]}')
+    (tmp_path / "b.txt").write_text("whole")
+    assert {r["path"].rsplit("/", 1)[1]: r["text"] for r in extract_text(spark, str(tmp_path / "a.json"), str(tmp_path / "b.txt")).collect()} == {"a.json": "one\ntwo", "b.txt": "whole"}
+
+
+def test_optional_formats():
+    told = usable()
+    assert told[".txt"] == "ok" and set(optional.capabilities()) == {".pdf", ".xls", ".doc", ".ppt"}
+    for suffix, needs in optional.capabilities().items():
+        if needs != "ok":
+            with pytest.raises(RuntimeError, match=needs):
+                optional.optional_segments(suffix, b"")
+    assert optional.cell_value(1, " a ") == " a " and optional.cell_value(2, 1.0) == "1.0" and optional.cell_value(2, 0.0) == "0.0" and optional.cell_value(0, "") == "" and optional.cell_value(4, 1) == "1"
+    assert optional.paragraph_segments("a\n \nb") == [("a", "para:0", {}), ("b", "para:2", {})]
+
+
+def test_old_word_files_through_a_program(tmp_path, monkeypatch):
+    (tmp_path / "antiword").write_text("#!/bin/sh\ncat\n")
+    (tmp_path / "antiword").chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}:/usr/bin:/bin")
+    assert optional.optional_segments(".doc", b"one\n\ntwo") == [("one", "para:0", {}), ("two", "para:2", {})]
+
+
+class _Page:
+    """What a PDF library gives of a page, as far as it is used."""
+
+    def __init__(self, *texts):
+        self.spans = [{"text": t, "bbox": (0, 0, 1, 1), "size": 9, "font": "f"} for t in texts]
+        self.redacted, self.put = [], []
+
+    def get_text(self, kind="text"):
+        return "\n".join(s["text"] for s in self.spans) if kind == "text" else {"blocks": [{"type": 1}, {"type": 0, "lines": [{"spans": self.spans}]}]}
+
+    def add_redact_annot(self, box, fill):
+        self.redacted.append(box)
+
+    def apply_redactions(self):
+        pass
+
+    def insert_text(self, at, text, fontsize, fontname):
+        self.put.append(text)
+
+
+class _Pdf(list):
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *error):
+        pass
+
+    def save(self, out):
+        out.write(repr([p.put for p in self]).encode())
+
+
+def test_pdf(monkeypatch):
+    book = _Pdf([_Page("Alice", " "), _Page("Bob and Alice", "Alice")])
+    box = lambda b: types.SimpleNamespace(x0=b[0], y1=b[3])
+    monkeypatch.setitem(sys.modules, "fitz", types.SimpleNamespace(open=lambda stream, filetype: book, Rect=box, __spec__=types.SimpleNamespace(name="fitz")))
+    monkeypatch.setattr(optional, "has_library", lambda name: True)
+    assert [(t, at) for t, at, _ in optional.pdf_segments(b"")] == [("Alice", "pdf:page0:block1:span0"), ("Bob and Alice", "pdf:page1:block1:span1"), ("Alice", "pdf:page1:block1:span2")]
+    assert optional.pdf_text(b"") == "Alice\n \nBob and Alice\nAlice"
+    out = rewritten(".pdf", b"", splicer({"pdf:page1:block1:span1": [(8, 13, "Alice", "Carol")]}))
+    assert out == b"[[], ['Bob and Carol']]"
+
+
+def test_model_service(spark):
+    tags = {"models": [{"name": "qwen3:4b-instruct"}, {"name": "other:1b"}]}
+    ask = lambda url, body, seconds: tags if body is None else {"response": body["prompt"].rsplit("\n", 2)[1].upper()}
+
+    def away(url, body, seconds):
+        raise OSError("no one there")
+
+    assert model_service.probe("http://x", "qwen3:4b-instruct", ask).model == "qwen3:4b-instruct" and model_service.probe("http://x", "qwen3:4b", ask).model == "qwen3:4b-instruct"
+    assert model_service.probe("http://x", "qwen3:30b", ask).model == "qwen3:30b" and model_service.probe("http://x", "none", ask).model is None
+    assert model_service.probe("http://x", "q", away) == model_service.Probe(False)
+    for wanted, service, word in (("none", ask, "no model none"), ("q", away, "no model service")):
+        with pytest.raises(RuntimeError, match=word):
+            model_service.ensured("http://x", wanted, service)
+    assert model_service.ensured("http://x", "other:1b", ask) == "other:1b" and "{" in model_service.PROMPT.format(text="t")
+
+
+def test_asking(spark):
+    df = spark.createDataFrame([("piece one",), (None,), ("",)], "t string")
+    reply = model_service.asking("http://x", "m", lambda url, body, seconds: {"response": f"{body['model']} {len(body['prompt']) > 100} {body['prompt'].split()[-1]}"})
+    assert [r[0] for r in df.select(reply(F.col("t"))).collect()] == ["m True one", None, None]

@@ -75,3 +75,11 @@ def load_options(folder: str) -> Options:
 def save_options(options: Options, path: str) -> None:
     with open(path, "w", encoding="utf-8") as f:
         json.dump({x.name: getattr(options, x.name) for x in fields(Options)}, f, indent=2, ensure_ascii=False)
+
+
+def create_options(folder: str) -> str:
+    """Writes an option file with the defaults, where none is, and returns its path."""
+    path = os.path.join(folder, OPTION_FILES[1])
+    if not os.path.exists(path):
+        save_options(Options(), path)
+    return path

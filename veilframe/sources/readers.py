@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions.expr import empty, let, matches
+from veilframe.sources.optional import capabilities, optional_segments
 from veilframe.types import SEGMENT
 
 ENCODINGS = ("utf-8", "utf-8-sig", "gbk", "gb2312", "latin-1")
@@ -45,6 +46,11 @@ def is_supported(path: str) -> bool:
     return bool(m) and m[1].lower() in FORMATS
 
 
+def usable() -> dict[str, str]:
+    """Of each suffix "ok", or what is missing to read it."""
+    return {suffix: "ok" for suffix in FORMATS} | capabilities()
+
+
 def supported() -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
     for suffix, kind in FORMATS.items():
@@ -218,21 +224,14 @@ def cell_text(cell: ElementTree.Element, shared: list[str]) -> str:
     return "".join(t.text or "" for t in cell.iter(f"{_S}t"))
 
 
-def _needs(library: str) -> Callable[[str, bytes], list[tuple]]:
-    def read(suffix: str, data: bytes) -> list[tuple]:
-        raise RuntimeError(f"files of type {suffix} need {library}, which is not part of this engine: convert them first")
-
-    return read
-
-
 register("text", (".txt", ".md", ".rst", ".log", ".text"))
 register("markdown", (".md", ".markdown"))
 register("json", (".json",), _json)
 register("yaml", (".yaml", ".yml"), _yaml)
 register("csv", (".csv", ".tsv"), _csv)
 register("office", (".docx", ".pptx", ".xlsx"), _office)
-register("pdf", (".pdf",), _needs("a PDF library"))
-register("legacy", (".doc", ".xls", ".ppt"), _needs("an Office suite"))
+register("pdf", (".pdf",), optional_segments)
+register("legacy", (".doc", ".xls", ".ppt"), optional_segments)
 
 
 def segments(spark: SparkSession, *paths: str) -> DataFrame:
@@ -258,3 +257,9 @@ def segments(spark: SparkSession, *paths: str) -> DataFrame:
     made = F.transform("rows", lambda r, i: F.struct(i.alias("seg_no"), r["text"].alias("text"), r["location"].alias("location"), F.lit(0).alias("start_offset"), F.lit(0).alias("end_offset"), r["metadata"].alias("metadata")))
     cut = F.when(F.col("format") == "markdown", markdown_segments(F.col("text"))).when(F.col("format") == "text", plain_segments(F.col("text"))).otherwise(with_offsets(made))
     return read_once.select("path", "format", F.explode(cut).alias("s")).select("path", "format", "s.*")
+
+
+def extract_text(spark: SparkSession, *paths: str) -> DataFrame:
+    """path and text of files of all formats: their segments' texts joined by line ends."""
+    rows = segments(spark, *paths).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seg_no", "text"))).alias("s"))
+    return rows.select("path", combined(F.col("s")).alias("text"))

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.sources.optional import pdf_rewritten
 from veilframe.sources.readers import _S, ENCODINGS, FORMATS, OFFICE, cell_text, decoded, part_texts
 
 #: From a segment's location and text to its new text.
@@ -173,7 +174,11 @@ def _office(suffix: str, data: bytes, edit: Edit) -> bytes:
     return out.getvalue()
 
 
-_WRITERS: dict[str, Callable[[str, bytes, Edit], bytes]] = {"text": _plain, "markdown": _plain, "json": _json, "yaml": _yaml, "csv": _csv, "office": _office}
+def _pdf(suffix: str, data: bytes, edit: Edit) -> bytes:
+    return pdf_rewritten(data, edit)
+
+
+_WRITERS: dict[str, Callable[[str, bytes, Edit], bytes]] = {"pdf": _pdf, "text": _plain, "markdown": _plain, "json": _json, "yaml": _yaml, "csv": _csv, "office": _office}
 
 
 def rewritten(suffix: str, data: bytes, edit: Edit) -> bytes:
@@ -231,3 +236,26 @@ def splice_files(files: DataFrame) -> DataFrame:
         return pd.Series(out)
 
     return files.select("path", change("path", "content", "edits").alias("content"))
+
+
+def process_files(files: DataFrame, dry: bool = False) -> DataFrame:
+    """path, ok, changes, content, error of files (path, content, pairs: map of what is replaced by what).
+
+    changes counts what the segments hold of each key by itself. A file without any, and each file of a dry run, has
+    no new content; a file that can't be read or written says why.
+    """
+
+    @F.pandas_udf("struct<ok:boolean,changes:long,content:binary,error:string>")
+    def process(path: pd.Series, content: pd.Series, pairs: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, c, m in zip(path, content, pairs, strict=True):
+            suffix, own, found = (re.search(r"(\.[^./\\]+)$", p) or [None, ""])[1].lower(), dict(m) if m is not None else {}, []
+            try:
+                rewritten(suffix, c, lambda at, text, found=found: found.append(text) or text)
+                n = sum(text.count(key) for text in found for key in own if key)
+                out.append((True, n, rewritten(suffix, c, replacer(own)) if n and not dry else None, None))
+            except Exception as problem:  # noqa: BLE001  whatever is wrong with one file must not stop the others
+                out.append((False, 0, None, str(problem)))
+        return pd.DataFrame(out, columns=["ok", "changes", "content", "error"])
+
+    return files.select("path", process("path", "content", "pairs").alias("r")).select("path", "r.*")
