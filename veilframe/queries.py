@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import json
+import re
+import zipfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,16 +15,18 @@ from veilframe.functions import masks
 from veilframe.functions.expr import column_number, matches, valid_identity
 from veilframe.operators import detect as layers
 from veilframe.operators import vault as vaults
-from veilframe.operators.merge import recognised
-from veilframe.operators.names import name_layer
-from veilframe.operators.recognisers import anonymised, counted_entities, pattern_layer
+from veilframe.operators.merge import deduplicated, first_wins, recognised
+from veilframe.operators.names import NameRules, name_layer
+from veilframe.operators.recognisers import analysed, anonymised, counted_entities, pattern_layer, verified
 from veilframe.operators.recognisers import first_types as layers_by_model
-from veilframe.operators.splice import potential, replaced, spliced
-from veilframe.operators.tokens import bioes_spans, line_chunks, mapped_back, model_type, reply_entities, row_context, scanned
+from veilframe.operators.smart_names import smart_layer
+from veilframe.operators.splice import originals_of, potential, replaced, replacements_of, spliced
+from veilframe.operators.tokens import bioes_spans, label_type, line_chunks, mapped_back, model_type, refined, reply_entities, row_context, scanned, sectioned_reply
 from veilframe.plans import engine
 from veilframe.plans.stage import saved
 from veilframe.sources.changed import newly_changed
-from veilframe.sources.readers import combined, format_of, leaves, markdown_segments, with_offsets
+from veilframe.sources.readers import combined, format_of, leaves, markdown_segments, segments_of, with_offsets
+from veilframe.sources.writers import process_files, splice_files
 
 #: Contact cards made of customers; both SQL dialects can run it. Every offset in a card is known.
 _LOCAL = "'user' || lpad(cast(c_custkey as {s}), 6, '0')"
@@ -525,6 +530,194 @@ def model_scan(spark, sf_dir):
     return scanned(docs, ask)
 
 
+@query("""with recursive s as (select id, row_number() over (partition by id order by a, score desc, k) as i, a, b, score from (""" + _SPAN_SETS + """)),
+f as (select id, i, a, b, score, b as reach, true as kept from s where i = 1 union all
+select s.id, s.i, s.a, s.b, s.score, case when s.a < f.reach then f.reach else s.b end, s.a >= f.reach from f join s on s.id = f.id and s.i = f.i + 1)
+select id, a as "start", b as "end", score from f where kept""")
+def first_wins_spans(spark, sf_dir):
+    """Spans by start and confidence, without those that overlap one kept before."""
+    return _settled(spark, sf_dir, first_wins)
+
+
+@query("select id, a as \"start\", b as \"end\", arg_min(score, k) as score from (" + _SPAN_SETS + ") group by 1, 2, 3")
+def deduplicated_spans(spark, sf_dir):
+    """The first of spans with one place, text and type."""
+    return _settled(spark, sf_dir, deduplicated)
+
+
+def _settled(spark, sf_dir, how) -> DataFrame:
+    rows = _sql(spark, sf_dir, _SPAN_SETS, "orders")
+    x = F.struct(F.lit(0).alias("seq"), F.col("a").alias("start"), F.col("b").alias("end"), F.lit("").alias("text"), F.lit("UNKNOWN").alias("type"), F.lit("regex").alias("source"), F.col("score").alias("confidence"), F.lit(None).cast("string").alias("reason"))
+    sets = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", x.alias("x")))).alias("s")).select("id", layers.numbered(F.transform("s", lambda e: e["x"])).alias("spans"))
+    return sets.select("id", F.explode(how(F.col("spans"))).alias("s")).select("id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.confidence").alias("score"))
+
+
+@query(f"""select doc_id, 4 as "start", 6 as "end", substring(text, 5, 2) as text, 'PERSON' as type, cast(0.75 as double) as confidence from ({CARDS_DUCK}) union all
+select doc_id, 10, 21, substring(text, 11, 11), 'PHONE_NUMBER', cast(0.9 as double) from ({CARDS_DUCK})""")
+def pattern_engine(spark, sf_dir):
+    """Cards as the pattern engine reports them: names behind a context word are surer than names alone."""
+    found = _rows(_cards(spark, sf_dir), "doc_id", analysed(F.col("text"), ["PERSON", "PHONE_NUMBER"]))
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"select doc_id, 10 as \"start\", 21 as \"end\", case when doc_id % 3 = 0 then cast(1.0 as double) else cast(0.9 as double) end as confidence from ({CARDS_DUCK}) where doc_id % 3 < 2")
+def verified_spans(spark, sf_dir):
+    """Phones that a model confirms, says nothing about, or rejects."""
+    reply = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 11, 11), F.lit(":Y"))).when(F.col("doc_id") % 3 == 2, F.concat(F.substring("text", 11, 11), F.lit(":n, x:Y"))).otherwise("")
+    found = _rows(_cards(spark, sf_dir), "doc_id", verified(analysed(F.col("text"), ["PHONE_NUMBER"]), reply))
+    return found.select("doc_id", "start", "end", F.round("confidence", 6).alias("confidence"))
+
+
+_NAMED = "select c_custkey as k, case c_custkey % 6 when 0 then '王小明老师' when 1 then '见王小明' when 2 then '公司：王小明' when 3 then '负责人：王小明。' when 4 then '王芳 李娜 张伟' else '欧阳小雪：' end as text from customer"
+
+
+@query(f"""with n as ({_duck(_NAMED)})
+select k, 0 as "start", 3 as "end", '王小明' as text, cast(0.85 as double) as confidence, 'single_surname' as reason from n where k % 6 = 0 union all
+select k, 4, 7, '王小明', 0.85, 'colon_structure' from n where k % 6 = 3 union all
+select k, 3 * u, 3 * u + 2, substring(text, cast(3 * u + 1 as int), 2), 0.75, 'name_list' from n, (select unnest([0, 1, 2]) as u) where k % 6 = 4""")
+def name_confidence(spark, sf_dir):
+    """Names by label, surname and list; what stands around them decides, and how sure they are."""
+    rows = _sql(spark, sf_dir, _NAMED, "customer")
+    found = rows.select("k", F.explode(name_layer(F.col("text"), NameRules(strict=True))).alias("s")).select("k", "s.start", "s.end", "s.text", F.round("s.confidence", 6).alias("confidence"), "s.reason")
+    return found.filter("k % 6 != 3 or reason = 'colon_structure'")
+
+
+_WORDS = "select c_custkey as k, case c_custkey % 5 when 0 then '王小明 老师' when 1 then '高级教师 老师' when 2 then '姓名： 韩 潇' when 3 then '淳安县 同学' else '只有 王小明' end as text from customer"
+
+
+@query("""select c_custkey as k, 0 as "start", 3 as "end", '王小明' as text, cast(0.8 as double) as confidence, 'jieba_word_name' as reason from customer where c_custkey % 5 = 0 union all
+select c_custkey, 3, 6, '王小明', 0.6, 'jieba_word_name' from customer where c_custkey % 5 = 4""")
+def smart_name_words(spark, sf_dir):
+    """Names among words that blanks part: known words and administrative units are none."""
+    segment = lambda text: [(m[0], m.start(), m.end()) for m in re.finditer("[^ ]+", text)]
+    rows = _sql(spark, sf_dir, _WORDS, "customer")
+    return rows.select("k", F.explode(smart_layer(F.col("text"), segment)).alias("s")).select("k", "s.start", "s.end", "s.text", F.round("s.confidence", 6).alias("confidence"), "s.reason").filter("not reason like '%normalized'")
+
+
+_MORE = "select o_orderkey as c, cast(110101199001010000 + o_orderkey % 1000 as {s}) as id, 'user@mail.org' as mail, '北京路' || cast(o_orderkey % 90 + 10 as {s}) || '号A' as place, '某某大学' as org, 'sk-' || lpad(cast(o_orderkey as {s}), 9, '0') as secret, 'none' as word from orders"
+
+
+@query(f"""with m as ({_duck(_MORE)}), n as (select *, '110101' || cast(1980 + (c // 366) % 30 as varchar) || lpad(cast((c % 366) // 31 + 1 as varchar), 2, '0') || lpad(cast((c % 366) % 31 + 1 as varchar), 2, '0') || lpad(cast(c % 1000 as varchar), 3, '0') as base from m)
+select c, base || {_CHECK} as id, substring(rpad(printf('u%03d', c), 4, 'x'), 1, 4) || '@mail.org' as mail, '某某某' || right(printf('%04d', c), 2) || '某X' as place, substring(rpad(printf('组织%02d', c), 4, 'X'), 1, 4) as org from n""")
+def mask_forms_of_ids(spark, sf_dir):
+    """Masks of identity numbers with a right check character, of addresses, local parts and organisations."""
+    rows, c = _sql(spark, sf_dir, _MORE, "orders"), F.col("c")
+    kinds = {"id": "IDCN", "mail": "EMAIL", "place": "ADDRESS", "org": "ORG"}
+    return rows.select("c", *[masks.mask(F.lit(kind), F.col(name), c).alias(name) for name, kind in kinds.items()])
+
+
+@query("select c_custkey as k, substring(sha256(c_name || ':' || c_mktsegment), 1, 16) as project from customer")
+def project_ids(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), vaults.project_id(F.col("c_name"), F.col("c_mktsegment")).alias("project"))
+
+
+_KINDS = "PERSON NAME PHONE PHONE_NUMBER EMAIL EMAIL_ADDRESS ID IDCN CN_ID_CARD ADDRESS LOCATION DATE DATE_TIME URL HEALTH".split()
+_KNOWN_AS = "PERSON PERSON PHONE PHONE EMAIL EMAIL IDCN IDCN IDCN ADDRESS ADDRESS DATE_TIME DATE_TIME URL UNKNOWN".split()
+_LABELS = "account_number private_address private_date private_email private_person private_phone private_url secret other".split()
+_LABELLED = "ACCOUNT_NUMBER ADDRESS DATE_TIME EMAIL PERSON PHONE URL SECRET UNKNOWN".split()
+
+
+def _list_sql(values) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in values) + "]"
+
+
+@query(f"select p_partkey as k, {_list_sql(_KNOWN_AS)}[p_partkey % 15 + 1] as by_model, {_list_sql(_LABELLED)}[p_partkey % 9 + 1] as by_filter from part")
+def type_names(spark, sf_dir):
+    """What a language model's and a token classifier's names of types are called here."""
+    pick = lambda values: F.get(F.array(*[F.lit(x) for x in values]), (F.col("p_partkey") % len(values)).cast("int"))
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), model_type(F.concat(F.lit(" "), F.lower(pick(_KINDS)))).alias("by_model"), label_type(pick(_LABELS)).alias("by_filter"))
+
+
+@query("select c_custkey as k, case when c_custkey % 3 = 2 then 'DATE_TIME' else 'ORG' end as type, case c_custkey % 3 when 0 then '浙江师范学校' when 1 then '杭州大学' else '1971.11' end as text, case c_custkey % 3 when 0 then 12 when 1 then 17 else 10 end as \"start\" from customer")
+def refined_dates(spark, sf_dir):
+    """Dates that swallowed a school's name give way to it."""
+    text = F.when(F.col("c_custkey") % 3 == 0, "9.浙江师范学校毕业").when(F.col("c_custkey") % 3 == 1, "2001年9月 杭州大学学习").otherwise("1971.11")
+    x = F.struct(F.lit(10).alias("start"), (F.length(text) + 10).alias("end"), text.alias("text"))
+    spans = refined(F.array(layers.span(x, "DATE_TIME", "privacy_filter", 1.0, "privacy_filter:private_date")))
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.explode(spans).alias("s")).select("k", "s.type", "s.text", F.col("s.start").alias("start"))
+
+
+def _made_files(spark, sf_dir) -> DataFrame:
+    """path and content of files of eight formats made of nations, with the nation's key and name."""
+    n = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    kinds = n.select("*", F.explode(F.array(*[F.lit(x) for x in ("txt", "md", "json", "csv", "yaml", "docx", "pptx", "xlsx")])).alias("kind"))
+
+    @F.pandas_udf("binary")
+    def make(kind: pd.Series, name: pd.Series) -> pd.Series:
+        return pd.Series([_made(k, x) for k, x in zip(kind, name, strict=True)])
+
+    return kinds.select("n_nationkey", "n_name", "kind", F.concat(F.lit("/d/f"), F.col("n_nationkey").cast("string"), F.lit("."), F.col("kind")).alias("path"), make("kind", "n_name").alias("content"))
+
+
+def _made(kind: str, name: str) -> bytes:
+    if kind in ("docx", "pptx", "xlsx"):
+        part, body = {
+            "docx": ("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>{a}</w:t></w:r><w:r><w:t>{b}</w:t></w:r></w:p><w:p><w:r><w:t>end</w:t></w:r></w:p></w:body></w:document>'),
+            "pptx": ("ppt/slides/slide1.xml", '<p:sld xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:p><a:r><a:t>{a}</a:t></a:r><a:r><a:t>{b}</a:t></a:r></a:p><a:p><a:r><a:t>end</a:t></a:r></a:p></p:sld>'),
+            "xlsx": ("xl/worksheets/sheet1.xml", '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>{a}{b}</t></is></c><c r="B1" t="inlineStr"><is><t>end</t></is></c><c r="C1"><v>5</v></c></row></sheetData></worksheet>'),
+        }[kind]
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as box:
+            box.writestr(part, body.format(a=name[:3], b=name[3:]))
+        return out.getvalue()
+    return {"txt": f"{name}\nend", "md": f"{name} `code` end", "json": json.dumps({"k": {"name": [name, 1]}, "e": "end"}), "csv": f"{name},end\n", "yaml": f"k:\n  name: [{name}, 1]\ne: end\n"}[kind].encode()
+
+
+#: Segments of those files: of each kind the number, text and place of each.
+_MADE_SQL = """select k, kind, seg_no, case when seg_no = 0 then replace(first, '@', n_name) else second end as text, case when seg_no = 0 then place0 else place1 end as location from
+(select n_nationkey as k, n_name, length(n_name) as l from nation), lateral (select * from (values ('txt', '@' || chr(10) || 'end', null, 'file', null), ('md', '@ ', ' end', 'text:0-' || cast(l + 1 as varchar), 'text:' || cast(l + 7 as varchar) || '-' || cast(l + 11 as varchar)), ('json', '@', 'end', 'json:k.name[0]', 'json:e'),
+('csv', '@', 'end', 'csv:row0:col0', 'csv:row0:col1'), ('yaml', '@', 'end', 'yaml:k.name[0]', 'yaml:e'), ('docx', '@', 'end', 'word/document.xml:0', 'word/document.xml:1'), ('pptx', '@', 'end', 'ppt/slides/slide1.xml:0', 'ppt/slides/slide1.xml:1'), ('xlsx', '@', 'end', 'xl/worksheets/sheet1.xml:A1', 'xl/worksheets/sheet1.xml:B1')) t(kind, first, second, place0, place1)), (select unnest([0, 1]) as seg_no) where seg_no = 0 or second is not null"""
+
+
+@query(_MADE_SQL)
+def file_segments(spark, sf_dir):
+    """Files of eight formats as segments, with their places."""
+    files = _made_files(spark, sf_dir)
+    found = segments_of(files).join(files.select("path", F.col("n_nationkey").alias("k"), "kind"), "path")
+    return found.select("k", "kind", "seg_no", "text", "location")
+
+
+@query(f"select k, kind, seg_no, case when seg_no = 0 then replace(text, n_name, '<' || cast(k as varchar) || '>') else text end as text, location, changes from (select * exclude (location), case when kind = 'md' then 'text' else location end as location, cast(1 as bigint) as changes from ({_MADE_SQL})) join nation on n_nationkey = k")
+def processed_files(spark, sf_dir):
+    """Files of eight formats with a value replaced, read again."""
+    files = _made_files(spark, sf_dir)
+    pairs = F.create_map("n_name", F.concat(F.lit("<"), F.col("n_nationkey").cast("string"), F.lit(">")))
+    done = saved(process_files(files.select("path", "content", pairs.alias("pairs"))))
+    found = segments_of(done.select("path", "content")).join(files.select("path", F.col("n_nationkey").alias("k"), "kind"), "path").join(done.select("path", "changes"), "path")
+    place = F.when(F.col("kind") == "md", "text").otherwise(F.col("location"))  # places in Markdown move with the texts before them
+    return found.select("k", "kind", "seg_no", "text", place.alias("location"), "changes")
+
+
+@query(f"select k, kind, seg_no, case when seg_no = 0 and kind in ('docx', 'pptx', 'xlsx') then '#' || substring(text, 2) else text end as text from ({_MADE_SQL}) where kind in ('docx', 'pptx', 'xlsx', 'json', 'txt')")
+def spliced_files(spark, sf_dir):
+    """Edits by place: the first letter of the first segment of Office files, and nothing where the original is not what stands there."""
+    files = _made_files(spark, sf_dir).filter("kind in ('docx', 'pptx', 'xlsx', 'json', 'txt')")
+    place = F.when(F.col("kind") == "docx", "word/document.xml:0").when(F.col("kind") == "pptx", "ppt/slides/slide1.xml:0").when(F.col("kind") == "xlsx", "xl/worksheets/sheet1.xml:A1").when(F.col("kind") == "json", "json:k.name[0]").otherwise("file")
+    fits = F.when(F.col("kind").isin("json", "txt"), "?").otherwise(F.substring("n_name", 1, 1))
+    edits = F.array(F.struct(place.alias("location"), F.lit(0).alias("start"), F.lit(1).alias("end"), fits.alias("original"), F.lit("#").alias("masked")))
+    done = splice_files(files.select("path", "content", edits.alias("edits")))
+    return segments_of(done).join(files.select("path", F.col("n_nationkey").alias("k"), "kind"), "path").select("k", "kind", "seg_no", "text")
+
+
+@query(f"select doc_id, '<person ' || substring(text, 5, 2) || '>' as masked, substring(text, 5, 2) as original from ({CARDS_DUCK})")
+def span_replacements(spark, sf_dir):
+    """Replacements made of spans by a function, and the way back from their masks."""
+    spans = layers.person_fields(F.col("text"))
+    made = replacements_of(spans, lambda text, kind: F.concat(F.lit("<"), F.lower(kind), F.lit(" "), text, F.lit(">")))
+    return _cards(spark, sf_dir).select("doc_id", F.explode(originals_of(made)).alias("masked", "original"))
+
+
+@query("select c_custkey as k, case when c_custkey % 2 = 0 then '甲' || cast(c_custkey as varchar) else '甲' || cast(c_custkey as varchar) || '2' end as second, case when c_custkey % 2 = 0 then 'UNKNOWN' else 'PERSON' end as type from customer")
+def sectioned_replies(spark, sf_dir):
+    """Older replies of a model: a replacement that an earlier line has gets a number."""
+    k = F.col("c_custkey").cast("string")
+    first = F.when(F.col("c_custkey") % 2 == 0, "乙").otherwise(F.concat(F.lit("甲"), k))
+    last = F.when(F.col("c_custkey") % 2 == 0, "").otherwise(" | PERSON")
+    reply = F.concat(F.lit("===脱敏文本===\nx\n===映射表===\na -> "), first, F.lit("\nb -> 甲"), k, last)
+    got = sectioned_reply(reply)
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), got["mappings"]["b"].alias("second"), got["types"]["b"].alias("type"))
+
+
 def masked_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: contact cards, masked."""
     return masked_documents(spark, sf_dir)

@@ -235,12 +235,16 @@ register("legacy", (".doc", ".xls", ".ppt"), optional_segments)
 
 
 def segments(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, format, seg_no, text, location, start_offset, end_offset, metadata of files of all formats.
+    """path, format, seg_no, text, location, start_offset, end_offset, metadata of files of all formats, each read once."""
+    return segments_of(spark.read.format("binaryFile").load(list(paths)).select("path", "content"))
 
-    Text and Markdown are cut by expressions, the others by a batched function over the files' bytes. Each file is read
-    once.
+
+def segments_of(files: DataFrame) -> DataFrame:
+    """segments() of a table of files (path, content), wherever they come from.
+
+    Text and Markdown are cut by expressions, the others by a batched function over the files' bytes.
     """
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content", format_of(F.col("path")).alias("format")).filter("format is not null")
+    files = files.select("path", "content", format_of(F.col("path")).alias("format")).filter("format is not null")
     is_text = F.col("format").isin("text", "markdown")
     valid = F.try_validate_utf8(F.col("content").cast("string"))
 
