@@ -628,7 +628,7 @@ def type_names(spark, sf_dir):
     return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), model_type(F.concat(F.lit(" "), F.lower(pick(_KINDS)))).alias("by_model"), label_type(pick(_LABELS)).alias("by_filter"))
 
 
-@query("select c_custkey as k, case when c_custkey % 3 = 2 then 'DATE_TIME' else 'ORG' end as type, case c_custkey % 3 when 0 then '浙江师范学校' when 1 then '杭州大学' else '1971.11' end as text, case c_custkey % 3 when 0 then 12 when 1 then 17 else 10 end as \"start\" from customer")
+@query("select c_custkey as k, case when c_custkey % 3 = 2 then 'DATE_TIME' else 'ORG' end as type, case c_custkey % 3 when 0 then '浙江师范学校' when 1 then '杭州大学' else '1971.11' end as text, case c_custkey % 3 when 0 then 12 when 1 then 18 else 10 end as \"start\" from customer")
 def refined_dates(spark, sf_dir):
     """Dates that swallowed a school's name give way to it."""
     text = F.when(F.col("c_custkey") % 3 == 0, "9.浙江师范学校毕业").when(F.col("c_custkey") % 3 == 1, "2001年9月 杭州大学学习").otherwise("1971.11")
