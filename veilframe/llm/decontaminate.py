@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from veilframe.llm.components import written
-from veilframe.llm.textio import bound_batches, id_and_text, text_buffer, text_offsets
+from veilframe.llm.textio import bound_batches, id_and_text, release, text_buffer, text_offsets
 
 #: Upper to lower case for A-Z; every other byte outside 0-9, a-z and 0x80-0xFF becomes a blank.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -189,17 +189,20 @@ def _scan(parts: list, window: int, texts: list[bytes]) -> list[tuple[list[list[
 
 
 def _portions(batches, place: int, several: bool):
-    """(batch, texts as bytes) one by one; where there are several blocks, batches are joined up to _HELD_BYTES first."""
+    """(batch, texts as bytes) one by one, of 256 rows at most; where there are several blocks, batches are joined up to _HELD_BYTES first."""
     held, size = [], 0
     for batch in batches:
-        if batch.num_rows:
+        if batch.num_rows and not several:
+            yield from (_joined([batch.slice(low, 256)], place) for low in range(0, batch.num_rows, 256))
+        elif batch.num_rows:
             held.append(batch)
             size += batch.column(place).nbytes
-        if held and (not several or size >= _HELD_BYTES):
+        if size >= _HELD_BYTES:
             yield _joined(held, place)
             held, size = [], 0
     if held:
         yield _joined(held, place)
+    release()
 
 
 def _joined(held: list[pa.RecordBatch], place: int) -> tuple[pa.RecordBatch, list[bytes]]:

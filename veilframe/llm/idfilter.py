@@ -7,6 +7,8 @@ the join behind it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -15,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.llm.shingles import mix64
-from veilframe.llm.textio import bound_batches
+from veilframe.llm.textio import bound_batches, release
 
+#: Takes some rows out of a batch.
+Keep = Callable[[pa.RecordBatch], pa.RecordBatch]
 #: Ids up to which a filter is broadcast.
 MOST = 1 << 23
 
@@ -35,8 +39,12 @@ def holds(ids: np.ndarray, words: np.ndarray) -> np.ndarray:
     return ((words[a >> 6] >> (a & 63)) & (words[b >> 6] >> (b & 63)) & 1) == 1
 
 
-def id_filter(ids: DataFrame, bits: int) -> np.ndarray:
-    """The filter of the ids in the first column of a DataFrame, as 64-bit words.
+def _first_column(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).drop_null().to_numpy()
+
+
+def id_filter(ids: DataFrame, bits: int, ids_of: Callable[[pa.RecordBatch], np.ndarray] = _first_column) -> np.ndarray:
+    """The filter, as 64-bit words, of the ids that ids_of finds in the batches of a DataFrame, by default in its first column.
 
     Each task fills a filter of its own and sends the parts of it that are not empty, compressed; equal parts meet
     in one task, which joins them as they stream by, and the joined ones come to the driver.
@@ -46,7 +54,7 @@ def id_filter(ids: DataFrame, bits: int) -> np.ndarray:
     def fill(batches):
         table = np.zeros(1 << (bits - 6), np.int64)
         for batch in batches:
-            for spot in _spots(np.unique(batch.column(0).drop_null().to_numpy()), bits):
+            for spot in _spots(np.unique(ids_of(batch)), bits):
                 np.bitwise_or.at(table, spot >> 6, np.int64(1) << (spot & 63))
         cut = table.reshape(parts, -1)
         full = np.flatnonzero(cut.any(1))
@@ -66,26 +74,45 @@ def id_filter(ids: DataFrame, bits: int) -> np.ndarray:
     return table.reshape(-1)
 
 
-def _passing(docs: DataFrame, table, inside: bool, id_col: str) -> DataFrame:
-    bound_batches(docs.sparkSession)
-    place = docs.columns.index(id_col)
-
-    def choose(batches):
-        for batch in batches:
-            ids = batch.column(place)
-            known = np.asarray(ids.is_valid()) & holds(ids.cast(pa.int64()).fill_null(0).to_numpy(), table.value)
-            yield batch.filter(pa.array(known == inside))
+def _keeper(table, inside: bool, place: int) -> Keep:
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column(place)
+        known = np.asarray(ids.is_valid()) & holds(ids.cast(pa.int64()).fill_null(0).to_numpy(), table.value)
+        return batch.filter(pa.array(known == inside))
 
-    return docs.mapInArrow(choose, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+    return keep
 
 
-def parted(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """docs, all columns kept, in two parts: the rows whose id is among `ids` (integers, first column), with a few
-    others, and the rest. Rows without an id are in the rest. `ids` is computed twice, so it should be saved."""
+def narrowed(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", most: int = MOST) -> tuple[tuple[DataFrame, Keep], tuple[DataFrame, Keep]]:
+    """parted() for functions that see the rows in Arrow batches anyway: for each of the two parts a DataFrame, and what
+    takes the part's rows out of one of its batches, so that no further worker is needed for that."""
     n = ids.count()
     if n > most:
         wanted = ids.select(F.col(ids.columns[0]).alias("__wanted")).distinct()
         same = docs[id_col] == wanted["__wanted"]
-        return docs.join(wanted, same, "left_semi"), docs.join(wanted, same, "left_anti")
-    table = docs.sparkSession.sparkContext.broadcast(id_filter(ids, filter_bits(n)))
-    return _passing(docs, table, True, id_col), _passing(docs, table, False, id_col)
+        return (docs.join(wanted, same, "left_semi"), lambda batch: batch), (docs.join(wanted, same, "left_anti"), lambda batch: batch)
+    table, place = docs.sparkSession.sparkContext.broadcast(id_filter(ids, filter_bits(n))), docs.columns.index(id_col)
+    return (docs, _keeper(table, True, place)), (docs, _keeper(table, False, place))
+
+
+def parted(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", most: int = MOST, table: np.ndarray | None = None) -> tuple[DataFrame, DataFrame]:
+    """docs, all columns kept, in two parts: the rows whose id is among `ids` (integers, first column), with a few
+    others, and the rest. Rows without an id are in the rest. `ids` is computed twice, so it should be saved. Where the
+    caller has a filter of the ids as `table`, ids are not looked at."""
+    bound_batches(docs.sparkSession)
+    kind = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
+
+    def part(rows: DataFrame, keep: Keep) -> DataFrame:
+        def choose(batches):
+            for batch in batches:
+                yield keep(batch)
+            release()
+
+        return rows.mapInArrow(choose, kind) if rows is docs else rows
+
+    if table is None:
+        inside, outside = narrowed(docs, ids, id_col, most)
+    else:
+        shared, place = docs.sparkSession.sparkContext.broadcast(table), docs.columns.index(id_col)
+        inside, outside = (docs, _keeper(shared, True, place)), (docs, _keeper(shared, False, place))
+    return part(*inside), part(*outside)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.components import components, saved, written
-from veilframe.llm.idfilter import parted
+from veilframe.llm.idfilter import Keep, narrowed, parted
 from veilframe.llm.shingles import digested_sets, mix64, shingle_sets
 from veilframe.llm.textio import id_and_text, integer_ids, release
 
@@ -45,7 +45,7 @@ class JaccardSettings:
     seeds: int = 6
     agree: int = 4
     posting_cost: float = 4.0
-    bucket: int = 1 << 20
+    bucket: int = 1 << 19
     tries: int = 8
     sketch: int = 16384
 
@@ -190,14 +190,14 @@ def _sketch(tokens: np.ndarray, bits: int) -> bytes:
     return np.packbits((np.bincount(spots.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def _prefixes(source: DataFrame, settings: JaccardSettings, boundary: int, order) -> DataFrame:
+def _prefixes(source: DataFrame, keep: Keep, settings: JaccardSettings, boundary: int, order) -> DataFrame:
     """id, n and posts (int64 keys as bytes), the whole prefix of every set that goes into inverted lists. Rows without an id have none."""
     lists_from = settings.least_size(boundary + 1)
     names, types = ["id", "n", "posts"], [pa.int64(), pa.int32(), pa.binary()]
 
     def post(batches):
         known = _Order(*order.value)
-        for batch in batches:
+        for batch in map(keep, batches):
             ids, rows, held = batch.column(0).to_pylist(), [], 0
             for row, tokens in shingle_sets(batch.column(1), settings.k):
                 if len(tokens) >= lists_from and ids[row] is not None:
@@ -212,12 +212,12 @@ def _prefixes(source: DataFrame, settings: JaccardSettings, boundary: int, order
     return source.mapInArrow(post, "id long, n int, posts binary")
 
 
-def _sketches(source: DataFrame, settings: JaccardSettings) -> DataFrame:
+def _sketches(source: DataFrame, keep: Keep, settings: JaccardSettings) -> DataFrame:
     """id, n and the parity sketch of every set."""
     names, types = ["id", "n", "sketch"], [pa.int64(), pa.int32(), pa.binary()]
 
     def draw(batches):
-        for batch in batches:
+        for batch in map(keep, batches):
             ids = batch.column(0).to_pylist()
             yield _batch(names, [(ids[row], len(t), _sketch(t, int(_sketch_bits(len(t), settings.sketch)))) for row, t in shingle_sets(batch.column(1), settings.k) if len(t) and ids[row] is not None], types)
         release()
@@ -453,6 +453,7 @@ def _meetings(rows: DataFrame, settings: JaccardSettings, buckets: int, order) -
         keys, place = keys[shared], place[shared]
         by = np.lexsort((place, ids[place]))
         out = pa.table(told(_SHARED, keys[by], ids[place][by], classes[place][by]), names)
+        del parts, own, size, run, length, before, behind, i, left, right, shared, start
         release()
         return out
 
@@ -531,7 +532,7 @@ def _list_pairs(dealt: DataFrame, settings: JaccardSettings, boundary: int, trie
 
         k = 0
         while k < len(place):
-            stop = max(k + 1, int(np.searchsorted(done, (done[k - 1] if k else 0) + (1 << 20), "right")))
+            stop = max(k + 1, int(np.searchsorted(done, (done[k - 1] if k else 0) + (1 << 19), "right")))
             count = span[k:stop]
             v = np.repeat(np.arange(k, stop), count)
             u = np.arange(len(v)) + np.repeat(low[k:stop] - np.cumsum(count) + count, count)
@@ -553,7 +554,7 @@ def _list_pairs(dealt: DataFrame, settings: JaccardSettings, boundary: int, trie
             if ok.any():
                 found.append((u[ok], v[ok], gap[ok] / (n[u] + n[v])[ok], np.zeros(int(ok.sum()), bool)))
                 size += int(ok.sum())
-                if size > 1 << 20:
+                if size > 1 << 18:
                     found[:] = [best()]
                     size = len(found[0][0])
         u, v, _, more = best() if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
@@ -569,10 +570,10 @@ def _list_pairs(dealt: DataFrame, settings: JaccardSettings, boundary: int, trie
 def _verified(pairs: DataFrame, source: DataFrame, settings: JaccardSettings) -> DataFrame:
     """The pairs u, v whose sets link, by exact intersection."""
     wanted = saved(pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))).distinct())
-    few, _ = parted(source, wanted)
+    (few, kept), _ = narrowed(source, wanted)
 
     def content(batches):
-        for batch in batches:
+        for batch in map(kept, batches):
             ids, rows, held = batch.column(0).to_pylist(), [], 0
             for row, tokens in shingle_sets(batch.column(1), settings.k):
                 rows.append((ids[row], tokens.tobytes()))
@@ -594,6 +595,7 @@ def _verified(pairs: DataFrame, source: DataFrame, settings: JaccardSettings) ->
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= settings.percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     with_u = pairs.join(sets.select(F.col("id").alias("u"), F.col("content").alias("a")), "u")
     full = with_u.join(sets.select(F.col("id").alias("v"), F.col("content").alias("b")), "v").select("u", "v", "a", "b")
@@ -654,8 +656,8 @@ def jaccard_classes(docs: DataFrame, settings: JaccardSettings = JaccardSettings
     classed = nodes.filter("seeds is not null").select("id").join(first, "id", "left").select("id", F.coalesce("component", "id").alias("class"))
     alone = nodes.select("id").join(first.select("id"), "id", "left_anti")
     others = saved(signed.filter("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct().join(alone, "id", "left_anti"))
-    looked_up, single = parted(source, others)
-    posts = _prefixes(looked_up, settings, boundary, order).join(classed, "id").unionByName(_prefixes(single, settings, boundary, order).withColumn("class", F.col("id")))
+    looked_up, single = narrowed(source, others)
+    posts = _prefixes(*looked_up, settings, boundary, order).join(classed, "id").unionByName(_prefixes(*single, settings, boundary, order).withColumn("class", F.col("id")))
     met = saved(_meetings(posts, settings, buckets, order))
     mixed = spark.sparkContext.broadcast(np.sort(met.filter(F.col("kind") == _KEY).select("id").toPandas()["id"].to_numpy(np.int64)))
     meeting = saved(_kept_keys(met, mixed))
@@ -663,8 +665,8 @@ def jaccard_classes(docs: DataFrame, settings: JaccardSettings = JaccardSettings
     left = meeting.agg(F.sum("met")).first()[0] or 0
     final, tries, rows = first, settings.tries, None
     if left:
-        few, _ = parted(source, meeting.select("id"))
-        rows = written(_sketches(few, settings).join(meeting, "id"))
+        few, _ = narrowed(source, meeting.select("id"))
+        rows = written(_sketches(*few, settings).join(meeting, "id"))
     while left:
         across = saved(_list_pairs(_dealt(rows, settings, int(left) // settings.bucket + 1, order), settings, boundary, tries))
         if across.isEmpty():

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.llm.textio import bound_batches, has_letter, text_buffer, text_offsets
+from veilframe.llm.textio import bound_batches, has_letter, release, text_buffer, text_offsets
 
 #: A-Z as a-z; digits, signs and blanks as one blank; bytes of other scripts as they are.
 _PLAIN = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint32)
@@ -30,7 +30,7 @@ class LanguageSettings:
     train_rows: labelled texts fitted on at most, taken in the order of a hash of their id. landmarks: so many of them, dealt evenly over the languages.
     ridge: weight of the squared norm. sharpness: of the softmax that turns regression values into a score."""
 
-    width: int = 16384
+    width: int = 8192
     train_rows: int = 3000
     landmarks: int = 256
     ridge: float = 1e-2
@@ -51,8 +51,8 @@ def presence_matrix(texts: pa.Array, rows: range, width: int) -> np.ndarray:
     out = np.zeros((len(rows), width), np.float32)
     for k, row in enumerate(rows):
         part = data[offsets[row] : offsets[row + 1]]
-        for low in range(0, len(part), 1 << 20):  # long texts in stretches that overlap by two bytes: the union is the whole text's set
-            out[k, presence(part[low : low + (1 << 20) + 2], width)] = 1
+        for low in range(0, len(part), 1 << 18):  # long texts in stretches that overlap by two bytes: the union is the whole text's set
+            out[k, presence(part[low : low + (1 << 18) + 2], width)] = 1
     return out
 
 
@@ -134,7 +134,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, settings: LanguageSet
 
     A text that is null or has no letter is `und` with score 0, and so is all without a model. Languages that tie give
     the first of them by name. Repeated rows are scored one by one, an empty table gives an empty result, columns that
-    are not asked for are ignored. One narrow pass; the model that is broadcast has landmarks * width floats (16 MB).
+    are not asked for are ignored. One narrow pass; the model that is broadcast has landmarks * width floats (8 MB).
     """
     bound_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
@@ -148,13 +148,14 @@ def identify(docs: DataFrame, model: LanguageModel | None, settings: LanguageSet
         for batch in batches:
             texts = batch.column(0)
             best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-            for low in range(0, batch.num_rows if known else 0, 256):
-                rows = range(low, min(low + 256, batch.num_rows))
+            for low in range(0, batch.num_rows if known else 0, 128):
+                rows = range(low, min(low + 128, batch.num_rows))
                 values = known.scores(presence_matrix(texts, rows, width), sharpness)
                 best[rows.start : rows.stop], score[rows.start : rows.stop] = values.argmax(1), values.max(1)
             names = [known.languages[b] if b >= 0 and has_letter(t.as_py()) else "und" for b, t in zip(best, texts, strict=True)]
             score[[n == "und" for n in names]] = 0
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
+        release()
 
     return source.mapInArrow(run, f"{out}, lang_pred string, score double")
 
@@ -171,10 +172,11 @@ def keep_known(docs: DataFrame, model: LanguageModel | None, settings: LanguageS
         known = shared.value
         for batch in batches:
             texts, keep = batch.column(place), np.ones(batch.num_rows, bool)
-            for low in range(0, batch.num_rows if known else 0, 256):
-                rows = range(low, min(low + 256, batch.num_rows))
+            for low in range(0, batch.num_rows if known else 0, 128):
+                rows = range(low, min(low + 128, batch.num_rows))
                 keep[rows.start : rows.stop] = known.evidence(presence_matrix(texts, rows, width)) >= known.least
             keep &= np.array([has_letter(t.as_py()) for t in texts], bool)
             yield batch.filter(pa.array(keep))
+        release()
 
     return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from veilframe.llm.textio import id_and_text
+from veilframe.llm.textio import id_and_text, release
 from veilframe.llm.tokens import encoded
 
 #: Bits of a sequence id that number the windows of one task.
@@ -184,5 +184,6 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k.j
         write(builder.level_out(True))
         if rows:
             yield flush()
+        release()
 
     return source.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, `offset` long")
