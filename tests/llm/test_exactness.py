@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 from edge import frame, texts, words  # noqa: E402
 from test_operators import by_id, items, plain_classes, plain_contamination, plain_measures, plain_repeats, plain_secrets  # noqa: E402
 
-from veilframe.llm import idfilter, jaccard_join, language_id, license_scan, quality_classifier, quality_rules, secret_scan  # noqa: E402
+from veilframe.llm import idfilter, jaccard_join, language_id, license_scan, quality_classifier, quality_rules, secret_scan, suffix_dedup  # noqa: E402
 from veilframe.llm.decontaminate import decontaminate, find_contamination  # noqa: E402
 from veilframe.llm.jaccard_join import JaccardSettings, jaccard_classes, keep_one_each  # noqa: E402
 from veilframe.llm.language_id import LanguageSettings, fit, presence_matrix  # noqa: E402
@@ -151,6 +151,15 @@ def test_repeats_of_passages_with_many_places(spark):
         assert {i: (n, sum(x["end"] - x["start"] for x in s), len(s), h) for i, (n, s, h) in got.items()} == plain_repeats(rows)
 
 
+def test_splitters_are_fewer_than_buckets(spark):
+    rng = random.Random(8)
+    rows = [(bytes(rng.randrange(97, 100) for _ in range(16 * rng.randrange(1, 30))),) for _ in range(200)]
+    sample = spark.createDataFrame(rows, "body binary").repartition(5)
+    for buckets in (1, 2, 7, 64, 5000):
+        found = suffix_dedup._splitters(sample, buckets)
+        assert len(found) < buckets and (np.sort(found) == found).all() and len(found) >= min(buckets, 3000) // 2 - 1
+
+
 def plain_entropy(t, window=20):
     """Spans by the same rules, each window counted anew; for texts without = and /, which part strings."""
     out = []
@@ -312,7 +321,7 @@ def test_labels_other_than_one_are_not_read(spark):
     rng = random.Random(2)
     rows = [(k, words(rng, 60, 300) if k % 3 else "BUY NOW !!! " * 20) for k in range(300)]
     good = [(k, 1) for k in range(300) if k % 3 and k % 2]
-    made = [quality_classifier.train(frame(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int"), F.lit(True)) for marks in (good, good + [(k, 0) for k in range(0, 300, 3)], good + [(k, None) for k in range(300)] + [(10**9, 1), (None, 1)] + good)]
+    made = [quality_classifier.train(frame(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int"), F.lit(True), quality_classifier.QualitySettings(steps=40, batch=64)) for marks in (good, good + [(k, 0) for k in range(0, 300, 3)], good + [(k, None) for k in range(300)] + [(10**9, 1), (None, 1)] + good)]
     for other in made[1:2]:
         assert all((a == b).all() for a, b in zip(made[0].w, other.w, strict=True))
     assert made[2] is not None

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.components import saved, written
-from veilframe.llm.idfilter import parted
+from veilframe.llm.idfilter import MOST, filter_bits, id_filter, parted
 from veilframe.llm.shingles import mix64
 from veilframe.llm.textio import id_and_text, integer_ids, text_buffer, text_offsets
 
@@ -369,14 +369,21 @@ def _meet(sent: DataFrame, settings: RepeatSettings, units: int) -> DataFrame:
     return sent.groupBy("key").applyInArrow(meet, "unit long, body binary")
 
 
-def _documents_in(rows: DataFrame, blobs: _Blobs) -> DataFrame:
-    """id of the documents named in column body, saved."""
+def _parted_by(source: DataFrame, n: int, rows: DataFrame, blobs: _Blobs) -> tuple[DataFrame, DataFrame]:
+    """source, n documents, in two parts: those named in column body of rows, with a few others, and the rest.
+
+    Where a filter for n ids may be broadcast, each task fills it from the bodies, and no id becomes a row.
+    """
+    named = lambda batch: blobs.get(x.as_buffer() for x in batch.column(0))[0]
+    bodies = rows.select("body")
+    if n <= MOST:
+        return parted(source, bodies, table=id_filter(bodies, filter_bits(n), named))
 
     def name(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(blobs.get(x.as_buffer() for x in batch.column(0))[0]))], ["id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(named(batch)))], ["id"])
 
-    return saved(rows.select("body").mapInArrow(name, "id long").distinct())
+    return parted(source, saved(bodies.mapInArrow(name, "id long").distinct()))
 
 
 def _squeezed(data: bytes) -> bytes:
@@ -636,7 +643,7 @@ def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings(),
     spark = docs.sparkSession
     rows = integer_ids(id_and_text(docs, id_col, text_col))
     source, nameless = rows.filter("doc_id is not null"), rows.filter("doc_id is null")
-    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total, n = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchors = 2 * total // (settings.length - settings.k + 2)
     buckets, units = max(least, anchors // settings.bucket + 1), max(least, total // settings.unit + 1)
@@ -653,9 +660,9 @@ def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings(),
     context = spark.sparkContext
     hot = context.broadcast(np.sort(often["key"].to_numpy(np.int64).astype(np.uint64)))
     told = shared.filter("unit >= 0")
-    near, _ = parted(source, _documents_in(told, _SHARED))
+    near, _ = _parted_by(source, n, told, _SHARED)
     spans = written(_sorted_buckets(_send_runs(_in_units(near, units), told, settings, context.broadcast(splitters), hot, buckets, units), settings, buckets, units))
-    touched, plain = parted(source, _documents_in(spans, _SPANS))
+    touched, plain = _parted_by(source, n, spans, _SPANS)
     changed = _cut(_in_units(touched, units), spans, with_text)
     plain = plain.unionAll(nameless)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -685,4 +692,6 @@ def _splitters(sample: DataFrame, buckets: int) -> np.ndarray:
             yield batch.take(pa.array(at))
 
     ranged = words.repartitionByRange("w").sortWithinPartitions("w").mapInArrow(thin, "w binary")
-    return np.unique(np.array([bytes(r["w"]) for r in ranged.collect()], "S16"))
+    found = np.unique(np.array([bytes(r["w"]) for r in ranged.collect()], "S16"))
+    # one less than buckets at most, since numbers from `buckets` on are those of the strings that go by hash
+    return found if len(found) < buckets else found[np.linspace(0, len(found) - 1, buckets + 1).astype(np.int64)[1:-1]]
