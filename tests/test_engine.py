@@ -7,6 +7,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from veilframe.functions.masks import variant
 from veilframe.operators import vault as vaults
 from veilframe.operators.counters import dense_counter
 from veilframe.operators.names import NameRules, find_names, likely_name
@@ -61,6 +62,17 @@ def test_one_proposal_for_many(spark):
     assert "windowspecdefinition(project_id, proposed, first_seen" not in plan
 
 
+def test_one_proposal_for_more_than_four_digits_count(spark):
+    """Numbers go on behind 9999: all digits of a mask may count, and a token's number grows beyond them."""
+    n, columns = 10_050, ["project_id", "original_text", "entity_type", "proposed", "source", "confidence", "first_seen"]
+    requests = spark.range(n).select(F.lit("p").alias("project_id"), F.format_string("n%05d", "id").alias("original_text"), F.lit("PERSON").alias("entity_type"), F.lit("{{PERSON_000001}}").alias("proposed"), F.lit("regex").alias("source"), F.lit(1.0).alias("confidence"), F.col("id").alias("first_seen"))
+    for proposed, last in (("{{PERSON_000001}}", "{{PERSON_010050}}"), ("{{PERSON_001}}", "{{PERSON_10050}}"), ("139-0000-0001", "139-0001-0050")):
+        got = {r["original_text"]: r["masked_text"] for r in vaults.assign(vaults.empty_vault(spark), requests.withColumn("proposed", F.lit(proposed)).select(*columns)).collect()}
+        assert len(got) == n == len(set(got.values())) and got["n00000"] == proposed and got["n10049"] == last
+    grown = spark.range(1).select(variant(F.lit("{{PERSON_000001}}"), F.lit(1_234_567)).alias("v"), variant(F.lit("a1"), F.lit(12)).alias("w")).first()
+    assert grown["v"] == "{{PERSON_1234567}}" and grown["w"] == "a2"
+
+
 def test_names():
     rules = NameRules()
     first = find_names("联系人：王小明，到场", rules)[0]

@@ -217,10 +217,11 @@ def vault_reuse(spark, sf_dir):
 
 @query("select c_custkey as k, printf('{{PERSON_%06d}}', row_number() over (order by c_custkey)) as masked_text from customer")
 def vault_collision(spark, sf_dir):
-    """All customers are proposed one mask, and get one each."""
-    rows = _table(spark, sf_dir, "customer").select(F.lit("p").alias("project_id"), F.lit("PERSON").alias("entity_type"), F.col("c_name").alias("original_text"), F.lit("{{PERSON_000001}}").alias("proposed"), F.lit("regex").alias("source"), F.lit(1.0).alias("confidence"), F.col("c_custkey").alias("first_seen"))
+    """All customers are proposed one mask, and get one each; two of one name are two originals."""
+    original = F.concat_ws(" ", "c_name", "c_custkey").alias("original_text")
+    rows = _table(spark, sf_dir, "customer").select(F.lit("p").alias("project_id"), F.lit("PERSON").alias("entity_type"), original, F.lit("{{PERSON_000001}}").alias("proposed"), F.lit("regex").alias("source"), F.lit(1.0).alias("confidence"), F.col("c_custkey").alias("first_seen"))
     done = vaults.assign(vaults.empty_vault(spark), rows)
-    return done.join(_table(spark, sf_dir, "customer").select(F.col("c_name").alias("original_text"), F.col("c_custkey").alias("k")), "original_text").select("k", "masked_text")
+    return done.join(_table(spark, sf_dir, "customer").select(original, F.col("c_custkey").alias("k")), "original_text").select("k", "masked_text")
 
 
 _MASKS = "select o_orderkey as c, '138-' || lpad(cast(o_orderkey % 10000 as {s}), 4, '0') || '-0000' as phone, 'https://example.com/path/' || cast(o_orderkey as {s}) as url, lpad(cast(o_orderkey as {s}), 12, '0') as number, '2024-01-15' as day from orders"
