@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 from edge import frame, texts, words  # noqa: E402
 from test_operators import by_id, items, plain_classes, plain_contamination, plain_measures, plain_repeats, plain_secrets  # noqa: E402
 
-from veilframe.llm import idfilter, jaccard_join, language_id, license_scan, quality_classifier, quality_rules, secret_scan, suffix_dedup  # noqa: E402
+from veilframe.llm import components, idfilter, jaccard_join, language_id, license_scan, quality_classifier, quality_rules, secret_scan, suffix_dedup  # noqa: E402
 from veilframe.llm.decontaminate import decontaminate, find_contamination  # noqa: E402
 from veilframe.llm.jaccard_join import JaccardSettings, jaccard_classes, keep_one_each  # noqa: E402
 from veilframe.llm.language_id import LanguageSettings, fit, presence_matrix  # noqa: E402
@@ -352,3 +352,42 @@ def test_texts_of_more_than_a_megabyte(spark):
     assert sorted(r["doc_id"] for r in keep_one_each(docs).collect()) == [1, 4]
     empty = language_id.identify(docs, None)
     assert {i: p for i, (p,) in by_id(empty, "lang_pred").items()} == {1: "und", 2: "und", 3: "und", 4: "und"}
+
+
+def test_few_edges_and_ids_need_no_rounds(spark):
+    """What the driver joins or fills itself is what the cluster's rounds give."""
+    rng = random.Random(41)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(k, k + 1) for k in range(1000, 1100)] + [(5, 5), (None, 3)]
+    table = spark.createDataFrame(edges, "u long, v long").repartition(4)
+    rows = [sorted(map(tuple, components.components(table, few).collect())) for few in (0, components.FEW)]
+    assert rows[0] == rows[1] and len(rows[0]) > 200
+    none = table.filter("u < 0")
+    assert components.components(none).collect() == [] == components.components(none, -1).collect() and components.components(none).columns == ["id", "component"]
+    docs, ids = spark.createDataFrame([(k, "x") for k in [*range(2000), None]], "doc_id long, text string"), spark.createDataFrame([(k,) for k in [*range(0, 2000, 7), None]], "id long")
+    parts = [[sorted(r["doc_id"] or -1 for r in part.collect()) for part in idfilter.parted(docs, ids)]]
+    few, idfilter.FEW = idfilter.FEW, 0
+    try:
+        parts.append([sorted(r["doc_id"] or -1 for r in part.collect()) for part in idfilter.parted(docs, ids)])
+    finally:
+        idfilter.FEW = few
+    assert parts[0] == parts[1] and set(range(7, 2000, 7)) <= set(parts[0][0]) and -1 in parts[0][1]
+
+
+def test_few_rows_in_many_partitions_make_few_tasks(spark):
+    """Small tables between the steps of the join are read by few tasks, however many partitions wrote them."""
+    keys = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    tracker = spark.sparkContext.statusTracker()
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few-rows", "few-rows")
+        rows = group_rows(40, 6)
+        assert by_id(jaccard_classes(frame(spark, rows)), "n_shingles", "component_id") == plain_classes(rows)
+        stages = {s for j in tracker.getJobIdsForGroup("few-rows") if (info := tracker.getJobInfo(j)) for s in info.stageIds}
+        tasks = sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 0 < tasks < 1200

@@ -33,6 +33,10 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Edges up to which the driver joins them itself (16 bytes each, 2 MB in all).
+FEW = 1 << 17
+
+
 def _contract(batches):
     """Edges of one task replaced by a star in each of their components."""
     parent: dict[int, int] = {}
@@ -58,16 +62,23 @@ def _stars(parent: dict[int, int], root) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """id, component (the smallest id in reach) of every id in the edges u, v (long; direction, repeats, loops and order don't matter).
 
-    Each task first shrinks its own edges to stars; then large-star and small-star steps alternate until nothing
-    changes, which takes about as many rounds as the logarithm of the largest component. A step is one aggregation
-    by minimum, combined before the shuffle, and one join; each round is written to the shared checkpoint folder.
-    Ids without edges don't appear. Nulls are left out. Nothing is collected.
+    Each task first shrinks its own edges to stars. Where `few` edges or less are left the driver joins them, which
+    spares the rounds; else large-star and small-star steps alternate until nothing changes, which takes about as
+    many rounds as the logarithm of the largest component. A step is one aggregation by minimum, combined before the
+    shuffle, and one join; each round is written to the shared checkpoint folder. Ids without edges don't appear.
+    Nulls are left out. More than `few` edges are never collected.
     """
     kind = "u long, v long"
-    now = saved(edges.select(edges["u"].cast("long").alias("u"), edges["v"].cast("long").alias("v")).filter("u is not null and v is not null and u != v").mapInArrow(_contract, kind).distinct())
+    now = written(edges.select(edges["u"].cast("long").alias("u"), edges["v"].cast("long").alias("v")).filter("u is not null and v is not null and u != v").mapInArrow(_contract, kind).distinct())
+    if now.count() <= few:
+        star = next(_contract(now.toArrow().combine_chunks().to_batches() or [pa.RecordBatch.from_pydict({"u": [], "v": []})]))
+        ids, least = star.column(0), star.column(1)
+        centres = pa.array(np.unique(least.to_numpy()), pa.int64())
+        table = pa.table({"id": pa.concat_arrays([ids, centres]), "component": pa.concat_arrays([least, centres])})
+        return edges.sparkSession.createDataFrame(table) if len(table) else now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     before = None
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -23,6 +23,8 @@ from veilframe.llm.textio import bound_batches, release
 Keep = Callable[[pa.RecordBatch], pa.RecordBatch]
 #: Ids up to which a filter is broadcast.
 MOST = 1 << 23
+#: Ids up to which the driver fills the filter itself, from the ids (8 bytes each, 1 MB in all).
+FEW = 1 << 17
 
 
 def filter_bits(n: int) -> int:
@@ -30,6 +32,12 @@ def filter_bits(n: int) -> int:
     return max(16, (8 * n).bit_length())
 
 
+def _fill(table: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
+    for spot in _spots(np.unique(ids), bits):
+        np.bitwise_or.at(table, spot >> 6, np.int64(1) << (spot & 63))
+    return table
+
+
 def _spots(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix64(ids.astype(np.uint64) * np.uint64(2) + np.uint64(s)) >> np.uint64(64 - bits)).astype(np.int64) for s in (0, 1)]
 
@@ -54,8 +62,7 @@ def id_filter(ids: DataFrame, bits: int, ids_of: Callable[[pa.RecordBatch], np.n
     def fill(batches):
         table = np.zeros(1 << (bits - 6), np.int64)
         for batch in batches:
-            for spot in _spots(np.unique(ids_of(batch)), bits):
-                np.bitwise_or.at(table, spot >> 6, np.int64(1) << (spot & 63))
+            _fill(table, ids_of(batch), bits)
         cut = table.reshape(parts, -1)
         full = np.flatnonzero(cut.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([zstandard.ZstdCompressor(level=1).compress(cut[k].tobytes()) for k in full], pa.binary())], ["part", "body"])
@@ -91,7 +98,9 @@ def narrowed(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", most: int
         wanted = ids.select(F.col(ids.columns[0]).alias("__wanted")).distinct()
         same = docs[id_col] == wanted["__wanted"]
         return (docs.join(wanted, same, "left_semi"), lambda batch: batch), (docs.join(wanted, same, "left_anti"), lambda batch: batch)
-    table, place = docs.sparkSession.sparkContext.broadcast(id_filter(ids, filter_bits(n))), docs.columns.index(id_col)
+    bits, place = filter_bits(n), docs.columns.index(id_col)
+    own = _fill(np.zeros(1 << (bits - 6), np.int64), ids.select(F.col(ids.columns[0]).cast("long").alias("id")).filter("id is not null").toArrow().column(0).to_numpy(), bits) if n <= FEW else id_filter(ids, bits)
+    table = docs.sparkSession.sparkContext.broadcast(own)
     return (docs, _keeper(table, True, place)), (docs, _keeper(table, False, place))
 
 

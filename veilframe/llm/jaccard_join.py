@@ -569,7 +569,7 @@ def _list_pairs(dealt: DataFrame, settings: JaccardSettings, boundary: int, trie
 
 def _verified(pairs: DataFrame, source: DataFrame, settings: JaccardSettings) -> DataFrame:
     """The pairs u, v whose sets link, by exact intersection."""
-    wanted = saved(pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))).distinct())
+    wanted = written(pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))).distinct())
     (few, kept), _ = narrowed(source, wanted)
 
     def content(batches):
@@ -609,9 +609,9 @@ def keep_one_each(docs: DataFrame, settings: JaccardSettings = JaccardSettings()
     others pass by it.
     """
     classes = written(jaccard_classes(docs, settings, id_col, text_col).filter("doc_id is not null"))
-    losers = saved(classes.filter("doc_id != component_id").select(F.col("doc_id").alias("_loser")).distinct())
+    losers = written(classes.filter("doc_id != component_id").select(F.col("doc_id").alias("_loser")).distinct())
     repeated = classes.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    doubtful, plain = parted(docs, saved(losers.unionAll(repeated)), id_col)
+    doubtful, plain = parted(docs, written(losers.unionAll(repeated)), id_col)
     kept = doubtful.join(losers, doubtful[id_col] == losers["_loser"], "left_anti").dropDuplicates([id_col])
     return plain.unionByName(kept)
 
@@ -627,7 +627,7 @@ def jaccard_classes(docs: DataFrame, settings: JaccardSettings = JaccardSettings
     """
     spark = docs.sparkSession
     source = integer_ids(id_and_text(docs, id_col, text_col))
-    counted = saved(_frequent(source, settings))
+    counted = written(_frequent(source, settings))
     lists = counted.filter("kind = 1").agg(F.sum(F.col("n") * (F.col("key") - F.ceil(F.col("key") * settings.percent / 100) + 1))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(lists) // settings.bucket + 1)
     sizes = {int(r["key"]): int(r["n"]) for r in counted.filter("kind = 1 and key <= 64").collect()}
@@ -648,19 +648,19 @@ def jaccard_classes(docs: DataFrame, settings: JaccardSettings = JaccardSettings
     small = _runs(parts, lambda n, m, o: (100 + settings.percent) * o >= settings.percent * (n + m))
     # one shingle in common may be that of a shared passage; what only one brings together is left to round 2
     likely = near.filter(f"keys >= {min(settings.agree, settings.seeds)}").unionAll(small).select("u", "v").distinct()
-    links = saved(_verified(saved(likely), source, settings))
-    first = saved(components(links))
+    links = written(_verified(written(likely), source, settings))
+    first = written(components(links))
 
     # round 2, complete: what the inverted lists of whole prefixes hold across those classes. Most sets are a class of
     # their own, which no table needs to tell them; copies and sets of larger classes are looked up
     classed = nodes.filter("seeds is not null").select("id").join(first, "id", "left").select("id", F.coalesce("component", "id").alias("class"))
     alone = nodes.select("id").join(first.select("id"), "id", "left_anti")
-    others = saved(signed.filter("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct().join(alone, "id", "left_anti"))
+    others = written(signed.filter("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct().join(alone, "id", "left_anti"))
     looked_up, single = narrowed(source, others)
     posts = _prefixes(*looked_up, settings, boundary, order).join(classed, "id").unionByName(_prefixes(*single, settings, boundary, order).withColumn("class", F.col("id")))
-    met = saved(_meetings(posts, settings, buckets, order))
+    met = written(_meetings(posts, settings, buckets, order))
     mixed = spark.sparkContext.broadcast(np.sort(met.filter(F.col("kind") == _KEY).select("id").toPandas()["id"].to_numpy(np.int64)))
-    meeting = saved(_kept_keys(met, mixed))
+    meeting = written(_kept_keys(met, mixed))
     # few of all entries are left: they go to as many buckets as they fill, so that a pair's shingles meet in few places
     left = meeting.agg(F.sum("met")).first()[0] or 0
     final, tries, rows = first, settings.tries, None
@@ -668,11 +668,11 @@ def jaccard_classes(docs: DataFrame, settings: JaccardSettings = JaccardSettings
         few, _ = narrowed(source, meeting.select("id"))
         rows = written(_sketches(*few, settings).join(meeting, "id"))
     while left:
-        across = saved(_list_pairs(_dealt(rows, settings, int(left) // settings.bucket + 1, order), settings, boundary, tries))
+        across = written(_list_pairs(_dealt(rows, settings, int(left) // settings.bucket + 1, order), settings, boundary, tries))
         if across.isEmpty():
             break
         joined = final.filter("id != component").select(F.col("id").alias("u"), F.col("component").alias("v"))
-        final = saved(components(joined.unionAll(_verified(across.select("u", "v"), source, settings))))
+        final = written(components(joined.unionAll(_verified(across.select("u", "v"), source, settings))))
         # classes of which some pairs have not been verified, and that no link has joined so far
         open_pairs = across.filter("more")
         for end in ("u", "v"):
@@ -682,7 +682,7 @@ def jaccard_classes(docs: DataFrame, settings: JaccardSettings = JaccardSettings
         if again.isEmpty():
             break
         now = meeting.select("id").join(final, "id", "left").select("id", F.coalesce("component", "id").alias("class"))
-        classed = saved(now.join(again, "class", "left_semi").select("id", "class"))
+        classed = written(now.join(again, "class", "left_semi").select("id", "class"))
         few, _ = parted(rows.drop("class"), classed, "id")
         rows = written(few.join(classed, "id"))
         tries *= 16
