@@ -391,3 +391,28 @@ def test_few_rows_in_many_partitions_make_few_tasks(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert 0 < tasks < 1200
+
+
+def test_bands_are_worked_out_only_where_they_can_agree(monkeypatch):
+    """Texts without a shingle that is the least of a template in some band cost no band, and lose no candidate."""
+    rng, known = random.Random(43), license_scan._Templates(LICENSES, 5, 32)
+    mit = LICENSES["mit-notice"] + " " + LICENSES["gpl-3.0-or-later"]
+
+    def grams_of(rows):
+        data = np.frombuffer("".join(rows).encode(), np.uint8)
+        starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]]).astype(np.int64)
+        found, owner, _, _ = license_scan.placed_word_hashes(data, starts, license_scan._BLANK)
+        grams, ok = known.grams(found, owner)
+        place = np.flatnonzero(ok)
+        return grams[place], np.searchsorted(owner[place], np.arange(len(rows) + 1))
+
+    prose = [words(rng, 700) + " " for _ in range(30)]
+    mixed = [t for k in range(30) for t in (prose[k], f"{words(rng, 40)} {mit} {words(rng, 40)} ")]
+    every = known.candidates(*grams_of([t for t in mixed if "MIT" in t]), 0.8)
+    assert {t for t, _, _ in every} == set(range(30))
+    grams, bounds = grams_of(mixed)
+    shift = lambda t: int(bounds[2 * t + 1])
+    own = grams_of([t for t in mixed if "MIT" in t])[1]
+    assert known.candidates(grams, bounds, 0.8) == {(2 * t + 1, first - int(own[t]) + shift(t), n) for t, first, n in every}
+    monkeypatch.setattr(known, "permuted", lambda *_: pytest.fail("a band was worked out"))
+    assert known.candidates(*grams_of(prose), 0.8) == set()

@@ -73,6 +73,10 @@ class _Templates:
                 size = max(size + 1, int(size * 1.25))
             self.classes.setdefault(size, []).append(n)
         self.least = np.array([[self.permuted(own, f).min() for f in self.factors] for own in self.sets], np.uint64).reshape(len(self.sets), bands)
+        # permuted() is a bijection, so a window agrees with a template in a band only where it holds the shingle behind its least value
+        keys = {size: np.unique(np.concatenate([self.sets[n][[self.permuted(self.sets[n], f).argmin() for f in self.factors]] for n in members])) for size, members in self.classes.items()}
+        self.keys = np.unique(np.concatenate(list(keys.values())))
+        self.in_class = {size: np.isin(self.keys, own) for size, own in keys.items()}
 
     @staticmethod
     def permuted(grams: np.ndarray, factor) -> np.ndarray:
@@ -91,14 +95,22 @@ class _Templates:
 
     def candidates(self, grams: np.ndarray, bounds: np.ndarray, containment: float) -> set[tuple[int, int, int]]:
         """(text, first shingle, template) of windows that agree with a template in a band. bounds: where the shingles of each text
-        begin, and the end. Texts with too few shingles to contain any template of a class are left out of it."""
+        begin, and the end. Texts with too few shingles to contain any template of a class, or without one that is the least of a
+        template in some band, are left out of it, since no window of theirs can agree."""
         found: set[tuple[int, int, int]] = set()
         if not len(grams):
             return found
         have = np.diff(bounds)
+        at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == grams)
+        if not len(hit):
+            return found
+        key, holder = at[hit], np.searchsorted(bounds, hit, "right") - 1
         grids = {}
         for size, members in self.classes.items():
-            texts = np.flatnonzero(have >= max(1.0, containment * min(len(self.sets[n]) for n in members)))
+            holds = np.zeros(len(have), bool)
+            holds[holder[self.in_class[size][key]]] = True
+            texts = np.flatnonzero(holds & (have >= max(1.0, containment * min(len(self.sets[n]) for n in members))))
             if len(texts):
                 count = -(-have[texts] // size)
                 owner = np.repeat(texts, count)
