@@ -29,8 +29,9 @@ NEAR = JaccardSettings(percent=80, k=5)
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, null and empty ones among them, or in a language that no label names go. Without a
-    label only the former do; repeated rows are each judged alike; an empty table stays empty; all columns are kept."""
-    return language_id.keep_known(docs, language_id.train(docs, F.lit(True)))
+    label only the former do; repeated rows are each judged alike; an empty table stays empty; all columns are kept, and
+    lang is the language found in the text, by which the last stage packs."""
+    return language_id.keep_known(docs, language_id.train(docs, F.lit(True)), lang_col="lang")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +54,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training windows, with their token ids. A null or empty text is its end mark alone; repeated rows are
+    """Pieces of training windows, with their token ids; a window holds documents of one language alone. A null or empty text is its end mark alone; repeated rows are
     packed each by itself; an empty table gives no piece; columns other than id and text are left behind."""
-    pieces = pack(docs)
+    pieces = pack(docs, group_col="lang" if "lang" in docs.columns else None)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
 

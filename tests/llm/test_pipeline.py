@@ -120,6 +120,32 @@ def test_run(spark, folder):
         assert at <= 2048 and at & (at - 1) == 0
 
 
+def test_windows_hold_the_language_that_was_found(spark, tmp_path):
+    """What language ID finds, in rows without a label too, decides which documents share a window."""
+    rng = random.Random(19)
+    kinds = {"en": "the of and to in is was that with from this have", "de": "der die das und ist nicht ein mit von auch sich wird"}
+    rows, spoken = [], {}
+    for k in range(400):
+        spoken[k] = rng.choice(list(kinds))
+        label = None if k % 5 == 0 else spoken[k]
+        rows.append((k, " ".join(rng.choice(kinds[spoken[k]].split()) for _ in range(rng.randrange(8, 90))), label, "s", 1))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    known = corpus_pipeline.known_language(spark, docs, str(tmp_path))
+    assert known.columns == docs.columns and {r["doc_id"]: r["lang"] for r in known.collect()} == spoken
+    sequences = {}
+    for p in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        sequences.setdefault(p["sequence_id"], []).append((p["offset"], p["length"], spoken[p["doc_id"]]))
+    assert all(len({lang for _, _, lang in own}) == 1 for own in sequences.values()) and {own[0][2] for own in sequences.values()} == set(kinds)
+    for own in sequences.values():
+        at = 0
+        for offset, length, _ in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048 and at & (at - 1) == 0
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], frame(spark, []).schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -160,23 +160,30 @@ def identify(docs: DataFrame, model: LanguageModel | None, settings: LanguageSet
     return source.mapInArrow(run, f"{out}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: LanguageModel | None, settings: LanguageSettings = LanguageSettings(), text_col: str = "text") -> DataFrame:
+def keep_known(docs: DataFrame, model: LanguageModel | None, settings: LanguageSettings = LanguageSettings(), text_col: str = "text", lang_col: str | None = None) -> DataFrame:
     """docs, all columns kept, without the rows that have no letter or less evidence of every learned language than the
-    labelled rows the model was fitted on. Without a model nothing is rejected but texts without letters, null and empty
-    ones among them. Repeated rows are each judged alike; an empty table stays empty; columns of any name are kept."""
+    labelled rows the model was fitted on. A column named by lang_col holds what language a row's text is in, whatever
+    its label says, or none. Without a model nothing is rejected but texts without letters, null and empty ones among
+    them, and labels stay. Repeated rows are each judged alike; an empty table stays empty; columns of any name are kept."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place, width = docs.columns.index(text_col), settings.width
+    place, width, sharpness = docs.columns.index(text_col), settings.width, settings.sharpness
+    lang = docs.columns.index(lang_col) if lang_col in docs.columns and model else None
 
     def run(batches):
         known = shared.value
         for batch in batches:
-            texts, keep = batch.column(place), np.ones(batch.num_rows, bool)
+            texts, keep, best = batch.column(place), np.ones(batch.num_rows, bool), np.zeros(batch.num_rows, np.int64)
             for low in range(0, batch.num_rows if known else 0, 128):
                 rows = range(low, min(low + 128, batch.num_rows))
-                keep[rows.start : rows.stop] = known.evidence(presence_matrix(texts, rows, width)) >= known.least
+                found = presence_matrix(texts, rows, width)
+                keep[rows.start : rows.stop] = known.evidence(found) >= known.least
+                if lang is not None:
+                    best[rows.start : rows.stop] = known.scores(found, sharpness).argmax(1)
             keep &= np.array([has_letter(t.as_py()) for t in texts], bool)
+            if lang is not None:
+                batch = batch.set_column(lang, batch.schema.names[lang], pa.array([known.languages[b] for b in best], pa.string()))
             yield batch.filter(pa.array(keep))
         release()
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, T.StringType() if k == lang else f.dataType, True) for k, f in enumerate(docs.schema)]))

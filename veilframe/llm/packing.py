@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from veilframe.llm.textio import id_and_text, release
 from veilframe.llm.tokens import encoded
 
-#: Bits of a sequence id that number the windows of one task.
+#: Bits of a sequence id that number the sequences of one task.
 _WINDOW_BITS = 36
 
 
@@ -139,24 +142,28 @@ class WindowBuilder:
                 self.packer.opened += 1
 
 
-def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k.json", end_id: int = 1, max_open: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Packs all documents into windows of `capacity` tokens.
+def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k.json", end_id: int = 1, max_open: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None) -> DataFrame:
+    """Packs all documents into windows of `capacity` tokens; where group_col names a column, each window holds documents
+    of one of its values (null is one) alone.
 
     One row per piece: doc_id, start (the document's ids before it), length, ids (binary, little-endian uint32),
     doc_tokens, sequence_id, offset (in the window, gapless from 0). A document is its ids and then end_id;
     whole windows are cut off long documents, the rest is placed by the sum-of-squares rule. Each task packs its
-    own input in one narrow pass without a shuffle and holds max_open open windows at most. When there are more, and at
-    the end, a finishing step takes the place of the rule: see WindowBuilder. Every sequence is full but the last
-    ones of a task, whose lengths are powers of two. Null and empty texts are end_id alone; repeated rows are packed
+    own input in one narrow pass without a shuffle and holds max_open open windows at most, and one more for each group.
+    When there are more, and at the end, a finishing step takes the place of the rule: see WindowBuilder. Every sequence
+    is full but the last ones of a task and group, whose lengths are powers of two. Null and empty texts are end_id alone; repeated rows are packed
     each on its own (by doc_id they can't be told apart); levels that tie go to the fullest window; ids may be of any
     type and null; an empty table gives no piece; other columns are ignored.
     """
     source = id_and_text(docs, id_col, text_col)
+    if group_col is not None:
+        source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), F.col(group_col).cast("string").alias("group"))
     kind = source.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
-        builder, base = WindowBuilder(capacity, max_open), TaskContext.get().partitionId() << _WINDOW_BITS
+        builders: dict[str | None, WindowBuilder] = {}
+        base, numbers = TaskContext.get().partitionId() << _WINDOW_BITS, itertools.count()
         rows: list[tuple] = []
         held, arrow_kind = 0, pa.null()
 
@@ -167,21 +174,28 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k.j
 
         def write(closed):
             nonlocal held
-            for window, pieces in closed:
-                offset = 0
+            for _, pieces in closed:  # closed once each; windows of different groups have numbers of their own
+                sequence, offset = base + next(numbers), 0
                 for doc_id, start, ids, total in pieces:
-                    rows.append((doc_id, start, len(ids), ids.astype("<u4").tobytes(), total, base + window, offset))
+                    rows.append((doc_id, start, len(ids), ids.astype("<u4").tobytes(), total, sequence, offset))
                     offset += len(ids)
                 held += offset
 
         for batch in batches:
             doc_ids, arrow_kind = batch.column(0).to_pylist(), batch.column(0).type
+            groups = batch.column(2).to_pylist() if batch.num_columns > 2 else None
             for row, ids in encoded(batch.column(1), tokenizer):
-                write(builder.add(doc_ids[row], np.append(ids, np.uint32(end_id)).astype(np.uint32)))
+                group = groups[row] if groups else None
+                if group not in builders:
+                    builders[group] = WindowBuilder(capacity, max_open)
+                write(builders[group].add(doc_ids[row], np.append(ids, np.uint32(end_id)).astype(np.uint32)))
+                if len(builders) > 1 and sum(b.packer.n_open for b in builders.values()) > max_open + len(builders):
+                    write(max(builders.values(), key=lambda b: b.packer.n_open).level_out(False))
                 if held > 1 << 20:
                     yield flush()
                     rows, held = [], 0
-        write(builder.level_out(True))
+        for builder in builders.values():
+            write(builder.level_out(True))
         if rows:
             yield flush()
         release()
