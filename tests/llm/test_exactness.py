@@ -416,3 +416,36 @@ def test_bands_are_worked_out_only_where_they_can_agree(monkeypatch):
     assert known.candidates(grams, bounds, 0.8) == {(2 * t + 1, first - int(own[t]) + shift(t), n) for t, first, n in every}
     monkeypatch.setattr(known, "permuted", lambda *_: pytest.fail("a band was worked out"))
     assert known.candidates(*grams_of(prose), 0.8) == set()
+
+
+def test_texts_are_worked_on_in_small_groups(monkeypatch):
+    """What is worked out at once for many short texts stays small, and the runs are those of one large group."""
+    rng, settings = random.Random(47), RepeatSettings()
+    rows = [words(rng, rng.randrange(1, 400)).encode() for _ in range(400)]
+    data, offsets = np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    sizes, original = [], suffix_dedup._runs_of
+
+    def counted(data, texts, starts, ends, *rest):
+        sizes.append(int((ends - starts).sum()))
+        return original(data, texts, starts, ends, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "_runs_of", counted)
+    columns = lambda: [np.concatenate(x) for x in zip(*[(r.text, r.first, r.last, r.anchor, r.key, r.lead) for r in suffix_dedup.anchor_runs(data, offsets, settings)], strict=True)]
+    small = columns()
+    assert len(sizes) > 4 and max(sizes) <= 1 << 16
+    monkeypatch.setattr(suffix_dedup, "_GROUP", 1 << 20)
+    assert all((a == b).all() for a, b in zip(small, columns(), strict=True))
+
+
+def test_spans_are_united_as_one_by_one():
+    rng = random.Random(53)
+    spans = [(d, a, a + rng.randrange(1, 9)) for d in (3, -7, 2**62) for a in (rng.randrange(120) for _ in range(25))]
+    want = []
+    for d, a, b in sorted(spans):
+        if want and want[-1][0] == d and a <= want[-1][2]:
+            want[-1][2] = max(want[-1][2], b)
+        else:
+            want.append([d, a, b])
+    got = suffix_dedup._united(*np.array(spans, np.int64).T)
+    assert [list(map(int, x)) for x in zip(*got, strict=True)] == want
+    assert not len(suffix_dedup._united(*np.zeros((3, 0), np.int64))[0])

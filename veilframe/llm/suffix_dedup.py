@@ -34,6 +34,8 @@ from veilframe.llm.textio import id_and_text, integer_ids, text_buffer, text_off
 
 _POSITION_BITS = 20
 _STRETCH = 1 << _POSITION_BITS
+#: Bytes of texts that are worked on at once: what is worked out for them stays in the cache.
+_GROUP = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -85,7 +87,7 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, settings: RepeatSettings)
     at = 0
     while at < len(texts):
         stop, size = at, 0
-        while stop < len(texts) and (stop == at or size + ends[stop] - starts[stop] <= _STRETCH - 64):
+        while stop < len(texts) and (stop == at or size + ends[stop] - starts[stop] <= _GROUP):
             size += ends[stop] - starts[stop]
             stop += 1
         yield _runs_of(data, np.array(texts[at:stop]), np.array(starts[at:stop]), np.array(ends[at:stop]), offsets, length, k)
@@ -100,7 +102,9 @@ def _runs_of(data, texts, starts, ends, offsets, length, k) -> Runs:
     n = len(parts) - 8
     value = words[: n - k + 1].copy()
     for low in range(8, k, 8):
-        value = mix64(value) ^ (words[min(low, k - 8) :][: n - k + 1] * np.uint64(0x9E3779B97F4A7C15))
+        value *= np.uint64(0xBF58476D1CE4E5B9)
+        value ^= value >> np.uint64(32)
+        value += words[min(low, k - 8) :][: n - k + 1] * np.uint64(0x9E3779B97F4A7C15)
     value = mix64(value)
     mask = np.uint64(_STRETCH - 1)
     packed = (value & ~mask) | np.arange(len(value), dtype=np.uint64)
@@ -596,6 +600,19 @@ def _stretches(hit, run, step, ids, first, length):
     return ids[own], first[own] + step[a], first[own] + step[b] + length
 
 
+def _united(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans of each document as maximal runs, in order; spans that touch are one run."""
+    order = np.lexsort((low, doc))
+    doc, low, high = doc[order], low[order], high[order]
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = doc[1:] != doc[:-1]
+    shift = (np.cumsum(fresh) - 1) * (high.max(initial=0) + 1)
+    reach = np.maximum.accumulate(high + shift)  # of all spans so far; a later document's lie beyond
+    fresh[1:] |= low[1:] + shift[1:] > reach[:-1]
+    head = np.flatnonzero(fresh)
+    return doc[head], low[head], np.maximum.reduceat(high, head) if len(head) else high
+
+
 def _cut(docs: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
     names = ["doc_id", "n_bytes", "spans", "kept_sha256", *(["kept"] if with_text else [])]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -603,18 +620,12 @@ def _cut(docs: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
     def cut(left, right):
         ids, offsets, data = _texts(left)
         doc, low, high = _SPANS.get(x.as_buffer() for x in right.column("body"))
-        order = np.lexsort((high, low, doc))
-        doc, low, high = doc[order], low[order], high[order]
+        doc, low, high = _united(doc, low, high)
         runs, digests, kept = [], [], []
         for k, doc_id in enumerate(ids):
             text = data[offsets[k] : offsets[k + 1]]
-            merged: list[list[int]] = []
-            for a, b in zip(low[(s := slice(*np.searchsorted(doc, [doc_id, doc_id + 1])))].tolist(), high[s].tolist(), strict=True):
-                a, b = min(a, len(text)), min(b, len(text))
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                elif a < b:
-                    merged.append([a, b])
+            own = slice(*np.searchsorted(doc, [doc_id, doc_id + 1]))
+            merged = [(a, min(b, len(text))) for a, b in zip(low[own].tolist(), high[own].tolist(), strict=True) if a < len(text)]
             rest, at = [], 0
             for a, b in merged:
                 rest.append(text[at:a].tobytes())
