@@ -7,6 +7,7 @@ import random
 import re
 import sys
 import time
+import types
 import zlib
 
 import numpy as np
@@ -18,7 +19,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 from edge import frame, texts, words  # noqa: E402
 from test_operators import by_id, items, plain_classes, plain_contamination, plain_measures, plain_repeats, plain_secrets  # noqa: E402
 
-from veilframe.llm import components, idfilter, jaccard_join, language_id, license_scan, quality_classifier, quality_rules, secret_scan, suffix_dedup  # noqa: E402
+from veilframe.llm import components, idfilter, jaccard_join, language_id, license_scan, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup  # noqa: E402
 from veilframe.llm.decontaminate import decontaminate, find_contamination  # noqa: E402
 from veilframe.llm.jaccard_join import JaccardSettings, jaccard_classes, keep_one_each  # noqa: E402
 from veilframe.llm.language_id import LanguageSettings, fit, presence_matrix  # noqa: E402
@@ -26,7 +27,7 @@ from veilframe.llm.license_scan import LICENSES, license_matches  # noqa: E402
 from veilframe.llm.packing import pack  # noqa: E402
 from veilframe.llm.shingles import digested_sets  # noqa: E402
 from veilframe.llm.suffix_dedup import RepeatSettings, equal_strings, remove_repeats, same_bytes, string_hashes  # noqa: E402
-from veilframe.llm.tokens import Encoder, token_counts, tokenizer_path  # noqa: E402
+from veilframe.llm.tokens import Encoder, encoder, token_counts, tokenizer_path  # noqa: E402
 
 
 def twins(n=1024):
@@ -354,6 +355,25 @@ def test_texts_of_more_than_a_megabyte(spark):
     assert {i: p for i, (p,) in by_id(empty, "lang_pred").items()} == {1: "und", 2: "und", 3: "und", 4: "und"}
 
 
+def test_packing_holds_little_in_workers(spark, monkeypatch):
+    """Windows that the finishing step closes by hundreds are given out in portions, and common texts need one library only."""
+    rng, taken = random.Random(43), []
+    rows = [(k, words(rng, 400, 10**6)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: taken.append(f))
+    monkeypatch.setattr(packing, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 3)))
+    pack(docs)
+    encoder.cache_clear()
+    out = list(taken[0](iter([pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows]})])))
+    assert "slow" not in vars(encoder("byte_bpe_50k.json"))
+    sizes, pieces = [sum(b.column(2).to_pylist()) for b in out], collections.defaultdict(dict)
+    assert max(sizes) <= (1 << 18) + 2048 and sum(sizes) > 1 << 19
+    for r in (r for b in out for r in b.to_pylist()):
+        pieces[r["doc_id"]][r["start"]] = np.frombuffer(r["ids"], "<u4").tolist()
+    slow = Encoder(tokenizer_path("byte_bpe_50k.json")).slow
+    assert {i: [x for _, own in sorted(p.items()) for x in own] for i, p in pieces.items()} == {i: [*slow.encode(t, add_special_tokens=False).ids, 1] for i, t in rows}
+
+
 def test_few_edges_and_ids_need_no_rounds(spark):
     """What the driver joins or fills itself is what the cluster's rounds give."""
     rng = random.Random(41)

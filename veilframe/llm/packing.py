@@ -15,6 +15,8 @@ from veilframe.llm.tokens import encoded
 
 #: Bits of a sequence id that number the sequences of one task.
 _WINDOW_BITS = 36
+#: Bytes of text that are decoded at once, and ids that are given out at once, or those of a window more.
+_PORTION = 1 << 18
 
 
 class SumOfSquaresPacker:
@@ -173,31 +175,32 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k.j
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
         def write(closed):
-            nonlocal held
+            nonlocal rows, held
             for _, pieces in closed:  # closed once each; windows of different groups have numbers of their own
                 sequence, offset = base + next(numbers), 0
                 for doc_id, start, ids, total in pieces:
                     rows.append((doc_id, start, len(ids), ids.astype("<u4").tobytes(), total, sequence, offset))
                     offset += len(ids)
                 held += offset
+                if held > _PORTION:  # the finishing step closes thousands of windows at once
+                    yield flush()
+                    rows, held = [], 0
 
         for batch in batches:
             doc_ids, arrow_kind = batch.column(0).to_pylist(), batch.column(0).type
             groups = batch.column(2).to_pylist() if batch.num_columns > 2 else None
-            for row, ids in encoded(batch.column(1), tokenizer):
+            for row, ids in encoded(batch.column(1), tokenizer, _PORTION):
                 group = groups[row] if groups else None
                 if group not in builders:
                     builders[group] = WindowBuilder(capacity, max_open)
-                write(builders[group].add(doc_ids[row], np.append(ids, np.uint32(end_id)).astype(np.uint32)))
+                yield from write(builders[group].add(doc_ids[row], np.append(ids, np.uint32(end_id)).astype(np.uint32)))
                 if len(builders) > 1 and sum(b.packer.n_open for b in builders.values()) > max_open + len(builders):
-                    write(max(builders.values(), key=lambda b: b.packer.n_open).level_out(False))
-                if held > 1 << 20:
-                    yield flush()
-                    rows, held = [], 0
+                    yield from write(max(builders.values(), key=lambda b: b.packer.n_open).level_out(False))
         for builder in builders.values():
-            write(builder.level_out(True))
+            yield from write(builder.level_out(True))
         if rows:
             yield flush()
+        rows = batch = None
         release()
 
     return source.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, `offset` long")

@@ -66,22 +66,28 @@ class Encoder:
         self.path, self.kind = path, os.path.splitext(path)[1]
         self.fast, self.byte_level = None, False
         if self.kind == ".model":
-            import sentencepiece
-
-            self.slow = sentencepiece.SentencePieceProcessor(model_file=path)
             return
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.slow.no_truncation()
-        self.slow.no_padding()
         spec = json.load(open(path, encoding="utf-8"))
         pre = spec.get("pre_tokenizer") or {}
         self.byte_level = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         if self.byte_level:
             self.fast = self._tiktoken(spec)
 
+    @functools.cached_property
+    def slow(self):
+        """The file's own library, loaded when a text first needs it: every worker that is kept alive would hold it."""
+        if self.kind == ".model":
+            import sentencepiece
+
+            return sentencepiece.SentencePieceProcessor(model_file=self.path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        slow = Tokenizer.from_file(self.path)
+        slow.no_truncation()
+        slow.no_padding()
+        return slow
+
     @staticmethod
     def _tiktoken(spec: dict):
         """The same vocabulary in tiktoken, or None where ids are not in the order of the merges."""
